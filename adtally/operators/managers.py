@@ -11,15 +11,15 @@ def group_with_subgroups(manager_groups: DataFrame, group_id: int) -> DataFrame:
     return manager_groups.sparkSession.sql(
         """
         WITH RECURSIVE below(group_id) AS (
-            SELECT group_id FROM {groups} WHERE group_id = {root}
+            SELECT group_id FROM {groups} WHERE group_id = :root
             UNION ALL
             SELECT child.group_id FROM below JOIN {groups} AS child
                 ON child.parent_id = below.group_id
         )
         SELECT group_id FROM below
         """,
+        args={"root": group_id},
         groups=manager_groups,
-        root=F.lit(group_id),
     )
 
 
