@@ -6,7 +6,7 @@ The two therefore differ when today is part of the period, and stay separate.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, IntegralType, NumericType, StringType
 
@@ -14,39 +14,27 @@ from adtally.functions import metrics
 from adtally.functions.metrics import RATIOS
 from adtally.operators.window_sums import COUNTERS
 
-_NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
+_NUMBER = r"^\\s*[+-]?(\\d+(\\.\\d*)?|\\.\\d+)([eE][+-]?\\d+)?\\s*$"
 _ADDITIVE = ("profit", "system_profit") + COUNTERS
 
 
 def grand_total(rows: DataFrame) -> DataFrame:
     """One row over all report rows, with ratios of sums. No rows give zeros."""
-    summed = {}
-    for name in _ADDITIVE:
-        summed[name] = F.sum(name)
-        summed[f"delta_{name}"] = F.sum(f"delta_{name}")
-        summed[f"{name}_base"] = F.sum(f"{name}_for_delta")
-    summed["block_shows_empty"] = F.sum("block_shows_empty")
-    sums = rows.agg(*(metrics.zero_if_null(value).alias(name) for name, value in summed.items()))
-
-    columns = {}
-    for name in _ADDITIVE:
-        columns[name] = F.col(name)
-        columns[f"delta_{name}"] = F.col(f"delta_{name}")
+    summed = ["block_shows_empty"]
+    summed += [name for figure in _ADDITIVE for name in (figure, f"delta_{figure}", f"{figure}_for_delta")]
+    sums = rows.agg(*(F.expr(f"coalesce(sum({name}), 0) AS {name}") for name in summed))
+
+    columns = [name for figure in _ADDITIVE for name in (figure, f"delta_{figure}")]
     for ratio in RATIOS:
         num, den = ratio.numerator, ratio.denominator
-        base = metrics.double_ratio(F.col(f"{num}_base"), F.col(f"{den}_base"), ratio.factor)
+        base = metrics.double_ratio(f"{num}_for_delta", f"{den}_for_delta", ratio.factor)
         before = metrics.double_ratio(
-            F.col(f"{num}_base") - F.col(f"delta_{num}"),
-            F.col(f"{den}_base") - F.col(f"delta_{den}"),
-            ratio.factor,
+            f"({num}_for_delta - delta_{num})", f"({den}_for_delta - delta_{den})", ratio.factor
         )
-        columns[ratio.name] = metrics.double_ratio(F.col(num), F.col(den), ratio.factor)
-        columns[f"delta_{ratio.name}"] = base - before
-    columns |= _system_share_and_delta()
-    columns["effective_block_shows_pc"] = metrics.filled_share(
-        F.col("block_shows"), F.col("block_shows_empty")
-    )
-    return sums.select(*(value.alias(name) for name, value in columns.items()))
+        columns.append(f"{metrics.double_ratio(num, den, ratio.factor)} AS {ratio.name}")
+        columns.append(f"{base} - {before} AS delta_{ratio.name}")
+    columns += [f"{value} AS {name}" for name, value in _shares().items()]
+    return sums.selectExpr(*columns)
 
 
 def page_total(page: DataFrame) -> DataFrame:
@@ -55,37 +43,37 @@ def page_total(page: DataFrame) -> DataFrame:
     ``buy_cpm`` and ``delta_buy_cpm`` keep the sum of the row values, as do the ids and the
     panel columns. An empty page gives zeros.
     """
-    changed = _system_share_and_delta()
+    changed = _shares()
     for ratio in RATIOS:
         if ratio.name == "buy_cpm":
             continue
         num, den = ratio.numerator, ratio.denominator
-        changed[ratio.name] = metrics.double_ratio(F.col(num), F.col(den), ratio.factor)
-        changed[f"delta_{ratio.name}"] = metrics.quotient_change(
-            F.col(num), F.col(f"delta_{num}"), F.col(den), F.col(f"delta_{den}"), ratio.factor
-        )
-    changed["effective_block_shows_pc"] = metrics.filled_share(
-        F.col("block_shows"), F.col("block_shows_empty")
-    )
-    return sum_by_columns(page).withColumns(changed)
+        changed[ratio.name] = metrics.double_ratio(num, den, ratio.factor)
+        changed[f"delta_{ratio.name}"] = metrics.quotient_change(num, den, ratio.factor)
+    sums = sum_by_columns(page)
+    return sums.selectExpr(*(f"{changed.get(name, name)} AS {name}" for name in sums.columns))
 
 
-def _system_share_and_delta() -> dict[str, Column]:
-    system, profit = F.col("system_profit"), F.col("profit")
-    before = metrics.system_share(system - F.col("delta_system_profit"), profit - F.col("delta_profit"))
-    share = metrics.system_share(system, profit)
-    return {"percent_system_profit": share, "delta_percent_system_profit": share - before}
+def _shares() -> dict[str, str]:
+    """Shares both totals compute alike from their sums."""
+    share = metrics.system_share("system_profit", "profit")
+    before = metrics.system_share("(system_profit - delta_system_profit)", "(profit - delta_profit)")
+    return {
+        "percent_system_profit": share,
+        "delta_percent_system_profit": f"{share} - {before}",
+        "effective_block_shows_pc": metrics.filled_share("block_shows", "block_shows_empty"),
+    }
 
 
-def numeric_or_zero(value: Column, kind: DataType) -> Column:
+def numeric_or_zero(value: str, kind: DataType) -> str:
     """The value as a number; booleans, dates, nulls and texts that are no number count as 0."""
     if isinstance(kind, StringType):
-        return F.when(value.rlike(_NUMBER), value.try_cast("double")).otherwise(F.lit(0.0))
+        return f"IF({value} RLIKE '{_NUMBER}', try_cast({value} AS DOUBLE), 0D)"
     if isinstance(kind, IntegralType):
-        return metrics.zero_if_null(value.cast("long"))
+        return f"coalesce(CAST({value} AS BIGINT), 0L)"
     if isinstance(kind, NumericType):
-        return F.coalesce(value, F.lit(0).cast(kind))
-    return F.lit(0).cast("long")
+        return f"coalesce({value}, CAST(0 AS {kind.simpleString()}))"
+    return "0L"
 
 
 def sum_by_columns(df: DataFrame, *group: str) -> DataFrame:
@@ -93,8 +81,8 @@ def sum_by_columns(df: DataFrame, *group: str) -> DataFrame:
     sums = []
     for field in df.schema.fields:
         if field.name not in group:
-            total = F.sum(numeric_or_zero(F.col(field.name), field.dataType))
-            sums.append(metrics.zero_if_null(total).alias(field.name))
+            number = numeric_or_zero(f"`{field.name}`", field.dataType)
+            sums.append(F.expr(f"coalesce(sum({number}), 0) AS `{field.name}`"))
     return df.groupBy(*group).agg(*sums)
 
 
@@ -105,5 +93,4 @@ def sum_by_keys(df: DataFrame, entries: str) -> DataFrame:
     occurs in every row costs one partial sum per task.
     """
     pairs = df.select(F.explode(entries).alias("key", "value"))
-    total = F.sum(numeric_or_zero(F.col("value"), StringType()))
-    return pairs.groupBy("key").agg(total.alias("total"))
+    return pairs.groupBy("key").agg(F.expr(f"sum({numeric_or_zero('value', StringType())}) AS total"))

@@ -7,12 +7,12 @@ input task, and every later join sees at most one row per site.
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adtally.functions.metrics import stored, zero_if_null
+from adtally.functions.metrics import stored
 from adtally.operators.periods import Period, Window
 
 COUNTERS = ("src_shows", "src_clicks", "buy_shows", "buy_clicks", "block_shows")
@@ -21,17 +21,22 @@ COMPARED = COUNTERS + MONEY
 MEASURES = COUNTERS + ("block_shows_empty",) + MONEY
 
 
-def in_window(column: str, window: Window) -> Column:
-    return F.col(column).between(F.lit(window.start), F.lit(window.end))
+def in_window(column: str, window: Window) -> str:
+    return f"{column} BETWEEN DATE '{window.start}' AND DATE '{window.end}'"
 
 
-def in_span(column: str, span: tuple) -> Column:
-    return (F.col(column) >= F.lit(span[0])) & (F.col(column) < F.lit(span[1]))
+def in_days(column: str, span: tuple[date, date]) -> str:
+    return f"({column} >= DATE '{span[0]}' AND {column} < DATE '{span[1]}')"
 
 
-def _sum_where(condition: Column, measure: str) -> Column:
-    total = zero_if_null(F.sum(F.when(condition, F.col(measure))))
-    return stored(total) if measure in MONEY else total
+def in_hours(column: str, span: tuple[datetime, datetime]) -> str:
+    start, end = (f"TIMESTAMP_NTZ '{moment}'" for moment in span)
+    return f"({column} >= {start} AND {column} < {end})"
+
+
+def _sum_where(condition: str, measure: str, name: str) -> str:
+    total = f"coalesce(sum({measure}) FILTER (WHERE {condition}), 0)"
+    return f"{stored(total) if measure in MONEY else total} AS {name}"
 
 
 def site_window_sums(
@@ -49,67 +54,61 @@ def site_window_sums(
     if period.is_today_included and hour_sell is None:
         raise ValueError("a period that includes today needs the hourly facts")
 
-    scope = Window(period.previous.start, period.current.end)
-    wanted = in_window("day", scope)
+    wanted = in_window("day", Window(period.previous.start, period.current.end))
     if lookback is not None:
-        wanted = wanted | in_span("day", lookback)
+        wanted = f"{wanted} OR {in_days('day', lookback)}"
     facts = day_sell.where(wanted).select("site_id", "day", *MEASURES)
 
     is_current = in_window("day", period.current)
     is_previous = in_window("day", period.previous)
-    aggregates = [_sum_where(is_current, m).alias(m) for m in MEASURES]
-    aggregates += [
-        F.count_if(is_current).alias("current_rows"),
-        F.count_if(is_previous).alias("previous_rows"),
-    ]
+    sums = [_sum_where(is_current, measure, measure) for measure in MEASURES]
+    sums += [f"count_if({is_current}) AS current_rows", f"count_if({is_previous}) AS previous_rows"]
     if lookback is not None:
-        aggregates.append(F.count_if(in_span("day", lookback)).alias("lookback_rows"))
+        sums.append(f"count_if({in_days('day', lookback)}) AS lookback_rows")
 
     if period.is_today_included:
-        facts = facts.withColumn("hour", F.lit(None).cast("timestamp_ntz"))
+        facts = facts.withColumn("hour", F.expr("CAST(NULL AS TIMESTAMP_NTZ)"))
         facts = facts.unionByName(_completed_hours(hour_sell, period))
-        aggregates += _partial_day_sums(period)
-        sums = _add_completed_hours(facts.groupBy("site_id").agg(*aggregates))
+        per_site = _aggregated(facts, sums + _partial_day_sums(period))
+        per_site = _add_completed_hours(per_site, lookback is not None)
     else:
-        aggregates += [_sum_where(is_previous, m).alias(f"{m}_prev") for m in COMPARED]
-        sums = facts.groupBy("site_id").agg(*aggregates)
-        sums = sums.withColumns({f"{m}_for_delta": F.col(m) for m in COMPARED})
+        sums += [_sum_where(is_previous, measure, f"{measure}_prev") for measure in COMPARED]
+        base = (f"{measure} AS {measure}_for_delta" for measure in COMPARED)
+        per_site = _aggregated(facts, sums).selectExpr("*", *base)
+
+    return per_site.where("current_rows > 0 OR previous_rows > 0").drop("previous_rows")
+
 
-    return sums.where("current_rows > 0 OR previous_rows > 0").drop("previous_rows")
+def _aggregated(facts: DataFrame, sums: list[str]) -> DataFrame:
+    return facts.groupBy("site_id").agg(*(F.expr(one) for one in sums))
 
 
 def _completed_hours(hour_sell: DataFrame, period: Period) -> DataFrame:
-    current = period.completed_hours(period.current)
-    previous = period.completed_hours(period.previous)
-    wanted = in_span("hour", current) | in_span("hour", previous)
-    return hour_sell.where(wanted).select(
-        "site_id",
-        F.lit(None).cast("date").alias("day"),
-        "hour",
-        *COMPARED,
-        F.lit(0).cast("long").alias("block_shows_empty"),
+    current = in_hours("hour", period.completed_hours(period.current))
+    previous = in_hours("hour", period.completed_hours(period.previous))
+    return hour_sell.where(f"{current} OR {previous}").selectExpr(
+        "site_id", "CAST(NULL AS DATE) AS day", "hour", *COMPARED, "0L AS block_shows_empty"
     )
 
 
-def _partial_day_sums(period: Period) -> list[Column]:
+def _partial_day_sums(period: Period) -> list[str]:
     """Whole days before each window's last day, and the completed hours of that last day."""
-    columns = []
+    sums = []
     for side, window in (("for_delta", period.current), ("prev", period.previous)):
-        whole_days = in_span("day", (window.start, window.end))
-        hours = in_span("hour", period.completed_hours(window))
+        whole_days = in_days("day", (window.start, window.end))
+        hours = in_hours("hour", period.completed_hours(window))
         for measure in COMPARED:
-            columns.append(_sum_where(whole_days, measure).alias(f"{measure}_{side}"))
-            columns.append(_sum_where(hours, measure).alias(f"{measure}_{side}_hours"))
-    return columns
+            sums.append(_sum_where(whole_days, measure, f"{measure}_{side}"))
+            sums.append(_sum_where(hours, measure, f"{measure}_{side}_hours"))
+    return sums
 
 
-def _add_completed_hours(sums: DataFrame) -> DataFrame:
+def _add_completed_hours(per_site: DataFrame, has_lookback: bool) -> DataFrame:
     """Hours count only for sites that have a day row in the same window."""
-    changed = {}
+    columns = ["site_id", *MEASURES, "current_rows", "previous_rows"]
+    columns += ["lookback_rows"] if has_lookback else []
     for side, rows in (("for_delta", "current_rows"), ("prev", "previous_rows")):
         for measure in COMPARED:
-            name = f"{measure}_{side}"
-            hours = F.when(F.col(rows) > 0, F.col(f"{name}_hours")).otherwise(F.lit(0))
-            total = F.col(name) + hours
-            changed[name] = stored(total) if measure in MONEY else total
-    return sums.withColumns(changed).drop(*(f"{name}_hours" for name in changed))
+            total = f"{measure}_{side} + IF({rows} > 0, {measure}_{side}_hours, 0)"
+            columns.append(f"{stored(total) if measure in MONEY else total} AS {measure}_{side}")
+    return per_site.selectExpr(*columns)

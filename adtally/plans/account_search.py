@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adtally.functions.metrics import zero_if_null
 from adtally.operators import paging
 
 TYPES = ("agent", "buyer", "seller", "exchanger")
@@ -108,7 +107,7 @@ class AccountSearch:
     def facets(self) -> DataFrame:
         """Number of accounts found and their balance, per type."""
         return self.matches().groupBy("user_type").agg(
-            F.count("*").alias("accounts"), zero_if_null(F.sum("balance")).alias("balance")
+            F.count("*").alias("accounts"), F.expr("coalesce(sum(balance), 0) AS balance")
         )
 
     def page(self, page: int = 1, order: str = "email", descending: bool = False) -> DataFrame:

@@ -44,9 +44,7 @@ def exchangers(users: DataFrame) -> DataFrame:
 def daily_rows(exchange_daily: DataFrame, users: DataFrame, window: Window) -> DataFrame:
     """One row per exchanger and day of the window."""
     rows = exchange_daily.where(in_window("date", window))
-    summed = rows.groupBy("user_id", "date").agg(
-        *(metrics.zero_if_null(F.sum(name)).alias(name) for name in COUNTERS + STORED_RATIOS)
-    )
+    summed = rows.groupBy("user_id", "date").agg(*_sums(COUNTERS + STORED_RATIOS))
     return summed.join(exchangers(users), "user_id", "left_semi")
 
 
@@ -57,7 +55,8 @@ def previous_rows(exchange_daily: DataFrame, users: DataFrame, period: Period) -
 
 
 def with_row_metrics(rows: DataFrame) -> DataFrame:
-    return rows.withColumns(_click_rates() | {"exchange_delta": F.col("in_clicks") - F.col("debt")})
+    rates = (f"{metrics.ctr(f'{side}_shows', f'{side}_clicks')} AS {side}_ctr" for side in ("src", "buy", "in"))
+    return rows.selectExpr("*", *rates, "in_clicks - debt AS exchange_delta")
 
 
 def screen_total(rows: DataFrame, *group: str) -> DataFrame:
@@ -67,20 +66,14 @@ def screen_total(rows: DataFrame, *group: str) -> DataFrame:
 
 def export_total(rows: DataFrame, *group: str) -> DataFrame:
     """Sums with every ratio taken from the sums."""
-    sums = rows.groupBy(*group).agg(
-        *(metrics.zero_if_null(F.sum(name)).alias(name) for name in COUNTERS)
+    sums = rows.groupBy(*group).agg(*_sums(COUNTERS))
+    return with_row_metrics(
+        sums.selectExpr(
+            "*",
+            f"{metrics.double_ratio('buy_clicks', 'src_clicks')} AS tier_ratio",
+            f"{metrics.double_ratio('debt', 'src_clicks')} AS calc_exchange_ratio",
+        )
     )
-    clicks = F.col("src_clicks")
-
-    def per_source_click(name: str) -> Column:
-        quotient = F.col(name).cast("double") / clicks.cast("double")
-        return F.when(clicks > 0, quotient).otherwise(F.lit(0.0))
-
-    ratios = {
-        "tier_ratio": per_source_click("buy_clicks"),
-        "calc_exchange_ratio": per_source_click("debt"),
-    }
-    return with_row_metrics(sums.withColumns(ratios))
 
 
 def export_table(rows: DataFrame, *group: str) -> DataFrame:
@@ -93,23 +86,20 @@ def export_table(rows: DataFrame, *group: str) -> DataFrame:
         {"row_order": F.date_format("date", "yyyy-MM-dd"), "date": F.date_format("date", "dd.MM.yyyy")}
     )
     total = export_total(rows, *group).withColumns({"row_order": F.lit("total"), "date": F.lit("Total")})
-    names = [name for name, _, _ in EXPORT]
-    both = days.select(*group, "row_order", *names).unionByName(total.select(*group, "row_order", *names))
-    shown = [_formatted(F.col(name), kind).alias(header) for name, header, kind in EXPORT]
-    return both.select(*group, "row_order", *shown)
+    columns = [*group, "row_order", *(name for name, _, _ in EXPORT)]
+    both = days.select(*columns).unionByName(total.select(*columns))
+    shown = (f"{_formatted(name, kind)} AS `{header}`" for name, header, kind in EXPORT)
+    return both.selectExpr(*group, "row_order", *shown)
 
 
-def _click_rates() -> dict[str, Column]:
-    return {
-        f"{side}_ctr": metrics.ctr(F.col(f"{side}_shows"), F.col(f"{side}_clicks"))
-        for side in ("src", "buy", "in")
-    }
+def _sums(names: tuple[str, ...]) -> list[Column]:
+    return [F.expr(f"coalesce(sum({name}), 0) AS {name}") for name in names]
 
 
-def _formatted(value: Column, kind: str) -> Column:
+def _formatted(value: str, kind: str) -> str:
     """Counters as whole numbers, ratios with four decimals, texts as they are."""
     if kind == "int":
-        return value.cast("long").cast("string")
+        return f"CAST(CAST({value} AS BIGINT) AS STRING)"
     if kind in ("float", "ctrRaw"):
-        return metrics.stored(value).cast("string")
+        return f"CAST({metrics.stored(value)} AS STRING)"
     return value

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adtally.functions import metrics
@@ -79,7 +79,7 @@ class SellReport:
         if self.computed_rows is not None:
             return self.computed_rows
         grouped = self._by_publisher() if self.by_publisher else self._by_site()
-        return grouped.select("id", "name", *_figures(), *self._owner_columns())
+        return grouped.selectExpr("id", "name", *_figures(), *self._owner_columns())
 
     def stored(self) -> SellReport:
         """The report with its rows computed once, for several queries over it."""
@@ -163,8 +163,7 @@ class SellReport:
 
     def _by_site(self) -> DataFrame:
         rows = self._filtered_sums({filters.SITES, filters.USERS})
-        stored_name = F.when(F.col("current_rows") > 0, F.col("site_name"))
-        return rows.withColumns({"id": F.col("site_id"), "name": stored_name})
+        return rows.selectExpr("*", "site_id AS id", "IF(current_rows > 0, site_name, NULL) AS name")
 
     def _by_publisher(self) -> DataFrame:
         """Sites added up per user, before the user dimension is joined.
@@ -173,53 +172,52 @@ class SellReport:
         many sites does not skew that join. Sites without a user belong to no publisher.
         """
         rows = self._filtered_sums({filters.SITES}).where("user_id IS NOT NULL")
-        sums = [F.sum(m).alias(m) for m in MEASURES]
-        sums += [F.sum(f"{m}_{side}").alias(f"{m}_{side}") for m in COMPARED for side in ("for_delta", "prev")]
-        grouped = rows.groupBy("user_id").agg(*sums, F.sum("current_rows").alias("current_rows"))
+        sums = list(MEASURES) + ["current_rows"]
+        sums += [f"{measure}_{side}" for measure in COMPARED for side in ("for_delta", "prev")]
+        grouped = rows.groupBy("user_id").agg(*(F.expr(f"sum({name}) AS {name}") for name in sums))
         grouped = spine.with_user_attributes(grouped, self.tables.users)
-        stored_name = F.when(F.col("current_rows") > 0, F.col("email"))
-        return grouped.withColumns({"id": F.col("user_id"), "name": stored_name})
+        return grouped.selectExpr("*", "user_id AS id", "IF(current_rows > 0, email, NULL) AS name")
 
     def _owner_columns(self) -> list[str]:
         owner = ["user_id", "email", "is_disabled", "is_exchanger", "user_known"]
         return owner if self.by_publisher else owner + ["site_name", "site_url", "site_known"]
 
 
-def _operands(suffix: str) -> dict[str, Column]:
+def _operands(suffix: str) -> dict[str, str]:
     """Money and counters of one side, in the types the stored ratios are computed in."""
-    sides = {name: F.col(name + suffix).cast(metrics.COUNT) for name in COUNTERS}
-    sides |= {name: metrics.stored(F.col(name + suffix)) for name in MONEY}
-    shares = sides["parent_profit"] + sides["agent_profit"]
-    sides["site_raw_profit"] = metrics.stored(sides["buyers_expense"] - shares)
-    sides["system_profit"] = metrics.stored(sides["site_raw_profit"] - sides["profit"])
-    return sides
+    side = {name: metrics.exact_count(name + suffix) for name in COUNTERS}
+    side |= {name: metrics.stored(name + suffix) for name in MONEY}
+    shares = f"({side['parent_profit']} + {side['agent_profit']})"
+    side["site_raw_profit"] = metrics.stored(f"{side['buyers_expense']} - {shares}")
+    side["system_profit"] = metrics.stored(f"{side['site_raw_profit']} - {side['profit']}")
+    return side
 
 
-def _figures() -> list[Column]:
+def _figures() -> list[str]:
     """Report columns from the current sums, the delta base and the previous sums.
 
     The delta of a ratio is the stored current ratio minus the unrounded previous one.
     """
     now, base, before = _operands(""), _operands("_for_delta"), _operands("_prev")
-    columns: dict[str, Column] = {}
+    columns = {}
     for name in ("profit", "system_profit"):
         columns[name] = now[name]
         columns[f"{name}_for_delta"] = base[name]
-        columns[f"delta_{name}"] = metrics.stored(base[name] - before[name])
+        columns[f"delta_{name}"] = metrics.stored(f"{base[name]} - {before[name]}")
     for name in COUNTERS:
-        columns[name] = F.col(name)
-        columns[f"{name}_for_delta"] = F.col(f"{name}_for_delta")
-        columns[f"delta_{name}"] = F.col(f"{name}_for_delta") - F.col(f"{name}_prev")
+        columns[name] = name
+        columns[f"{name}_for_delta"] = f"{name}_for_delta"
+        columns[f"delta_{name}"] = f"{name}_for_delta - {name}_prev"
     for ratio in (SYSTEM_SHARE, *RATIOS):
-
-        def of(side: dict[str, Column], ratio=ratio) -> Column:
-            return metrics.exact_ratio(side[ratio.numerator], side[ratio.denominator], ratio.factor)
-
-        columns[ratio.name] = metrics.stored(of(now))
-        columns[f"{ratio.name}_for_delta"] = metrics.stored(of(base))
-        columns[f"delta_{ratio.name}"] = metrics.stored(metrics.stored(of(base)) - of(before))
-    columns["block_shows_empty"] = F.col("block_shows_empty")
+        shown, compared, earlier = (
+            metrics.exact_ratio(side[ratio.numerator], side[ratio.denominator], ratio.factor)
+            for side in (now, base, before)
+        )
+        columns[ratio.name] = metrics.stored(shown)
+        columns[f"{ratio.name}_for_delta"] = metrics.stored(compared)
+        columns[f"delta_{ratio.name}"] = metrics.stored(f"{metrics.stored(compared)} - {earlier}")
+    columns["block_shows_empty"] = "block_shows_empty"
     columns["effective_block_shows_pc"] = metrics.stored(
-        metrics.filled_share(F.col("block_shows"), F.col("block_shows_empty"))
+        metrics.filled_share("block_shows", "block_shows_empty")
     )
-    return [columns[name].alias(name) for name in FIGURES + DELTA_BASES]
+    return [f"{columns[name]} AS {name}" for name in FIGURES + DELTA_BASES]

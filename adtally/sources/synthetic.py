@@ -6,9 +6,8 @@ are exact and do not depend on the order of the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
 
 from adtally.functions.metrics import stored
 from adtally.sources.tables import SellTables
@@ -20,180 +19,147 @@ def raw(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def _cents(column: str) -> Column:
-    return F.col(column).cast(DecimalType(16, 2))
+def _cents(column: str) -> str:
+    return f"CAST({column} AS DECIMAL(16,2))"
 
 
-def _share(column: str, share: str) -> Column:
-    return stored(_cents(column) * F.lit(share).cast(DecimalType(3, 2)))
-
-
-def _long(value: Column | int) -> Column:
-    return (value if isinstance(value, Column) else F.lit(value)).cast("long")
+def _money(column: str, share: str = "1") -> str:
+    return stored(f"{_cents(column)} * {share}")
 
 
 def day_sell_from_orders(spark: SparkSession, root: str) -> DataFrame:
-    order = F.col("o_orderkey")
-    return raw(spark, root, "orders").select(
-        F.col("o_custkey").alias("site_id"),
-        F.col("o_orderdate").cast("date").alias("day"),
-        _long(100 + order % 900).alias("src_shows"),
-        _long(order % 50).alias("src_clicks"),
-        _long(50 + order % 450).alias("buy_shows"),
-        _long(order % 20).alias("buy_clicks"),
-        _long(200 + order % 300).alias("block_shows"),
-        _long(order % 100).alias("block_shows_empty"),
-        _share("o_totalprice", "0.60").alias("profit"),
-        stored(_cents("o_totalprice")).alias("buyers_expense"),
-        _share("o_totalprice", "0.05").alias("parent_profit"),
-        _share("o_totalprice", "0.03").alias("agent_profit"),
+    return raw(spark, root, "orders").selectExpr(
+        "o_custkey AS site_id",
+        "CAST(o_orderdate AS DATE) AS day",
+        "100 + o_orderkey % 900 AS src_shows",
+        "o_orderkey % 50 AS src_clicks",
+        "50 + o_orderkey % 450 AS buy_shows",
+        "o_orderkey % 20 AS buy_clicks",
+        "200 + o_orderkey % 300 AS block_shows",
+        "o_orderkey % 100 AS block_shows_empty",
+        f"{_money('o_totalprice', '0.60')} AS profit",
+        f"{_money('o_totalprice')} AS buyers_expense",
+        f"{_money('o_totalprice', '0.05')} AS parent_profit",
+        f"{_money('o_totalprice', '0.03')} AS agent_profit",
     )
 
 
 def day_sell_from_lineitem(spark: SparkSession, root: str) -> DataFrame:
-    quantity, line = _long(F.col("l_quantity")), _long(F.col("l_linenumber"))
-    price = _cents("l_extendedprice")
-    discount, tax = (F.col(c).cast(DecimalType(4, 2)) for c in ("l_discount", "l_tax"))
-    return raw(spark, root, "lineitem").select(
-        F.col("l_suppkey").alias("site_id"),
-        F.col("l_shipdate").cast("date").alias("day"),
-        (quantity * 100).alias("src_shows"),
-        (quantity + line).alias("src_clicks"),
-        (quantity * 40).alias("buy_shows"),
-        quantity.alias("buy_clicks"),
-        (quantity * 120).alias("block_shows"),
-        (quantity * line).alias("block_shows_empty"),
-        stored(price * (F.lit(1).cast(DecimalType(1, 0)) - discount)).alias("profit"),
-        stored(price).alias("buyers_expense"),
-        stored(F.lit(0)).alias("parent_profit"),
-        stored(price * tax).alias("agent_profit"),
+    quantity = "CAST(l_quantity AS BIGINT)"
+    return raw(spark, root, "lineitem").selectExpr(
+        "l_suppkey AS site_id",
+        "CAST(l_shipdate AS DATE) AS day",
+        f"{quantity} * 100 AS src_shows",
+        f"{quantity} + l_linenumber AS src_clicks",
+        f"{quantity} * 40 AS buy_shows",
+        f"{quantity} AS buy_clicks",
+        f"{quantity} * 120 AS block_shows",
+        f"{quantity} * l_linenumber AS block_shows_empty",
+        f"{_money('l_extendedprice', '(1 - CAST(l_discount AS DECIMAL(4,2)))')} AS profit",
+        f"{_money('l_extendedprice')} AS buyers_expense",
+        f"{stored('0')} AS parent_profit",
+        f"{_money('l_extendedprice', 'CAST(l_tax AS DECIMAL(4,2))')} AS agent_profit",
     )
 
 
-def _event_sums(events: DataFrame, *keys: Column) -> DataFrame:
-    def of_type(kind: str) -> Column:
-        return F.count_if(F.col("event_type") == kind)
-
-    return events.groupBy(F.col("user_id").alias("site_id"), *keys).agg(
-        of_type("view").alias("src_shows"),
-        of_type("click").alias("src_clicks"),
-        of_type("signup").alias("buy_shows"),
-        of_type("purchase").alias("buy_clicks"),
-        F.count("*").alias("block_shows"),
-        of_type("error").alias("block_shows_empty"),
-        stored(F.sum(_share("value", "0.60"))).alias("profit"),
-        stored(F.sum(_cents("value"))).alias("buyers_expense"),
-        stored(F.sum(_share("value", "0.05"))).alias("parent_profit"),
-        stored(F.sum(_share("value", "0.03"))).alias("agent_profit"),
-    )
+def _event_sums(events: DataFrame, when: str) -> DataFrame:
+    shares = {"profit": "0.60", "buyers_expense": "1", "parent_profit": "0.05", "agent_profit": "0.03"}
+    sums = [
+        "count_if(event_type = 'view') AS src_shows",
+        "count_if(event_type = 'click') AS src_clicks",
+        "count_if(event_type = 'signup') AS buy_shows",
+        "count_if(event_type = 'purchase') AS buy_clicks",
+        "count(*) AS block_shows",
+        "count_if(event_type = 'error') AS block_shows_empty",
+    ]
+    for name, share in shares.items():
+        total = f"sum({_money('value', share)})"
+        sums.append(f"{stored(total)} AS {name}")
+    keys = (F.expr("user_id AS site_id"), F.expr(when))
+    return events.groupBy(*keys).agg(*(F.expr(one) for one in sums))
 
 
 def hour_sell_from_events(spark: SparkSession, root: str) -> DataFrame:
-    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")
+    hour = "CAST(date_trunc('HOUR', ts) AS TIMESTAMP_NTZ) AS hour"
     return _event_sums(raw(spark, root, "events"), hour).drop("block_shows_empty")
 
 
 def day_sell_from_events(spark: SparkSession, root: str) -> DataFrame:
     """Every third event is missing here, so some sites have hour rows but no day row."""
     settled = raw(spark, root, "events").where("event_id % 3 <> 0")
-    return _event_sums(settled, F.col("ts").cast("date").alias("day"))
+    return _event_sums(settled, "CAST(ts AS DATE) AS day")
+
+
+def _site_columns(key: str, letter: str, nation: str, profit_type: str, price: str) -> list[str]:
+    return [
+        f"{key} AS id",
+        f"concat('https://{letter}', {key}, '.example.com') AS url",
+        f"CAST({nation} AS BIGINT) AS seller_id",
+        f"CAST({key} % 10 AS INT) AS country_id",
+        f"{profit_type} AS profit_type",
+        f"CAST(nullif({key} % 6, 0) AS INT) AS min_teaser_rating",
+        f"{_money(price)} AS min_ad_price",
+        f"slice(array(1L, 2L, 3L), 1, CAST({key} % 4 AS INT)) AS buyer_target",
+    ]
 
 
 def sites_from_customer(spark: SparkSession, root: str) -> DataFrame:
     """Every fiftieth customer is left out, so some facts have no site."""
-    key = F.col("c_custkey")
-    return (
-        raw(spark, root, "customer")
-        .where("c_custkey % 50 <> 0")
-        .select(
-            key.alias("id"),
-            F.col("c_name").alias("name"),
-            F.concat(F.lit("https://c"), key.cast("string"), F.lit(".example.com")).alias("url"),
-            _long(F.col("c_nationkey")).alias("seller_id"),
-            (key % 10).cast("int").alias("country_id"),
-            F.col("c_mktsegment").alias("profit_type"),
-            F.nullif(key % 6, F.lit(0)).cast("int").alias("min_teaser_rating"),
-            stored(_cents("c_acctbal")).alias("min_ad_price"),
-            F.slice(F.array(*(F.lit(n).cast("long") for n in (1, 2, 3))), 1, (key % 4).cast("int")).alias(
-                "buyer_target"
-            ),
-        )
-    )
+    columns = _site_columns("c_custkey", "c", "c_nationkey", "c_mktsegment", "c_acctbal")
+    return raw(spark, root, "customer").where("c_custkey % 50 <> 0").selectExpr("c_name AS name", *columns)
 
 
 def sites_from_supplier(spark: SparkSession, root: str) -> DataFrame:
-    key = F.col("s_suppkey")
-    return raw(spark, root, "supplier").select(
-        key.alias("id"),
-        F.col("s_name").alias("name"),
-        F.concat(F.lit("https://s"), key.cast("string"), F.lit(".example.com")).alias("url"),
-        _long(F.col("s_nationkey")).alias("seller_id"),
-        (key % 10).cast("int").alias("country_id"),
-        F.lit("fixed").alias("profit_type"),
-        F.nullif(key % 6, F.lit(0)).cast("int").alias("min_teaser_rating"),
-        stored(_cents("s_acctbal")).alias("min_ad_price"),
-        F.slice(F.array(*(F.lit(n).cast("long") for n in (1, 2, 3))), 1, (key % 4).cast("int")).alias(
-            "buyer_target"
-        ),
-    )
+    columns = _site_columns("s_suppkey", "s", "s_nationkey", "'fixed'", "s_acctbal")
+    return raw(spark, root, "supplier").selectExpr("s_name AS name", *columns)
 
 
 def users_from_nation(spark: SparkSession, root: str) -> DataFrame:
-    key = F.col("n_nationkey")
-    prefix = F.when(key % 4 == 0, F.lit("@nnn@")).otherwise(F.lit(""))
-    return raw(spark, root, "nation").select(
-        _long(key).alias("id"),
-        F.concat(prefix, F.lower("n_name"), F.lit("@example.com")).alias("email"),
-        F.col("n_regionkey").alias("subsystem_id"),
-        (key % 2 == 0).alias("is_exchanger"),
-        (key % 7 == 0).alias("is_disabled"),
+    return raw(spark, root, "nation").selectExpr(
+        "CAST(n_nationkey AS BIGINT) AS id",
+        "concat(IF(n_nationkey % 4 = 0, '@nnn@', ''), lower(n_name), '@example.com') AS email",
+        "n_regionkey AS subsystem_id",
+        "n_nationkey % 2 = 0 AS is_exchanger",
+        "n_nationkey % 7 = 0 AS is_disabled",
     )
 
 
 def user_marks_from_nation(spark: SparkSession, root: str) -> DataFrame:
-    key = F.col("n_nationkey")
-
-    def mark(letter: str, modulus: int) -> Column:
-        return F.concat(F.lit(letter), (key % modulus).cast("string"))
-
+    """Users without any mark have no row."""
     return (
         raw(spark, root, "nation")
         .where("n_nationkey % 5 <> 0")
-        .select(
-            _long(key).alias("user_id"),
-            mark("s", 3).alias("source"),
-            mark("m", 4).alias("medium"),
-            mark("c", 2).alias("campaign"),
-            mark("a", 6).alias("ad"),
+        .selectExpr(
+            "CAST(n_nationkey AS BIGINT) AS user_id",
+            "concat('s', n_nationkey % 3) AS source",
+            "concat('m', n_nationkey % 4) AS medium",
+            "concat('c', n_nationkey % 2) AS campaign",
+            "concat('a', n_nationkey % 6) AS ad",
         )
     )
 
 
 def user_managers_from_nation(spark: SparkSession, root: str) -> DataFrame:
-    key = _long(F.col("n_nationkey"))
-    return raw(spark, root, "nation").select(key.alias("user_id"), (key % 5).alias("manager_id"))
+    return raw(spark, root, "nation").selectExpr(
+        "CAST(n_nationkey AS BIGINT) AS user_id", "CAST(n_nationkey % 5 AS BIGINT) AS manager_id"
+    )
 
 
 def managers_from_region(spark: SparkSession, root: str) -> DataFrame:
-    return raw(spark, root, "region").select(
-        _long(F.col("r_regionkey")).alias("id"), F.col("r_regionkey").alias("group_id")
+    return raw(spark, root, "region").selectExpr(
+        "CAST(r_regionkey AS BIGINT) AS id", "r_regionkey AS group_id"
     )
 
 
 def manager_groups_from_region(spark: SparkSession, root: str) -> DataFrame:
-    group = F.col("r_regionkey")
-    parent = F.when(group.isin(1, 2), 0).when(group == 3, 1).when(group == 4, 3)
-    return raw(spark, root, "region").select(group.alias("group_id"), parent.alias("parent_id"))
+    parent = "CASE r_regionkey WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 1 WHEN 4 THEN 3 END"
+    return raw(spark, root, "region").selectExpr("r_regionkey AS group_id", f"{parent} AS parent_id")
 
 
 def site_categories_from_lineitem(spark: SparkSession, root: str) -> DataFrame:
     lines = raw(spark, root, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    parts = raw(spark, root, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
-    return (
-        lines.join(parts, "l_partkey")
-        .select(F.col("l_suppkey").alias("site_id"), F.col("p_type").alias("category_id"))
-        .distinct()
-    )
+    parts = raw(spark, root, "part").selectExpr("p_partkey AS l_partkey", "p_type AS category_id")
+    return lines.join(parts, "l_partkey").selectExpr("l_suppkey AS site_id", "category_id").distinct()
 
 
 def site_themes_from_lineitem(spark: SparkSession, root: str) -> DataFrame:
@@ -203,16 +169,13 @@ def site_themes_from_lineitem(spark: SparkSession, root: str) -> DataFrame:
         .groupBy("l_suppkey", "l_partkey")
         .agg(F.max("l_discount").alias("discount"))
     )
-    parts = raw(spark, root, "part").select(
-        F.col("p_partkey").alias("l_partkey"),
-        F.explode(F.create_map(F.lit("news"), "p_brand", F.lit("user"), "p_type")).alias(
-            "family", "theme_id"
-        ),
+    parts = raw(spark, root, "part").selectExpr(
+        "p_partkey AS l_partkey", "explode(map('news', p_brand, 'user', p_type)) AS (family, theme_id)"
     )
     return (
         lines.join(parts, "l_partkey")
         .groupBy(F.col("l_suppkey").alias("site_id"), "family", "theme_id")
-        .agg((F.max("discount") > 0.05).alias("is_filtered"))
+        .agg(F.expr("max(discount) > 0.05D AS is_filtered"))
     )
 
 
@@ -220,107 +183,88 @@ def blocked_buyers_from_returns(spark: SparkSession, root: str) -> DataFrame:
     returned = (
         raw(spark, root, "lineitem")
         .where("l_returnflag = 'R'")
-        .select(F.col("l_suppkey").alias("site_id"), F.col("l_orderkey").alias("o_orderkey"))
+        .selectExpr("l_suppkey AS site_id", "l_orderkey AS o_orderkey")
         .distinct()
     )
-    orders = raw(spark, root, "orders").select("o_orderkey", F.col("o_custkey").alias("buyer_id"))
+    orders = raw(spark, root, "orders").selectExpr("o_orderkey", "o_custkey AS buyer_id")
     return returned.join(orders, "o_orderkey").select("site_id", "buyer_id").distinct()
 
 
 def exchange_daily_from_events(spark: SparkSession, root: str) -> DataFrame:
-    def of_type(*kinds: str) -> Column:
-        return F.count_if(F.col("event_type").isin(*kinds))
-
-    def per_click(count: str) -> Column:
-        quotient = F.col(count).cast("double") / F.col("src_clicks")
-        return F.when(F.col("src_clicks") > 0, quotient).otherwise(F.lit(0.0))
-
+    sums = (
+        "count_if(event_type = 'view') AS src_shows",
+        "count_if(event_type = 'click') AS src_clicks",
+        "count_if(event_type = 'signup') AS buy_shows",
+        "count_if(event_type = 'purchase') AS buy_clicks",
+        "count(*) AS in_shows",
+        "count_if(event_type IN ('click', 'purchase')) AS in_clicks",
+        "count_if(event_type = 'error') AS debt",
+    )
     daily = (
         raw(spark, root, "events")
-        .groupBy("user_id", F.col("ts").cast("date").alias("date"))
-        .agg(
-            of_type("view").alias("src_shows"),
-            of_type("click").alias("src_clicks"),
-            of_type("signup").alias("buy_shows"),
-            of_type("purchase").alias("buy_clicks"),
-            F.count("*").alias("in_shows"),
-            of_type("click", "purchase").alias("in_clicks"),
-            of_type("error").alias("debt"),
-        )
+        .groupBy("user_id", F.expr("CAST(ts AS DATE) AS date"))
+        .agg(*(F.expr(one) for one in sums))
     )
-    return daily.withColumns(
-        {"tier_ratio": per_click("buy_clicks"), "calc_exchange_ratio": per_click("debt")}
+    return daily.selectExpr(
+        "*",
+        "IF(src_clicks > 0, CAST(buy_clicks AS DOUBLE) / src_clicks, 0D) AS tier_ratio",
+        "IF(src_clicks > 0, CAST(debt AS DOUBLE) / src_clicks, 0D) AS calc_exchange_ratio",
     )
 
 
 def accounts_from_parties(spark: SparkSession, root: str) -> DataFrame:
     """Regions as agents, customers as buyers, suppliers as sellers, nations as exchangers."""
 
-    def party(table: str, kind: str, first: int, key: str, balance: Column, site: Column) -> DataFrame:
-        number = _long(F.col(key))
-
-        def label(prefix: str, modulus: int) -> Column:
-            return F.concat(F.lit(prefix), (number % modulus).cast("string"))
-
-        return raw(spark, root, table).select(
-            (number + first).alias("id"),
-            F.lit(kind).alias("user_type"),
-            F.concat(F.lit(kind), number.cast("string"), F.lit("@example.com")).alias("email"),
-            label("sub", 4).alias("subsystem"),
-            site.alias("site"),
-            F.when(F.lit(kind == "seller"), number.cast("string")).alias("src_id"),
-            label("country", 10).alias("country"),
-            F.concat(F.lit("Z"), F.lpad(number.cast("string"), 12, "0")).alias("webmoney"),
-            label("status", 3).alias("crm_status"),
-            label("s", 3).alias("source"),
-            label("c", 2).alias("campaign"),
-            label("m", 4).alias("medium"),
-            label("a", 6).alias("ad"),
-            (number % 5).alias("manager_id"),
-            stored(balance).alias("balance"),
+    def party(table: str, kind: str, first: int, key: str, balance: str = "0") -> DataFrame:
+        is_seller = kind == "seller"
+        return raw(spark, root, table).selectExpr(
+            f"CAST({key} + {first} AS BIGINT) AS id",
+            f"'{kind}' AS user_type",
+            f"concat('{kind}', {key}, '@example.com') AS email",
+            f"concat('sub', {key} % 4) AS subsystem",
+            f"concat('https://s', {key}, '.example.com') AS site" if is_seller else "CAST(NULL AS STRING) AS site",
+            f"CAST({key} AS STRING) AS src_id" if is_seller else "CAST(NULL AS STRING) AS src_id",
+            f"concat('country', {key} % 10) AS country",
+            f"concat('Z', lpad(CAST({key} AS STRING), 12, '0')) AS webmoney",
+            f"concat('status', {key} % 3) AS crm_status",
+            f"concat('s', {key} % 3) AS source",
+            f"concat('c', {key} % 2) AS campaign",
+            f"concat('m', {key} % 4) AS medium",
+            f"concat('a', {key} % 6) AS ad",
+            f"CAST({key} % 5 AS BIGINT) AS manager_id",
+            f"{_money(balance)} AS balance",
         )
 
-    no_site, nothing = F.lit(None).cast("string"), F.lit(0)
-    seller_site = F.concat(F.lit("https://s"), F.col("s_suppkey").cast("string"), F.lit(".example.com"))
-    agents = party("region", "agent", 0, "r_regionkey", nothing, no_site)
-    buyers = party("customer", "buyer", FIRST_BUYER, "c_custkey", _cents("c_acctbal"), no_site)
-    sellers = party("supplier", "seller", FIRST_SELLER, "s_suppkey", _cents("s_acctbal"), seller_site)
-    exchangers = party("nation", "exchanger", FIRST_EXCHANGER, "n_nationkey", nothing, no_site)
+    agents = party("region", "agent", 0, "r_regionkey")
+    buyers = party("customer", "buyer", FIRST_BUYER, "c_custkey", "c_acctbal")
+    sellers = party("supplier", "seller", FIRST_SELLER, "s_suppkey", "s_acctbal")
+    exchangers = party("nation", "exchanger", FIRST_EXCHANGER, "n_nationkey")
     return agents.unionByName(buyers).unionByName(sellers).unionByName(exchangers)
 
 
 def visits_from_events(spark: SparkSession, root: str) -> DataFrame:
-    request = F.get_json_object("props", "$.k").cast("long")
-    return raw(spark, root, "events").select(
-        F.col("event_id").alias("visit_id"),
-        F.when(request % 4 != 0, request).otherwise(F.lit(0)).cast("long").alias("ref_id"),
-        F.col("user_id").alias("cookie_ref_id"),
+    asked = raw(spark, root, "events").selectExpr(
+        "event_id AS visit_id",
+        "CAST(get_json_object(props, '$.k') AS BIGINT) AS asked",
+        "user_id AS cookie_ref_id",
     )
+    return asked.selectExpr("visit_id", "IF(asked % 4 = 0, 0, asked) AS ref_id", "cookie_ref_id")
 
 
 def known_referrers_from_customer(spark: SparkSession, root: str) -> DataFrame:
-    return raw(spark, root, "customer").where("c_custkey < 60").select(F.col("c_custkey").alias("id"))
+    return raw(spark, root, "customer").where("c_custkey < 60").selectExpr("c_custkey AS id")
 
 
 def access_log_from_events(spark: SparkSession, root: str) -> DataFrame:
     """Forwarded-for lists of every shape: absent, without an IPv4, and with one further back."""
-    event, user = F.col("event_id"), F.col("user_id")
-    address = F.concat_ws(".", F.lit("10"), (user % 256).cast("string"), (event % 300).cast("string"), F.lit("7"))
-    shape = event % 5
-    forwarded = (
-        F.when(shape == 0, address)
-        .when(shape == 1, F.concat(F.lit("unknown, "), address))
-        .when(shape == 2, F.concat(F.lit("::1 , "), address, F.lit(",8.8.8.8")))
-        .when(shape == 3, F.lit(""))
-    )
-    return raw(spark, root, "events").select(
+    address = "concat('10.', user_id % 256, '.', event_id % 300, '.7')"
+    return raw(spark, root, "events").selectExpr(
         "event_id",
-        F.concat(F.lit("192.0.2."), (user % 250).cast("string")).alias("remote_addr"),
-        forwarded.alias("forwarded_for"),
-        (event % 7 != 0).alias("is_trusted_proxy"),
-        F.concat(F.lit("/"), F.col("event_type"), F.lit("/"), user.cast("string"), F.lit("?p="), F.col("props")).alias(
-            "request_uri"
-        ),
+        "concat('192.0.2.', user_id % 250) AS remote_addr",
+        f"""CASE event_id % 5 WHEN 0 THEN {address} WHEN 1 THEN concat('unknown, ', {address})
+            WHEN 2 THEN concat('::1 , ', {address}, ',8.8.8.8') WHEN 3 THEN '' END AS forwarded_for""",
+        "event_id % 7 <> 0 AS is_trusted_proxy",
+        "concat('/', event_type, '/', user_id, '?p=', props) AS request_uri",
     )
 
 
@@ -341,8 +285,6 @@ def line_tables(spark: SparkSession, root: str) -> SellTables:
         day_sell=day_sell_from_lineitem(spark, root),
         sites=sites_from_supplier(spark, root),
         users=users_from_nation(spark, root),
-        user_marks=user_marks_from_nation(spark, root),
-        user_managers=user_managers_from_nation(spark, root),
         site_categories=site_categories_from_lineitem(spark, root),
         site_themes=site_themes_from_lineitem(spark, root),
         blocked_buyers=blocked_buyers_from_returns(spark, root),
