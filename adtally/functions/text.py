@@ -23,6 +23,9 @@ LONG_LETTERS = {
 
 _LONG_CAPITALS = "".join(LONG_LETTERS).upper()
 _MARK, _OTHER_CONTROL = "\x01", "\x02"
+# Letters to be written all in capitals: each one of a run with a capital before the run, or
+# the last one of a run with a capital behind it.
+_ALL_CAPITALS = rf"(?:(?<=[A-Z])|(?!^)\G)[{_LONG_CAPITALS}]|[{_LONG_CAPITALS}](?=[A-Z])"
 
 # Phrases a title keeps as written here, whatever their case and dots were.
 KEPT_PHRASES = {
@@ -38,6 +41,7 @@ _DOT_ENTITY = "&dote;"
 _LATER_EXCLAMATION = r"((?:^[^!]*!|(?!^)\G)[^!]*)!"
 # Dots at both edges of a text that does not end in an ellipsis.
 _EDGE_DOTS = r"(?s)^(?!.*\.\.\z)\.+|(?<!\.)\.\z"
+_TWO_CAPS = r"[А-ЯЁ-]{2}"
 _CAPS_WORD = r"(?U)\b[А-ЯЁ-]{2,}+\b"
 
 MAX_ABBREVIATIONS = 100_000
@@ -57,16 +61,12 @@ def transliterate(text: Column) -> Column:
     )
     for letter, spelling in LONG_LETTERS.items():
         result = F.replace(result, F.lit(letter), F.lit(spelling))
-    # Mark the letters to be written all in capitals: first every letter of a run that has a
-    # capital before it, then the last one of a run that has a capital behind it.
-    after_capital = rf"((?<=[A-Z])|(?!^)\G)([{_LONG_CAPITALS}])"
-    result = F.regexp_replace(result, after_capital, rf"$2{_MARK}")
-    result = F.regexp_replace(result, rf"([{_LONG_CAPITALS}])(?=[A-Z])", rf"$1{_MARK}")
+    result = F.regexp_replace(result, _ALL_CAPITALS, rf"$0{_MARK}")
     for letter, spelling in LONG_LETTERS.items():
         capital = letter.upper()
         result = F.replace(result, F.lit(capital + _MARK), F.lit(spelling.upper()))
         result = F.replace(result, F.lit(capital), F.lit(spelling.capitalize()))
-    return F.regexp_replace(result, r"[^a-zA-Z0-9_.]", "")
+    return F.regexp_replace(result, r"[^a-zA-Z0-9_.]+", "")
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -115,19 +115,44 @@ def clean_title(title: Column, abbreviations: Iterable[str]) -> Column:
     a capital. A few phrases are kept as they are.
     """
     result = F.regexp_replace(title, r"(?U)\s\s+", " ")
-    result = F.regexp_replace(result, _LATER_EXCLAMATION, "$1.")
-    for phrase in KEPT_PHRASES:
-        guarded = phrase.replace(".", _DOT_ENTITY)
-        result = F.regexp_replace(result, _any_case(phrase), guarded)
+    result = _where(
+        result,
+        lambda text: F.contains(text, F.lit("!")),
+        lambda text: F.regexp_replace(text, _LATER_EXCLAMATION, "$1."),
+    )
+    guarded = {phrase: phrase.replace(".", _DOT_ENTITY) for phrase in KEPT_PHRASES}
+    result = _with_phrases(result, guarded)
     result = F.btrim(result, F.lit(" \t\n\r\x00"))
-    result = F.regexp_replace(result, _EDGE_DOTS, "")
-    result = _with_matches(result, _CAPS_WORD, F.lower)
+    result = _where(
+        result,
+        lambda text: F.startswith(text, F.lit(".")) | F.endswith(text, F.lit(".")),
+        lambda text: F.regexp_replace(text, _EDGE_DOTS, ""),
+    )
+    result = _where(
+        result,
+        lambda text: text.rlike(_TWO_CAPS),
+        lambda text: _with_matches(text, _CAPS_WORD, F.lower),
+    )
     result = _with_abbreviations(result, abbreviations)
     result = _once(result, _with_first_capital)
-    for phrase, shown in KEPT_PHRASES.items():
-        guarded = phrase.replace(".", _DOT_ENTITY)
-        result = F.regexp_replace(result, _any_case(guarded), shown)
-    return result
+    return _with_phrases(result, {guarded[phrase]: shown for phrase, shown in KEPT_PHRASES.items()})
+
+
+def _where(text: Column, applies: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """``change`` applied only to texts a cheap test finds worth it; others stay as they are."""
+    return _once(text, lambda value: F.when(applies(value), change(value)).otherwise(value))
+
+
+def _with_phrases(text: Column, replacements: dict[str, str]) -> Column:
+    """Phrases replaced one after the other in any case, in texts that have one at all."""
+
+    def replaced(value: Column) -> Column:
+        for phrase, replacement in replacements.items():
+            value = F.regexp_replace(value, _any_case(phrase), replacement)
+        return value
+
+    any_phrase = "(?iu)" + "|".join(re.escape(phrase) for phrase in replacements)
+    return _where(text, lambda value: value.rlike(any_phrase), replaced)
 
 
 def _with_first_capital(text: Column) -> Column:
