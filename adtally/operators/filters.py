@@ -1,7 +1,8 @@
 """Filters of the sales report. All of them only narrow the set of reported sites.
 
-A filter says what it needs joined and how it narrows a frame with one row per site. As
-they all narrow, their order does not matter.
+A filter says which attributes it needs and narrows either the rows of the report or, before
+they are joined, the sites of the dimension. As all of them narrow, their order does not
+matter.
 """
 
 from __future__ import annotations
@@ -12,24 +13,29 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adtally.operators.managers import of_managers
 from adtally.operators.spine import MARKS
 from adtally.sources.tables import SellTables
 
 SITES, USERS, MARK_JOIN, LOOKBACK = "sites", "users", "marks", "lookback"
 
 
+Narrow = Callable[[DataFrame, SellTables], DataFrame]
+
+
 @dataclass(frozen=True)
 class SpineFilter:
     needs: frozenset[str]
-    narrow: Callable[[DataFrame, SellTables], DataFrame]
+    narrow_rows: Narrow | None = None
+    narrow_sites: Narrow | None = None
 
 
 def _predicate(condition: Column, *needs: str) -> SpineFilter:
-    return SpineFilter(frozenset(needs), lambda spine, tables: spine.where(condition))
+    return SpineFilter(frozenset(needs), lambda rows, tables: rows.where(condition))
 
 
 def _keep_all() -> SpineFilter:
-    return SpineFilter(frozenset(), lambda spine, tables: spine)
+    return SpineFilter(frozenset())
 
 
 def by_country(country_id: int) -> SpineFilter:
@@ -51,15 +57,15 @@ def by_managers(managers: Iterable[int] | DataFrame) -> SpineFilter:
         if not wanted:
             return _keep_all()
 
-    def narrow(spine: DataFrame, tables: SellTables) -> DataFrame:
+    def narrow(sites: DataFrame, tables: SellTables) -> DataFrame:
         links = tables.user_managers
         if isinstance(managers, DataFrame):
-            links = links.join(managers.toDF("manager_id"), "manager_id", "left_semi")
+            links = of_managers(links, managers)
         else:
             links = links.where(F.col("manager_id").isin(wanted))
-        return spine.join(links.select("user_id").distinct(), "user_id", "left_semi")
+        return sites.join(links.select("user_id").distinct(), "user_id", "left_semi")
 
-    return SpineFilter(frozenset({SITES}), narrow)
+    return SpineFilter(frozenset({SITES}), narrow_sites=narrow)
 
 
 def by_exchanger(choice: str) -> SpineFilter:
@@ -137,9 +143,9 @@ def by_category(category_ids: Iterable[str]) -> SpineFilter:
     """Sites in any of the categories; a site may have many categories."""
     wanted = list(category_ids)
 
-    def narrow(spine: DataFrame, tables: SellTables) -> DataFrame:
+    def narrow(rows: DataFrame, tables: SellTables) -> DataFrame:
         # Distinct before the join: a site listed many times reaches it as one row.
         in_category = tables.site_categories.where(F.col("category_id").isin(wanted))
-        return spine.join(in_category.select("site_id").distinct(), "site_id", "left_semi")
+        return rows.join(in_category.select("site_id").distinct(), "site_id", "left_semi")
 
-    return SpineFilter(frozenset(), narrow)
+    return SpineFilter(frozenset(), narrow_rows=narrow)

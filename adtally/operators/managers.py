@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MAX_LISTED = 10_000
+
 
 def group_with_subgroups(manager_groups: DataFrame, group_id: int) -> DataFrame:
     """``group_id`` of the group itself and of every group below it."""
@@ -29,6 +31,20 @@ def managers_of_group(managers: DataFrame, manager_groups: DataFrame, group_id:
     return managers.join(groups, "group_id", "left_semi").select(F.col("id").alias("manager_id"))
 
 
+def of_managers(df: DataFrame, managers: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``manager_id`` is in the one-column frame ``managers``.
+
+    Managers are staff and so usually few. Up to ``MAX_LISTED`` of them are looked at first
+    and become a plain condition, which reaches the scan and needs no shuffle however many
+    rows one manager has. More than that are joined.
+    """
+    scope = managers.toDF("manager_id").where("manager_id IS NOT NULL").distinct()
+    listed = [row.manager_id for row in scope.take(MAX_LISTED + 1)]
+    if len(listed) <= MAX_LISTED:
+        return df.where(F.col("manager_id").isin(listed))
+    return df.join(scope, "manager_id", "left_semi")
+
+
 def scope_or_previous(chosen: DataFrame, previous: DataFrame) -> DataFrame:
     """The chosen managers, or the previous scope when none was chosen."""
     kept = previous.toDF("manager_id").where(~chosen.exists())

@@ -1,41 +1,38 @@
-"""Attributes of the reported sites. Each step is joined only when something needs it."""
+"""Attributes of the reported sites, one row per site of the dimension.
+
+They are put together before they meet the sums: user rows are looked up for these narrow
+rows, so the wide rows of sums are joined once, on the key they are partitioned by already.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 MARKS = ("source", "medium", "campaign", "ad")
 
 
-def with_site_attributes(spine: DataFrame, sites: DataFrame) -> DataFrame:
-    """Left join: a site without a dimension row keeps nulls."""
-    attributes = sites.select(
-        F.col("id").alias("site_id"),
-        F.col("name").alias("site_name"),
-        F.col("url").alias("site_url"),
-        F.col("seller_id").alias("user_id"),
+def site_attributes(sites: DataFrame) -> DataFrame:
+    return sites.selectExpr(
+        "id AS site_id",
+        "name AS site_name",
+        "url AS site_url",
+        "seller_id AS user_id",
         "country_id",
         "profit_type",
         "min_teaser_rating",
-        F.lit(True).alias("site_known"),
+        "true AS site_known",
     )
-    return spine.join(attributes, "site_id", "left")
 
 
-def with_user_attributes(spine: DataFrame, users: DataFrame) -> DataFrame:
-    attributes = users.select(
-        F.col("id").alias("user_id"),
-        "email",
-        "subsystem_id",
-        "is_exchanger",
-        "is_disabled",
-        F.lit(True).alias("user_known"),
+def with_user_attributes(df: DataFrame, users: DataFrame) -> DataFrame:
+    """Left join on ``user_id``: an unknown user leaves nulls."""
+    attributes = users.selectExpr(
+        "id AS user_id", "email", "subsystem_id", "is_exchanger", "is_disabled", "true AS user_known"
     )
-    return spine.join(attributes, "user_id", "left")
+    return df.join(attributes, "user_id", "left")
 
 
-def with_marks(spine: DataFrame, user_marks: DataFrame) -> DataFrame:
-    """Marketing marks of the site's user; a missing mark is an empty string."""
-    joined = spine.join(user_marks.select("user_id", *MARKS), "user_id", "left")
-    return joined.withColumns({mark: F.coalesce(F.col(mark), F.lit("")) for mark in MARKS})
+def with_marks(df: DataFrame, user_marks: DataFrame) -> DataFrame:
+    """Marketing marks of the user; a missing mark is an empty text."""
+    joined = df.join(user_marks.select("user_id", *MARKS), "user_id", "left")
+    return joined.na.fill("", subset=list(MARKS))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adtally.operators import paging
+from adtally.operators.managers import of_managers, scope_or_previous
 
 TYPES = ("agent", "buyer", "seller", "exchanger")
 MARKS = ("source", "campaign", "medium", "ad")
@@ -97,11 +98,8 @@ class AccountSearch:
             return found.where(F.col("manager_id") == self.scope.picked_id) if self.scope.picked_id else found
         if choice == "my_group":
             # An empty group leaves one's own accounts.
-            group = self.scope.group.toDF("manager_id").distinct()
-            spark = found.sparkSession
-            mine = spark.range(1).select(F.lit(self.scope.own_id).cast("long").alias("manager_id"))
-            allowed = group.unionByName(mine.where(~group.exists()))
-            return found.join(allowed, "manager_id", "left_semi")
+            mine = found.sparkSession.range(1).select(F.lit(self.scope.own_id).cast("long"))
+            return of_managers(found, scope_or_previous(self.scope.group, mine))
         return found
 
     def facets(self) -> DataFrame:

@@ -78,18 +78,32 @@ class SellReport:
         """All report rows, including sites whose dimension row is missing."""
         if self.computed_rows is not None:
             return self.computed_rows
-        grouped = self._by_publisher() if self.by_publisher else self._by_site()
-        return grouped.selectExpr("id", "name", *_figures(), *self._owner_columns())
+        owner = ["user_id", "email", "is_disabled", "is_exchanger", "user_known"]
+        if self.by_publisher:
+            grouped = spine.with_user_attributes(self._by_publisher(), self.tables.users)
+            name = "IF(current_rows > 0, email, NULL) AS name"
+        else:
+            grouped = self._by_site({filters.SITES, filters.USERS})
+            name = "IF(current_rows > 0, site_name, NULL) AS name"
+            owner += ["site_name", "site_url", "site_known"]
+        return grouped.selectExpr("id", name, *_figures(), *owner)
+
+    def figures(self) -> DataFrame:
+        """All report rows without names and owners, which saves the joins for them."""
+        if self.computed_rows is not None:
+            return self.computed_rows
+        grouped = self._by_publisher() if self.by_publisher else self._by_site(set())
+        return grouped.selectExpr("id", *_figures())
 
     def stored(self) -> SellReport:
         """The report with its rows computed once, for several queries over it."""
         return replace(self, computed_rows=checkpointed(self.rows()))
 
     def count(self) -> DataFrame:
-        return self.rows().agg(F.count("*").alias("rows"))
+        return self.figures().agg(F.count("*").alias("rows"))
 
     def total(self) -> DataFrame:
-        return totals.grand_total(self.rows())
+        return totals.grand_total(self.figures())
 
     def page(
         self,
@@ -152,18 +166,27 @@ class SellReport:
             lookback,
         )
         if needs & {filters.SITES, filters.USERS, filters.MARK_JOIN}:
-            rows = spine.with_site_attributes(rows, self.tables.sites)
+            rows = self._with_attributes(rows, needs)
+        for one in self.filters:
+            if one.narrow_rows is not None:
+                rows = one.narrow_rows(rows, self.tables)
+        return rows
+
+    def _with_attributes(self, rows: DataFrame, needs: set[str]) -> DataFrame:
+        """Rows without a site keep nulls, unless a filter has chosen the sites already."""
+        sites = spine.site_attributes(self.tables.sites)
         if filters.USERS in needs:
-            rows = spine.with_user_attributes(rows, self.tables.users)
+            sites = spine.with_user_attributes(sites, self.tables.users)
         if filters.MARK_JOIN in needs:
-            rows = spine.with_marks(rows, self.tables.user_marks)
+            sites = spine.with_marks(sites, self.tables.user_marks)
+        how = "left"
         for one in self.filters:
-            rows = one.narrow(rows, self.tables)
-        return rows
+            if one.narrow_sites is not None:
+                sites, how = one.narrow_sites(sites, self.tables), "inner"
+        return rows.join(sites, "site_id", how)
 
-    def _by_site(self) -> DataFrame:
-        rows = self._filtered_sums({filters.SITES, filters.USERS})
-        return rows.selectExpr("*", "site_id AS id", "IF(current_rows > 0, site_name, NULL) AS name")
+    def _by_site(self, needs: set[str]) -> DataFrame:
+        return self._filtered_sums(needs).withColumn("id", F.col("site_id"))
 
     def _by_publisher(self) -> DataFrame:
         """Sites added up per user, before the user dimension is joined.
@@ -175,12 +198,7 @@ class SellReport:
         sums = list(MEASURES) + ["current_rows"]
         sums += [f"{measure}_{side}" for measure in COMPARED for side in ("for_delta", "prev")]
         grouped = rows.groupBy("user_id").agg(*(F.expr(f"sum({name}) AS {name}") for name in sums))
-        grouped = spine.with_user_attributes(grouped, self.tables.users)
-        return grouped.selectExpr("*", "user_id AS id", "IF(current_rows > 0, email, NULL) AS name")
-
-    def _owner_columns(self) -> list[str]:
-        owner = ["user_id", "email", "is_disabled", "is_exchanger", "user_known"]
-        return owner if self.by_publisher else owner + ["site_name", "site_url", "site_known"]
+        return grouped.withColumn("id", F.col("user_id"))
 
 
 def _operands(suffix: str) -> dict[str, str]:

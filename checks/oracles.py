@@ -128,13 +128,20 @@ _TOTAL_RATIOS = (
 
 _EXCHANGE_TOTAL = f"""
 WITH {_EXCHANGE},
-week AS (SELECT *, {_EXCHANGE_METRICS} FROM rated WHERE {_WEEK}),
-sums AS (SELECT user_id, {_EXCHANGE_SUMS}, round(sum(src_ctr), 6) AS screen_src_ctr,
-    round(sum(tier_ratio), 6) AS screen_tier_ratio,
-    round(sum(calc_exchange_ratio), 6) AS screen_calc_exchange_ratio
-    FROM week GROUP BY user_id)
+sums AS (SELECT user_id, {_EXCHANGE_SUMS} FROM rated WHERE {_WEEK} GROUP BY user_id)
 SELECT *, {_TOTAL_RATIOS}, {_EXCHANGE_METRICS} FROM sums"""
 
+_RATIO_SUMS = ", ".join(
+    f"round(sum({name}), 6) AS {name}"
+    for name in ("src_ctr", "buy_ctr", "in_ctr", "tier_ratio", "calc_exchange_ratio")
+)
+_EXCHANGE_SCREEN_TOTAL = f"""
+WITH {_EXCHANGE},
+week AS (SELECT *, {_EXCHANGE_METRICS} FROM rated WHERE {_WEEK})
+SELECT user_id, 0 AS date, {_EXCHANGE_SUMS}, {_RATIO_SUMS},
+    CAST(sum(exchange_delta) AS BIGINT) AS exchange_delta
+FROM week GROUP BY user_id"""
+
 
 def _four_decimals(numerator: str, denominator: str) -> str:
     """A ratio rounded half up to four decimals, as text, without floating point."""
@@ -407,6 +414,7 @@ SELECT * REPLACE (strftime(date, '%Y-%m-%d') AS date), {_EXCHANGE_METRICS} FROM
 SELECT * REPLACE (strftime(date, '%Y-%m-%d') AS date), strftime(date + 7, '%Y-%m-%d') AS compared_date
 FROM rated WHERE {_LAST_WEEK}""",
         "exchange_total": _EXCHANGE_TOTAL,
+        "exchange_screen_total": _EXCHANGE_SCREEN_TOTAL,
         "exchange_export": _export_sql(),
         "search_facets": f"""WITH {_accounts()}
 SELECT user_type, {_FACETS} FROM accounts WHERE lower(email) LIKE '%r1%' AND campaign = 'c1' GROUP BY user_type""",

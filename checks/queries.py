@@ -108,7 +108,7 @@ def _group_managers(spark: SparkSession, root: str, group: int) -> DataFrame:
 
 def _manager_group_tree(spark: SparkSession, root: str) -> DataFrame:
     accounts = synthetic.accounts_from_parties(spark, root)
-    in_group = accounts.join(_group_managers(spark, root, 1), "manager_id", "left_semi")
+    in_group = managers.of_managers(accounts, _group_managers(spark, root, 1))
     return in_group.groupBy("manager_id", "user_type").agg(F.count("*").alias("accounts"))
 
 
@@ -157,13 +157,14 @@ def _exchange_prev(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _exchange_total(spark: SparkSession, root: str) -> DataFrame:
-    """Both totals side by side: the screen's ratios are sums, the export's are recomputed."""
-    rows = _exchange_rows(spark, root)
-    screen = exchange_report.screen_total(exchange_report.with_row_metrics(rows), "user_id").select(
-        "user_id",
-        *(F.round(name, 6).alias(f"screen_{name}") for name in ("src_ctr", "tier_ratio", "calc_exchange_ratio")),
-    )
-    return exchange_report.export_total(rows, "user_id").join(screen, "user_id")
+    return exchange_report.export_total(_exchange_rows(spark, root), "user_id")
+
+
+def _exchange_screen_total(spark: SparkSession, root: str) -> DataFrame:
+    """Ratios are sums of doubles here, so they are compared to six decimals."""
+    total = exchange_report.screen_total(exchange_report.with_row_metrics(_exchange_rows(spark, root)), "user_id")
+    ratios = ("src_ctr", "buy_ctr", "in_ctr", "tier_ratio", "calc_exchange_ratio")
+    return total.withColumns({name: F.round(name, 6) for name in ratios})
 
 
 def _search(**options) -> Callable[[SparkSession, str], AccountSearch]:
@@ -360,6 +361,7 @@ def queries() -> dict[str, Query]:
         "exchange_by_date": _exchange_by_date,
         "exchange_prev": _exchange_prev,
         "exchange_total": _exchange_total,
+        "exchange_screen_total": _exchange_screen_total,
         "exchange_export": lambda s, d: exchange_report.export_table(_exchange_rows(s, d), "user_id"),
         "search_facets": _search_facets,
         "search_page": _search_page,
