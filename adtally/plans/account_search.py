@@ -122,11 +122,12 @@ class AccountSearch:
         Shown only for a chosen type: for agents from one page on, for others from two.
         """
         if not self.user_type:
-            return self._totals().limit(0)
+            return self.page_counts().limit(0)
         least = 1 if self.user_type == "agent" else 2
-        return self._totals().where(F.col("pages") >= least)
+        return self.page_counts().where(F.col("pages") >= least)
 
-    def _totals(self) -> DataFrame:
+    def page_counts(self) -> DataFrame:
+        """The facets with the number of pages of each type."""
         pages = paging.page_count(F.col("accounts"), ITEMS_OF_ONE_TYPE)
         return self.facets().withColumn("pages", pages)
 

@@ -347,7 +347,7 @@ _REFERRAL = """
 WITH visits AS (SELECT event_id AS visit_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, user_id FROM events),
 asked AS (SELECT visit_id, CASE WHEN k % 4 = 0 THEN 0 ELSE k END AS ref_id, user_id AS cookie_ref_id FROM visits)
 SELECT visit_id, ref_id, cookie_ref_id, CAST(CASE WHEN ref_id = 0 THEN cookie_ref_id
-    WHEN ref_id IN (SELECT c_custkey FROM customer WHERE c_custkey < 60) THEN ref_id END AS VARCHAR) AS referrer_id
+    WHEN ref_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN ref_id END AS VARCHAR) AS referrer_id
 FROM asked"""
 
 _SUM_BY_KEYS = """
@@ -372,6 +372,12 @@ def oracle_sql() -> dict[str, str]:
         "sell_count": f'{sell.report_ctes(ORDERS)} SELECT count(*) AS "rows" FROM report',
         "sell_page_total": sell.page_total_sql(ORDERS, False, by_id, 50, 50),
         "sum_by_keys": _SUM_BY_KEYS,
+        "sum_by_columns": """
+SELECT CAST(sum(o_orderkey) AS BIGINT) AS o_orderkey, CAST(sum(o_custkey) AS BIGINT) AS o_custkey,
+    CAST(sum(CAST(o_totalprice AS DECIMAL(16,2))) AS DOUBLE) AS o_totalprice, 0 AS o_orderdate,
+    CAST(sum(CAST(left(o_orderpriority, 1) AS DOUBLE)) AS DOUBLE) AS o_orderpriority,
+    CAST(sum(CASE WHEN o_orderstatus = 'F' THEN o_orderkey ELSE 0 END) AS DOUBLE) AS o_orderstatus, 0 AS is_open
+FROM orders""",
         "sell_by_site_today": rows_sql(EVENTS),
         "sell_by_site_last_days": rows_sql(EVENT_DAYS),
         "sell_by_publisher_today": rows_sql(EVENTS, True),
@@ -429,6 +435,9 @@ ORDER BY accounts.balance DESC, id LIMIT 50 OFFSET 50""",
         "search_totals": f"""WITH {_accounts()}
 SELECT user_type, {_FACETS}, CAST(ceil(count(*) / 50) AS BIGINT) AS pages FROM accounts
 WHERE user_type = 'buyer' AND medium = 'm2' GROUP BY user_type HAVING ceil(count(*) / 50) > 1""",
+        "search_page_counts": f"""WITH {_accounts()}
+SELECT user_type, {_FACETS}, CAST(ceil(count(*) / 50) AS BIGINT) AS pages FROM accounts
+WHERE lower(email) LIKE '%e%' AND country = 'country7' GROUP BY user_type""",
         "search_scope": f"""WITH {_accounts()}
 SELECT user_type, {_FACETS} FROM accounts WHERE country = 'country3' AND manager_id IN (3, 4) GROUP BY user_type""",
         "clean_numbers": _CLEAN_NUMBERS,

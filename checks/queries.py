@@ -12,12 +12,13 @@ from adtally.functions import numbers, text, urls
 from adtally.operators import filters, managers, panel, workdays
 from adtally.operators.attribution import with_referrer
 from adtally.operators.periods import Period
-from adtally.operators.totals import sum_by_keys
+from adtally.operators.totals import sum_by_columns, sum_by_keys
 from adtally.plans import exchange_report
 from adtally.plans.account_search import AccountSearch, ManagerScope, merged_filters
 from adtally.plans.sell_report import FIGURES, SellReport
 from adtally.sources import synthetic
 from adtally.sources.export import json_rows
+from adtally.sources.tables import spread_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,15 +37,16 @@ def plain(df: DataFrame) -> DataFrame:
     """Decimals as double, booleans as int and dates as text, for comparison across engines."""
     columns = []
     for field in df.schema.fields:
-        value = F.col(field.name)
+        name = f"`{field.name}`"
         if isinstance(field.dataType, DecimalType):
-            value = value.cast("double")
+            columns.append(f"CAST({name} AS DOUBLE) AS {name}")
         elif isinstance(field.dataType, BooleanType):
-            value = value.cast("int")
+            columns.append(f"CAST({name} AS INT) AS {name}")
         elif isinstance(field.dataType, DateType):
-            value = value.cast("string")
-        columns.append(value.alias(field.name))
-    return df.select(*columns)
+            columns.append(f"CAST({name} AS STRING) AS {name}")
+        else:
+            columns.append(name)
+    return df.selectExpr(*columns)
 
 
 def texts(df: DataFrame, *names: str) -> DataFrame:
@@ -90,6 +92,20 @@ def _sum_by_keys(spark: SparkSession, root: str) -> DataFrame:
     return sum_by_keys(events.select(entries.alias("entries")), "entries")
 
 
+def _sum_by_columns(spark: SparkSession, root: str) -> DataFrame:
+    """Columns of every kind: numbers, dates, and texts of which only some are numbers."""
+    orders = synthetic.raw(spark, root, "orders").selectExpr(
+        "o_orderkey",
+        "o_custkey",
+        "CAST(o_totalprice AS DECIMAL(16,2)) AS o_totalprice",
+        "o_orderdate",
+        "left(o_orderpriority, 1) AS o_orderpriority",
+        "IF(o_orderstatus = 'F', CAST(o_orderkey AS STRING), o_orderstatus) AS o_orderstatus",
+        "o_orderstatus = 'O' AS is_open",
+    )
+    return plain(sum_by_columns(orders))
+
+
 def _filtered(make: Callable[..., filters.SpineFilter], *values, **options) -> Query:
     return lambda spark, root: report_rows(month_report(spark, root).where(make(*values, **options)))
 
@@ -193,6 +209,10 @@ def _search_totals(spark: SparkSession, root: str) -> DataFrame:
     return plain(_search(filters={"medium": "m2"}, user_type="buyer")(spark, root).totals())
 
 
+def _search_page_counts(spark: SparkSession, root: str) -> DataFrame:
+    return plain(_search(filters={"email": "e", "country": "country7"})(spark, root).page_counts())
+
+
 def _search_scope(spark: SparkSession, root: str) -> DataFrame:
     scope = ManagerScope("my_group", own_id=2, group=_group_managers(spark, root, 3))
     return plain(_search(filters={"country": "country3"}, scope=scope)(spark, root).facets())
@@ -207,7 +227,7 @@ def cyrillic(column: Column, key: Column) -> Column:
 
 
 def _clean_numbers(spark: SparkSession, root: str) -> DataFrame:
-    lines = synthetic.raw(spark, root, "lineitem")
+    lines = spread_rows(synthetic.raw(spark, root, "lineitem"), "l_orderkey")
     part = [F.col(name).cast("string") for name in ("l_orderkey", "l_suppkey", "l_linenumber")]
     value = F.concat(F.lit("\t "), part[0], F.lit(" "), part[1], F.lit(","), part[2], F.lit(" "), "l_returnflag")
     return lines.select(
@@ -236,25 +256,29 @@ def _clean_url(spark: SparkSession, root: str) -> DataFrame:
     return pages.select("page_id", urls.clean_url(pasted_url(F.col("url"), F.col("page_id"))).alias("cleaned"))
 
 
+def _documents(spark: SparkSession, root: str) -> DataFrame:
+    return spread_rows(synthetic.raw(spark, root, "documents"), "doc_id")
+
+
 def _cyr_to_latin(spark: SparkSession, root: str) -> DataFrame:
-    documents = synthetic.raw(spark, root, "documents")
+    documents = _documents(spark, root)
     russian = cyrillic(F.col("text"), F.col("doc_id"))
     return documents.select("doc_id", text.transliterate(russian).alias("latin"))
 
 
 def _sanitize_title(spark: SparkSession, root: str) -> DataFrame:
-    documents = synthetic.raw(spark, root, "documents")
+    documents = _documents(spark, root)
     russian = cyrillic(F.col("text"), F.col("doc_id"))
     return documents.select("doc_id", text.clean_title(russian, ABBREVIATIONS).alias("title"))
 
 
 def _smart_trim(spark: SparkSession, root: str) -> DataFrame:
-    documents = synthetic.raw(spark, root, "documents")
+    documents = _documents(spark, root)
     return documents.select("doc_id", text.squeezed(F.col("text")).alias("squeezed"))
 
 
 def _bytes_human(spark: SparkSession, root: str) -> DataFrame:
-    documents = synthetic.raw(spark, root, "documents")
+    documents = _documents(spark, root)
     size = F.col("n_chars") * F.col("n_chars") * F.col("doc_id")
     return documents.select("doc_id", numbers.human_bytes(size).alias("shown"))
 
@@ -293,7 +317,7 @@ def _traffic_tag(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _smart_encode(spark: SparkSession, root: str) -> DataFrame:
-    documents = synthetic.raw(spark, root, "documents")
+    documents = _documents(spark, root)
     return documents.select("doc_id", urls.smart_encode(F.col("text")).alias("encoded"))
 
 
@@ -303,7 +327,7 @@ def _smart_encode_urls(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _smart_decode(spark: SparkSession, root: str) -> DataFrame:
-    documents = synthetic.raw(spark, root, "documents")
+    documents = _documents(spark, root)
     encoded = urls.smart_encode(F.col("text"))
     return documents.select("doc_id", urls.smart_decode(encoded).alias("decoded"))
 
@@ -331,6 +355,7 @@ def queries() -> dict[str, Query]:
         "sell_count": lambda s, d: month_report(s, d).count(),
         "sell_page_total": lambda s, d: plain(SellReport.page_total(month_report(s, d).page(2, 50, "profit", True))),
         "sum_by_keys": _sum_by_keys,
+        "sum_by_columns": _sum_by_columns,
         "sell_by_site_today": lambda s, d: report_rows(today_report(s, d)),
         "sell_by_site_last_days": lambda s, d: report_rows(today_report(s, d, period=LAST_DAYS)),
         "sell_by_publisher_today": lambda s, d: report_rows(today_report(s, d, True)),
@@ -367,6 +392,7 @@ def queries() -> dict[str, Query]:
         "search_page": _search_page,
         "search_type_page": _search_type_page,
         "search_totals": _search_totals,
+        "search_page_counts": _search_page_counts,
         "search_scope": _search_scope,
         "clean_numbers": _clean_numbers,
         "clean_url": _clean_url,

@@ -74,7 +74,7 @@ def _event_facts(name: str, key: str, where: str) -> str:
 
 
 EVENT_FACTS = (
-    _event_facts("day_sell", "CAST(ts AS DATE) AS day", "event_id % 3 <> 0")
+    _event_facts("day_sell", "CAST(ts AS DATE) AS day", "value >= 20")
     + ","
     + _event_facts("hour_sell", "date_trunc('hour', ts) AS hour", "true")
 )
@@ -85,7 +85,7 @@ sites AS (
         'https://c' || c_custkey || '.example.com' AS url, CAST(c_nationkey AS BIGINT) AS seller_id,
         c_custkey % 10 AS country_id, c_mktsegment AS profit_type,
         nullif(c_custkey % 6, 0) AS min_teaser_rating
-    FROM customer WHERE c_custkey % 50 <> 0)"""
+    FROM customer WHERE c_acctbal >= 0)"""
 
 SUPPLIER_SITES = """
 sites AS (
@@ -110,7 +110,7 @@ user_marks AS (
     SELECT CAST(n_nationkey AS BIGINT) AS user_id, 's' || n_nationkey % 3 AS source,
         'm' || n_nationkey % 4 AS medium, 'c' || n_nationkey % 2 AS campaign,
         'a' || n_nationkey % 6 AS ad
-    FROM nation WHERE n_nationkey % 5 <> 0)"""
+    FROM nation WHERE n_regionkey <> 0)"""
 
 
 @dataclass(frozen=True)
