@@ -77,19 +77,32 @@ def export_total(rows: DataFrame, *group: str) -> DataFrame:
 
 
 def export_table(rows: DataFrame, *group: str) -> DataFrame:
-    """Formatted text columns with a total row per group.
+    """Formatted text columns of one user, or of every ``group``, with a total row each.
 
-    ``row_order`` sorts days ascending with the total behind them, and is dropped by the
-    writer.
+    Days and total come from one pass: every day also counts for the total, whose ratios are
+    then taken from its sums. ``row_order`` sorts the total behind the days and is dropped by
+    the writer.
     """
-    days = with_row_metrics(rows).withColumns(
-        {"row_order": F.date_format("date", "yyyy-MM-dd"), "date": F.date_format("date", "dd.MM.yyyy")}
+    both = rows.selectExpr(
+        *group,
+        "explode(array(date_format(date, 'yyyy-MM-dd'), 'total')) AS row_order",
+        *COUNTERS,
+        *STORED_RATIOS,
     )
-    total = export_total(rows, *group).withColumns({"row_order": F.lit("total"), "date": F.lit("Total")})
-    columns = [*group, "row_order", *(name for name, _, _ in EXPORT)]
-    both = days.select(*columns).unionByName(total.select(*columns))
-    shown = (f"{_formatted(name, kind)} AS `{header}`" for name, header, kind in EXPORT)
-    return both.selectExpr(*group, "row_order", *shown)
+    summed = both.groupBy(*group, "row_order").agg(*_sums(COUNTERS + STORED_RATIOS))
+    is_total = "row_order = 'total'"
+    recomputed = {
+        "date": f"IF({is_total}, 'Total', date_format(try_cast(row_order AS DATE), 'dd.MM.yyyy'))",
+        "tier_ratio": f"IF({is_total}, {metrics.double_ratio('buy_clicks', 'src_clicks')}, tier_ratio)",
+        "calc_exchange_ratio": f"IF({is_total}, {metrics.double_ratio('debt', 'src_clicks')}, calc_exchange_ratio)",
+    }
+    full = with_row_metrics(summed.selectExpr(*group, "row_order", *COUNTERS, *_named(recomputed)))
+    shown = {header: _formatted(name, kind) for name, header, kind in EXPORT}
+    return full.selectExpr(*group, "row_order", *_named(shown))
+
+
+def _named(columns: dict[str, str]) -> list[str]:
+    return [f"{value} AS `{name}`" for name, value in columns.items()]
 
 
 def _sums(names: tuple[str, ...]) -> list[Column]:
