@@ -78,22 +78,14 @@ class SellReport:
         """All report rows, including sites whose dimension row is missing."""
         if self.computed_rows is not None:
             return self.computed_rows
-        owner = ["user_id", "email", "is_disabled", "is_exchanger", "user_known"]
-        if self.by_publisher:
-            grouped = spine.with_user_attributes(self._by_publisher(), self.tables.users)
-            name = "IF(current_rows > 0, email, NULL) AS name"
-        else:
-            grouped = self._by_site({filters.SITES, filters.USERS})
-            name = "IF(current_rows > 0, site_name, NULL) AS name"
-            owner += ["site_name", "site_url", "site_known"]
-        return grouped.selectExpr("id", name, *_figures(), *owner)
+        return self._named_sums().selectExpr("id", "name", *_selected(_figures()), *self._owner_columns())
 
     def figures(self) -> DataFrame:
         """All report rows without names and owners, which saves the joins for them."""
         if self.computed_rows is not None:
             return self.computed_rows
         grouped = self._by_publisher() if self.by_publisher else self._by_site(set())
-        return grouped.selectExpr("id", *_figures())
+        return grouped.selectExpr("id", *_selected(_figures()))
 
     def stored(self) -> SellReport:
         """The report with its rows computed once, for several queries over it."""
@@ -141,21 +133,37 @@ class SellReport:
     def _sorted_page(
         self, page: int, items: int, order: str, descending: bool, site_label: str
     ) -> DataFrame:
+        """Figures are worked out for the rows of the page only; the sort needs just one of them."""
         order = order if order in SORTABLE else "profit"
-        owned = F.col("user_known")
-        if not self.by_publisher:
-            owned = owned & F.col("site_known")
-        shown = paging.page_of(self.rows().where(owned), order, descending, page, items)
-        flags = ("user_id", "is_disabled", "is_exchanger", F.col(order).alias("sort_key"))
-        if self.by_publisher:
-            return shown.select("id", F.col("email").alias("name"), *flags, *FIGURES)
-        label = F.col(site_label).alias("name")
-        return shown.select("id", F.col("id").alias("site_id"), label, *flags, *FIGURES)
+        if self.computed_rows is not None:
+            rows, figures = self.computed_rows, {name: name for name in FIGURES}
+        else:
+            rows, figures = self._named_sums(), _figures()
+        owned = "user_known" if self.by_publisher else "site_known AND user_known"
+        ready = rows.where(owned).withColumn("sort_key", F.expr(figures.get(order, order)))
+        shown = paging.page_of(ready, "sort_key", descending, page, items)
+        label = "email" if self.by_publisher else site_label
+        site = [] if self.by_publisher else ["id AS site_id"]
+        flags = ("user_id", "is_disabled", "is_exchanger", "sort_key")
+        displayed = _selected({name: figures[name] for name in FIGURES})
+        return shown.selectExpr("id", *site, f"{label} AS name", *flags, *displayed)
 
     @staticmethod
     def page_total(page: DataFrame) -> DataFrame:
         return totals.page_total(page)
 
+    def _owner_columns(self) -> list[str]:
+        owner = ["user_id", "email", "is_disabled", "is_exchanger", "user_known"]
+        return owner if self.by_publisher else owner + ["site_name", "site_url", "site_known"]
+
+    def _named_sums(self) -> DataFrame:
+        """Sums per site or publisher with the attributes of their owner."""
+        if self.by_publisher:
+            grouped = spine.with_user_attributes(self._by_publisher(), self.tables.users)
+            return grouped.withColumn("name", F.expr("IF(current_rows > 0, email, NULL)"))
+        grouped = self._by_site({filters.SITES, filters.USERS})
+        return grouped.withColumn("name", F.expr("IF(current_rows > 0, site_name, NULL)"))
+
     def _filtered_sums(self, extra_needs: set[str]) -> DataFrame:
         needs = set(extra_needs).union(*(f.needs for f in self.filters))
         lookback = lookback_before(self.period.current.start) if filters.LOOKBACK in needs else None
@@ -211,7 +219,11 @@ def _operands(suffix: str) -> dict[str, str]:
     return side
 
 
-def _figures() -> list[str]:
+def _selected(columns: dict[str, str]) -> list[str]:
+    return [f"{value} AS {name}" for name, value in columns.items()]
+
+
+def _figures() -> dict[str, str]:
     """Report columns from the current sums, the delta base and the previous sums.
 
     The delta of a ratio is the stored current ratio minus the unrounded previous one.
@@ -238,4 +250,4 @@ def _figures() -> list[str]:
     columns["effective_block_shows_pc"] = metrics.stored(
         metrics.filled_share("block_shows", "block_shows_empty")
     )
-    return [f"{columns[name]} AS {name}" for name in FIGURES + DELTA_BASES]
+    return {name: columns[name] for name in FIGURES + DELTA_BASES}

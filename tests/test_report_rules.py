@@ -270,3 +270,18 @@ def test_sites_summed_by_publisher_give_the_publisher_report(spark, sf_dir):
     summed = by_site.groupBy(F.col("user_id").alias("id")).agg(*(F.sum(m).alias(m) for m in measures))
     publishers = month_report(spark, sf_dir, True).rows().select("id", *measures)
     assert summed.exceptAll(publishers).count() == publishers.exceptAll(summed).count() == 0
+
+
+def test_finer_money_is_rounded_at_the_site(spark):
+    given = tables(spark, [day(1, "2024-03-11"), day(1, "2024-03-12"), day(2, "2024-03-12")])
+    finer = given.day_sell.withColumn("profit", F.lit("0.000030").cast("decimal(20,6)"))
+    rows = by_id(SellReport(replace(given, day_sell=finer), PERIOD).rows())
+    assert (rows[1].profit, rows[2].profit) == (Decimal("0.0001"), Decimal("0.0000"))
+
+
+def test_largest_money_is_exact(spark):
+    amounts = ["999999999999.9999", "-999999999999.9998", "0.0001"]
+    facts = [day(1, "2024-03-11", profit=amount, expense="0") for amount in amounts]
+    rows = by_id(SellReport(tables(spark, facts), PERIOD).rows())
+    assert rows[1].profit == Decimal("0.0002")
+    assert rows[1].system_profit == Decimal("-0.0002")
