@@ -55,9 +55,13 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def write_day_partitioned(df: DataFrame, path: str, day_column: str) -> None:
-    """Store a fact partitioned by day. Rows of one day are spread over several tasks, so a
-    day or site with many rows does not end up in a single task."""
-    df.write.mode("overwrite").partitionBy(day_column).parquet(path)
+    """Store a fact partitioned by day, in few files per day.
+
+    Rows are gathered by day at run time: a day with many rows is split over several tasks
+    and small days share one, so neither a hot day nor the number of files gets out of hand.
+    """
+    by_day = df.hint("rebalance", day_column)
+    by_day.write.mode("overwrite").partitionBy(day_column).parquet(path)
 
 
 def spread_rows(table: DataFrame, key: str) -> DataFrame:
