@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from adtally.llm.shared import mapped
 from adtally.llm.words import Words, chunks, mixed, words
 
 #: Bound of the training sample: documents of each language, and words of each document.
@@ -262,7 +263,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                     names, scores = _predicted(shared.value, part)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, "doc_id long, lang_pred string, score double")
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), batches, "doc_id long, lang_pred string, score double")
 
 
 def switches(docs: DataFrame, model: Model) -> DataFrame:
@@ -290,4 +291,4 @@ def switches(docs: DataFrame, model: Model) -> DataFrame:
                     names=["doc_id", "first", "last", "lang"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, "doc_id long, first long, last long, lang string")
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), batches, "doc_id long, first long, last long, lang string")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adtally.llm.shared import checkpointed
+from adtally.llm.shared import checkpointed, mapped
 from adtally.llm.tokenizing import encoded, load
 from adtally.llm.words import chunks
 
@@ -106,7 +106,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, PIECE)
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), batches, PIECE)
 
 
 def packed(items: DataFrame, capacity: int = CAPACITY, slack: int = SLACK) -> DataFrame:
@@ -116,7 +116,7 @@ def packed(items: DataFrame, capacity: int = CAPACITY, slack: int = SLACK) -> Da
     equal bins are taken as they come, so the number of sequences may differ between runs on differently dealt rows.
     """
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
-    first = checkpointed(items.mapInArrow(_packed(capacity, 0), f"{kind}, bin long, offset long, used long"))
+    first = checkpointed(mapped(items, _packed(capacity, 0), f"{kind}, bin long, offset long, used long"))
     parts, level, rounds = first.rdd.getNumPartitions(), 0, []
     bins = first.where("offset = 0").select(F.col("bin").alias("child"), F.col("used").alias("length"))
     while parts > 1:
@@ -127,7 +127,7 @@ def packed(items: DataFrame, capacity: int = CAPACITY, slack: int = SLACK) -> Da
             break
         level, parts = level + 1, after
         bins = bins.where(F.col("length") <= capacity - shortest).repartition(parts, F.xxhash64("child"))
-        bins = checkpointed(bins.mapInArrow(_packed(capacity, level), "child long, length long, bin long, offset long, used long"))
+        bins = checkpointed(mapped(bins, _packed(capacity, level), "child long, length long, bin long, offset long, used long"))
         rounds.append(bins.select("child", "bin", "offset"))
         bins = bins.where("offset = 0").select(F.col("bin").alias("child"), F.col("used").alias("length"))
     places = None

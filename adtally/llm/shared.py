@@ -1,12 +1,18 @@
-"""The shared folder of the cluster, and the one place where lineage is cut."""
+"""The shared folder of the cluster, the one place where lineage is cut, and code for Python workers."""
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder that the driver and all executors reach.
@@ -36,3 +42,27 @@ def folder_of(uri: str) -> tuple[pafs.FileSystem, str]:
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the modules of this package to the Python workers, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package, content = Path(__file__).resolve().parent.parent, io.BytesIO()
+    with zipfile.ZipFile(content, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, str(file.relative_to(package.parent)))
+    folder = new_folder(spark, "code")
+    files, path = folder_of(folder)
+    files.create_dir(path)
+    with files.open_output_stream(f"{path}/adtally_code.zip") as out:
+        out.write(content.getvalue())
+    context.addPyFile(f"{folder}/adtally_code.zip")
+    _shipped.add(context.applicationId)
+
+
+def mapped(df: DataFrame, batches: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with functions of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(batches, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adtally.llm.components import components
-from adtally.llm.shared import checkpointed
+from adtally.llm.shared import checkpointed, mapped
 from adtally.llm.words import chunks, words
 
 SHINGLE = 3
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 found = _fingerprints(part.column("text"), shingle)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, "doc_id long, fp long")
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), batches, "doc_id long, fp long")
 
 
 class BKTree:
@@ -178,7 +178,7 @@ def links(known: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE) ->
     )
     # cells (tree, part): members of the tree first, then the values of the other part
     cells = rows.repartition("shard", "tree", "part").sortWithinPartitions("shard", "tree", "part", F.desc("member"))
-    return cells.mapInArrow(_linked(radius), "a long, b long")
+    return mapped(cells, _linked(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adtally.llm.shared import mapped
 from adtally.llm.words import Runs, Words, chunks, words
 
 THRESHOLD = 20
@@ -91,7 +92,7 @@ def seeds(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> Data
                     names=["anchor", "run", "doc_id", "same", "first", "windows"],
                 )
 
-    return docs.mapInArrow(batches, SEED)
+    return mapped(docs, batches, SEED)
 
 
 def _extended(docs: DataFrame, edges: DataFrame, threshold: int, gram: int) -> DataFrame:
@@ -122,7 +123,7 @@ def _extended(docs: DataFrame, edges: DataFrame, threshold: int, gram: int) -> D
                 )
 
     # all columns of docs, so that this and the last join read one and the same shuffle
-    return docs.join(edges, ["doc_id", "same"]).mapInArrow(batches, "anchor long, run long, doc_id long, same int, first int")
+    return mapped(docs.join(edges, ["doc_id", "same"]), batches, "anchor long, run long, doc_id long, same int, first int")
 
 
 def _not_first(rows: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -221,4 +222,4 @@ def substring_dedup(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRA
     rest = rest.withColumn("spans", F.lit(None).cast("array<struct<first:int,last:int>>"))
     joined = placed.join(spans, ["doc_id", "same"], "left").unionByName(rest)
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.drop("text", "spans").schema.fields)
-    return joined.mapInArrow(_kept(texts), f"{kind}, {RESULT}")
+    return mapped(joined, _kept(texts), f"{kind}, {RESULT}")

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from adtally.llm.shared import folder_of
+from adtally.llm.shared import folder_of, mapped
 from adtally.llm.tokenizing import encoded, load
 
 END_ID = 2
@@ -115,7 +115,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, partitions: int | None =
 
     partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(batches, MANIFEST).write.parquet(f"{folder}/manifest")
+    mapped(rows, batches, MANIFEST).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.parquet(f"{folder}/manifest")
 
 
@@ -171,7 +171,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                         )
 
     shards = manifest.select("path", "start").repartition(F.xxhash64("path"))
-    return shards.mapInArrow(batches, DOCUMENT)
+    return mapped(shards, batches, DOCUMENT)
 
 
 def crc32(ids: DataFrame) -> DataFrame:

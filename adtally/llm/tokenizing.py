@@ -1,23 +1,99 @@
-"""Token ids by public tokenizers, loaded once in each Python worker."""
+"""Token ids by public tokenizers, with the ids of known stretches of text kept in each Python worker.
+
+A text is cut where the tokenizer cuts it anyway, at blanks and line ends, and each different stretch of a batch goes to the
+library once. Stretches not known yet are put together to longer texts for that, since a call costs more than a
+short text, and the ids are cut again where the stretches end. Other texts go to the library as they are.
+"""
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from array import array
 from functools import lru_cache
 
+import numpy as np
 from tokenizers import Tokenizer
 
+#: Most stretches whose ids a worker keeps; more are encoded each time they occur in a batch.
+KNOWN = 300_000
+#: Stretches that are put together.
+TOGETHER = 200
+#: Separates stretches where words are encoded without the blanks around them.
+MARK = "\x02"
+
+
+class Encoder:
+    def __init__(self, path: str):
+        # Spark runs one task per core; the library's own threads would only compete with it
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.library = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        model = json.loads(self.library.to_str())
+        self.by_words = bool(model["model"].get("end_of_word_suffix"))
+        self.stretch = re.compile(r"[^ \n]+" if self.by_words else r"[ \n]*[^ \n]+|[ \n]+")
+        self.odd = re.compile(MARK if self.by_words else r"[^\S \n]")
+        if self.by_words:
+            self.mark = self._ids([MARK])[0]
+        else:
+            # a token has a character for each byte it stands for
+            vocabulary = self.library.get_vocab()
+            self.bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+            self.bytes[list(vocabulary.values())] = [len(token) for token in vocabulary]
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, stretches: list[str]) -> list[list[str]]:
+        """Groups of stretches that can be encoded as one text."""
+        groups: list[list[str]] = []
+        for stretch in stretches:
+            alone = not self.by_words and (stretch[0] not in " \n" or not groups or groups[-1][-1].isspace())
+            if alone or not groups or len(groups[-1]) == TOGETHER:
+                groups.append([])
+            groups[-1].append(stretch)
+        return groups
+
+    def _learn(self, stretches: list[str]) -> dict[str, bytes]:
+        groups, found = self._together(stretches), {}
+        between = f" {MARK} " if self.by_words else ""
+        for group, ids in zip(groups, self._ids([between.join(g) for g in groups])):
+            values = np.array(ids, dtype="<u4")
+            if self.by_words:
+                ends = np.append(np.flatnonzero(values == self.mark[0]), len(values))
+                starts = np.append(0, ends[:-1] + 1)
+            else:
+                ends = np.searchsorted(np.cumsum(self.bytes[values]), np.cumsum([len(s.encode()) for s in group])) + 1
+                starts = np.append(0, ends[:-1])
+            content = values.tobytes()
+            for stretch, a, b in zip(group, (4 * starts).tolist(), (4 * ends).tolist()):
+                found[stretch] = content[a:b]
+        return found
+
+    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
+        """Ids of each text and the end id, as little-endian unsigned 32-bit numbers."""
+        end = array("I", [end_id]).tobytes()
+        plain = [i for i, text in enumerate(texts) if self.odd.search(text)]
+        whole = dict(zip(plain, self._ids([texts[i] for i in plain])))
+        cut = [None if i in whole else self.stretch.findall(text) for i, text in enumerate(texts)]
+        ids = [list(map(self.known.get, stretches or ())) for stretches in cut]
+        missing = (s for stretches, found in zip(cut, ids) if None in found for s, x in zip(stretches, found) if x is None)
+        new = self._learn(list(dict.fromkeys(missing)))
+        if len(self.known) < KNOWN:
+            self.known.update(new)
+        for i, (stretches, found) in enumerate(zip(cut, ids)):
+            if stretches is None:
+                ids[i] = [array("I", whole[i]).tobytes()]
+            elif None in found:
+                ids[i] = [new[s] if x is None else x for s, x in zip(stretches, found)]
+        return [b"".join(found) + end for found in ids]
+
 
 @lru_cache(maxsize=4)
-def load(path: str) -> Tokenizer:
-    # Spark runs one task per core; the library's own threads would only compete with it
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Tokenizer.from_file(path)
+def load(path: str) -> Encoder:
+    return Encoder(path)
 
 
-def encoded(tokenizer: Tokenizer, texts: list[str], end_id: int) -> list[bytes]:
-    """Ids of each text and the end id, as little-endian unsigned 32-bit numbers."""
-    end = array("I", [end_id]).tobytes()
-    found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-    return [array("I", x.ids).tobytes() + end for x in found]
+def encoded(encoder: Encoder, texts: list[str], end_id: int) -> list[bytes]:
+    return encoder.encode(texts, end_id)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from adtally.llm.shared import ship
+
 K = 10
 SLICES = 4
 BLOCK = 4096
@@ -145,6 +147,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, slices: int = SLICES,
     is null or holds null or non-finite components, take no part. A vector meets those of as many components. Repeated
     rows are candidates and queries of their own; a row's copies have its vec_id and so are no candidates for it.
     """
+    ship(vectors.sparkSession)
     known = vectors.select(F.col("vec_id").cast("long"), whole_numbers(F.col("embedding"), scale).alias("vector"), queries.alias("asks"))
     known = known.where("vec_id IS NOT NULL AND vector IS NOT NULL").withColumn("dims", F.size("vector"))
     # tells repeated rows apart, and is the same if a task is run again

@@ -30,7 +30,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from adtally.llm.shared import folder_of
+from adtally.llm.shared import folder_of, ship
 
 SCHEMA = (
     "warc_type string, record_id string, target_uri string, date string, refers_to string, payload_digest string, "
@@ -255,6 +255,7 @@ class WarcSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    ship(spark)
     spark.dataSource.register(WarcSource)
 
 
