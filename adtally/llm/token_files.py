@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from adtally.llm.shared import folder_of, mapped
 from adtally.llm.tokenizing import encoded, load
+from adtally.llm.words import chunks
 
 END_ID = 2
 DICTIONARY_BYTES = 64 << 10
@@ -86,16 +87,15 @@ def write(docs: DataFrame, folder: str, tokenizer: str, partitions: int | None =
         from pyspark import TaskContext
 
         shard, name = TaskContext.get().partitionId(), None
-        ids_of, packer = load(tokenizer), zstandard.ZstdCompressor(level=LEVEL, dict_data=_load_dictionary(folder, dictionary))
+        library, packer = load(tokenizer), zstandard.ZstdCompressor(level=LEVEL, dict_data=_load_dictionary(folder, dictionary))
         files, path = folder_of(folder)
         doc_ids, places, counts, place, out = [], [], [], 0, None
         for batch in rows:
             if out is None:
                 name = f"shard-{shard:06d}-{uuid.uuid4().hex}"
                 out = files.open_output_stream(f"{path}/{name}.ids")
-            for start in range(0, len(batch), 64):
-                part = batch.slice(start, 64)
-                for ids in encoded(ids_of, [x or "" for x in part.column("text").to_pylist()], end_id):
+            for part in chunks(batch):
+                for ids in encoded(library, [x or "" for x in part.column("text").to_pylist()], end_id):
                     frame = packer.compress(ids)
                     out.write(frame)
                     places.append(place)
