@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +45,6 @@ _EDGE_DOTS = r"(?s)^(?!.*\.\.\z)\.+|(?<!\.)\.\z"
 _TWO_CAPS = r"[А-ЯЁ-]{2}"
 _CAPS_WORD = r"(?U)\b[А-ЯЁ-]{2,}+\b"
 
-MAX_ABBREVIATIONS = 100_000
-
 
 def transliterate(text: Column) -> Column:
     """Russian text in Latin letters; everything but ``a-z A-Z 0-9 _ .`` is dropped.
@@ -61,12 +60,17 @@ def transliterate(text: Column) -> Column:
     )
     for letter, spelling in LONG_LETTERS.items():
         result = F.replace(result, F.lit(letter), F.lit(spelling))
-    result = F.regexp_replace(result, _ALL_CAPITALS, rf"$0{_MARK}")
+    result = _where(result, lambda value: value.rlike(f"[{_LONG_CAPITALS}]"), _with_long_capitals)
+    return F.regexp_replace(result, r"[^a-zA-Z0-9_.]+", "")
+
+
+def _with_long_capitals(text: Column) -> Column:
+    text = F.regexp_replace(text, _ALL_CAPITALS, rf"$0{_MARK}")
     for letter, spelling in LONG_LETTERS.items():
         capital = letter.upper()
-        result = F.replace(result, F.lit(capital + _MARK), F.lit(spelling.upper()))
-        result = F.replace(result, F.lit(capital), F.lit(spelling.capitalize()))
-    return F.regexp_replace(result, r"[^a-zA-Z0-9_.]+", "")
+        text = F.replace(text, F.lit(capital + _MARK), F.lit(spelling.upper()))
+        text = F.replace(text, F.lit(capital), F.lit(spelling.capitalize()))
+    return text
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -74,11 +78,11 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _with_matches(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+def _with_matches(text: Column, pattern: Column, change: Callable[[Column], Column]) -> Column:
     """The text with every match of ``pattern`` replaced by ``change(match)``."""
 
     def replaced(whole: Column) -> Column:
-        changed = F.transform(F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)), change)
+        changed = F.transform(F.regexp_extract_all(whole, pattern, F.lit(0)), change)
         pairs = F.zip_with(
             F.split(whole, pattern, -1),
             changed,
@@ -93,27 +97,45 @@ def _any_case(phrase: str) -> str:
     return "(?iu)" + re.escape(phrase)
 
 
-def read_abbreviations(words: DataFrame) -> list[str]:
-    """Different non-empty words of a one-column frame, for :func:`clean_title`.
-
-    The dictionary becomes part of the expression, so its size is checked before it is read.
-    """
-    word = F.col(words.columns[0])
-    distinct = words.select(F.upper(F.trim(word)).alias("word")).where("word <> ''").distinct()
-    found = [row.word for row in distinct.orderBy("word").limit(MAX_ABBREVIATIONS + 1).toLocalIterator()]
-    if len(found) > MAX_ABBREVIATIONS:
-        raise ValueError(f"more than {MAX_ABBREVIATIONS} abbreviations")
-    return found
-
-
 def clean_title(title: Column, abbreviations: Iterable[str]) -> Column:
     """A title without excess punctuation and words in capitals.
 
     Runs of blanks become one, the first exclamation mark stays and further ones become
     dots, single dots at the edges go, words in capitals become lower case except the
     ``abbreviations`` (given in capitals), which become upper case, and the first letter is
-    a capital. A few phrases are kept as they are.
+    a capital. A few phrases are kept as they are. A dictionary that is a table goes to
+    :func:`with_clean_titles`.
     """
+    return _finished(_with_abbreviations(_lowered(title), abbreviations))
+
+
+def with_clean_titles(df: DataFrame, title: str, abbreviations: DataFrame, output: str = "title") -> DataFrame:
+    """``df`` with the clean form of a text column, with the abbreviations in a one-column frame.
+
+    An entry is looked up by its first word among the words of the titles, in a join of different words and
+    different titles. So only entries that may occur in a title are searched for in it, and
+    the dictionary may be of any size. Entries without a letter, digit or underscore are ignored.
+    """
+    entry = F.upper(F.trim(F.col(abbreviations.columns[0])))
+    entries = abbreviations.select(entry.alias("_entry")).distinct()
+    entries = entries.withColumn("_word", F.regexp_extract("_entry", r"(?U)\w+", 0)).where("_word <> ''")
+    rows = df.withColumn("_lowered", _lowered(F.col(title)))
+    texts = rows.select("_lowered").distinct()
+    words = F.array_distinct(F.transform(F.regexp_extract_all("_lowered", F.lit(r"(?U)\w+"), F.lit(0)), F.upper))
+    found = texts.select("_lowered", F.explode(words).alias("_word")).join(entries, "_word")
+    quoted = F.concat(F.lit("\\Q"), "_entry", F.lit("\\E"))
+    longest = F.transform(
+        F.array_sort(F.collect_list(F.struct((-F.length("_entry")).alias("n"), quoted.alias("q")))), lambda x: x["q"]
+    )
+    pattern = F.concat(F.lit(r"(?iuU)\b(?:"), F.array_join(longest, "|"), F.lit(r")\b"))
+    joined = rows.join(found.groupBy("_lowered").agg(pattern.alias("_pattern")), "_lowered", "left")
+    text = F.col("_lowered")
+    marked = F.when(F.col("_pattern").isNotNull(), _with_matches(text, F.col("_pattern"), F.upper)).otherwise(text)
+    return joined.withColumn(output, _finished(marked)).drop("_lowered", "_pattern")
+
+
+def _lowered(title: Column) -> Column:
+    """A title up to the point where abbreviations are looked up."""
     result = F.regexp_replace(title, r"(?U)\s\s+", " ")
     result = _where(
         result,
@@ -128,14 +150,16 @@ def clean_title(title: Column, abbreviations: Iterable[str]) -> Column:
         lambda text: F.startswith(text, F.lit(".")) | F.endswith(text, F.lit(".")),
         lambda text: F.regexp_replace(text, _EDGE_DOTS, ""),
     )
-    result = _where(
+    return _where(
         result,
         lambda text: text.rlike(_TWO_CAPS),
-        lambda text: _with_matches(text, _CAPS_WORD, F.lower),
+        lambda text: _with_matches(text, F.lit(_CAPS_WORD), F.lower),
     )
-    result = _with_abbreviations(result, abbreviations)
-    result = _once(result, _with_first_capital)
-    return _with_phrases(result, {guarded[phrase]: shown for phrase, shown in KEPT_PHRASES.items()})
+
+
+def _finished(title: Column) -> Column:
+    shown = {phrase.replace(".", _DOT_ENTITY): shown for phrase, shown in KEPT_PHRASES.items()}
+    return _with_phrases(_once(title, _with_first_capital), shown)
 
 
 def _where(text: Column, applies: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
@@ -162,7 +186,7 @@ def _with_first_capital(text: Column) -> Column:
 
 
 def _with_abbreviations(text: Column, abbreviations: Iterable[str]) -> Column:
-    """Single words are looked up in a set; entries with other characters are searched for."""
+    """Single words are looked up in a set; entries with other characters in one search, longest first."""
     words, composed = [], []
     for entry in dict.fromkeys(abbreviations):
         (words if re.fullmatch(r"\w+", entry) else composed).append(entry)
@@ -170,9 +194,13 @@ def _with_abbreviations(text: Column, abbreviations: Iterable[str]) -> Column:
         def in_capitals(word: Column) -> Column:
             return F.when(F.upper(word).isin(words), F.upper(word)).otherwise(word)
 
-        text = _with_matches(text, r"(?U)\w+", in_capitals)
-    for entry in composed:
-        text = F.regexp_replace(text, rf"(?iuU)\b{re.escape(entry)}\b", entry)
+        text = _with_matches(text, F.lit(r"(?U)\w+"), in_capitals)
+    if composed:
+        longest = sorted(composed, key=lambda entry: (-len(entry), entry))
+        pattern = rf"(?iuU)\b(?:{'|'.join(re.escape(entry) for entry in longest)})\b"
+        text = _where(
+            text, lambda value: value.rlike(pattern), lambda value: _with_matches(value, F.lit(pattern), F.upper)
+        )
     return text
 
 
@@ -188,7 +216,7 @@ def without_suffix(text: Column, suffix: str) -> Column:
 
 def tag_without_site(tag: Column) -> Column:
     """Main part of a traffic tag ``tag_SITEID``; other tags are left as they are."""
-    return F.regexp_replace(tag, r"^([a-zA-Z0-9_]+)_([0-9]+)$", "$1")
+    return F.regexp_replace(tag, r"^([a-zA-Z0-9_]+)_([0-9]+)\n?\z", "$1")
 
 
 def squeezed(text: Column) -> Column:
@@ -196,9 +224,15 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\x00-\x20\xA0]+", " "))
 
 
+# The names of entities of HTML 4.01, and numbers up to the last code point.
+_ENTITY_NAMES = "|".join(sorted(name2codepoint))
+_LAST_DECIMAL = "[0-9]{1,6}|10[0-9]{5}|110[0-9]{4}|111[0-3][0-9]{3}|11140[0-9]{2}|111410[0-9]|111411[01]"
+_ENTITY = f"(?:{_ENTITY_NAMES}|#0*(?:{_LAST_DECIMAL})|#[xX]0*(?:[0-9a-fA-F]{{1,5}}|10[0-9a-fA-F]{{4}}));"
+
+
 def escape_html(text: Column) -> Column:
     """Markup characters as entities; ampersands that already start an entity are kept."""
-    result = F.regexp_replace(text, r"&(?!(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9a-fA-F]+);)", "&amp;")
+    result = F.regexp_replace(text, f"&(?!{_ENTITY})", "&amp;")
     for character, entity in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#039;")):
         result = F.replace(result, F.lit(character), F.lit(entity))
     return result

@@ -17,7 +17,7 @@ _IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 # Text that has a character outside this set needs encoding. Fixed value.
 _UNSAFE = r"[^a-zA-Z0-9\-_.~%?:/#=&@*\[\]{}|!]"
 # scheme, host, port, path, query and fragment; a user name before the host is dropped.
-_URL = r"^([A-Za-z][A-Za-z0-9+.\-]*://)(?:[^/?#]*@)?([^/?#:]*)(:[0-9]+)?([^?#]*)(\?[^#]*)?(#[\s\S]*)?$"
+_URL = r"^([A-Za-z][A-Za-z0-9+.\-]*://)(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)(:[0-9]+)?([^?#]*)(\?[^#]*)?(#[\s\S]*)?$"
 _IS_URL = r"^(?i:https?|ftp)://[^\s/?#]+\S*$"
 _PUNYCODE_LABEL = re.compile(r"(?i)xn--[a-z0-9-]+")
 
@@ -51,7 +51,7 @@ def visitor_ip(remote: Column, forwarded: Column, is_trusted: Column) -> Column:
 
 def script_name(request_uri: Column) -> Column:
     """Request URI without its query."""
-    return F.regexp_replace(request_uri, r"^([^?]+).*$", "$1")
+    return F.regexp_replace(request_uri, r"^([^?]+)[^\n]*", "$1")
 
 
 def form_encoded(text: Column) -> Column:
@@ -64,13 +64,20 @@ def _path_encoded(text: Column) -> Column:
 
 
 # Both host conversions are defined inside functions, so that executors get their code with
-# the task and do not need this package installed.
+# the task and do not need this package installed. Names follow the rules of 2008 (UTS 46) of
+# the public package idna; without it on the executors those of 2003 in Python's own codec.
 def _host_to_ascii(hosts: Column) -> Column:
     """International host names in their ASCII form; a name without one stays as it is."""
 
     def convert(host: str) -> str:
         try:
-            return host.encode("idna").decode("ascii")
+            import idna
+        except ImportError:
+            idna = None
+        try:
+            if idna is None:
+                return host.encode("idna").decode("ascii")
+            return idna.encode(host, uts46=True).decode("ascii")
         except UnicodeError:
             return host
 
@@ -86,7 +93,13 @@ def _labels_to_unicode(texts: Column) -> Column:
 
     def readable(label: re.Match) -> str:
         try:
-            return label.group().encode("ascii").decode("idna")
+            import idna
+        except ImportError:
+            idna = None
+        try:
+            if idna is None:
+                return label.group().encode("ascii").decode("idna")
+            return idna.decode(label.group())
         except UnicodeError:
             return label.group()
 

@@ -1,8 +1,8 @@
 """Filters of the sales report. All of them only narrow the set of reported sites.
 
-A filter says which attributes it needs and narrows either the rows of the report or, before
-they are joined, the sites of the dimension. As all of them narrow, their order does not
-matter.
+Conditions on attributes choose sites in the dimension, and the facts are narrowed to these
+before they are summed. As all filters narrow, their order does not matter. An empty field
+(no text, no entries) is no filter.
 """
 
 from __future__ import annotations
@@ -13,29 +13,39 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adtally.operators.managers import of_managers
+from adtally.operators.managers import listed
 from adtally.operators.spine import MARKS
 from adtally.sources.tables import SellTables
 
-SITES, USERS, MARK_JOIN, LOOKBACK = "sites", "users", "marks", "lookback"
-
-
-Narrow = Callable[[DataFrame, SellTables], DataFrame]
+SITES, USERS, LOOKBACK = "sites", "users", "lookback"
 
 
 @dataclass(frozen=True)
 class SpineFilter:
-    needs: frozenset[str]
-    narrow_rows: Narrow | None = None
-    narrow_sites: Narrow | None = None
+    """One filter, given by some of:
+
+    ``condition`` on the attributes of sites that ``needs`` names; with ``keeps_unknown`` facts of
+    sites outside the dimension pass. ``narrow_sites`` narrows the sites of the dimension, and
+    ``site_ids`` gives the ids to keep. ``unless_empty`` is a frame without whose rows the
+    filter keeps everything. ``row_condition`` is put to the sums, ``fact_condition`` to the facts.
+    """
+
+    needs: frozenset[str] = frozenset()
+    condition: Column | None = None
+    keeps_unknown: bool = False
+    narrow_sites: Callable[[DataFrame, SellTables], DataFrame] | None = None
+    site_ids: Callable[[SellTables], DataFrame] | None = None
+    unless_empty: DataFrame | None = None
+    row_condition: Column | None = None
+    fact_condition: Column | None = None
 
 
 def _predicate(condition: Column, *needs: str) -> SpineFilter:
-    return SpineFilter(frozenset(needs), lambda rows, tables: rows.where(condition))
+    return SpineFilter(frozenset(needs), condition)
 
 
 def _keep_all() -> SpineFilter:
-    return SpineFilter(frozenset())
+    return SpineFilter()
 
 
 def by_country(country_id: int) -> SpineFilter:
@@ -46,26 +56,27 @@ def by_subsystem(subsystem_id: int) -> SpineFilter:
     return _predicate(F.col("subsystem_id") == subsystem_id, USERS)
 
 
-def by_managers(managers: Iterable[int] | DataFrame) -> SpineFilter:
+def by_managers(managers: Iterable[int] | DataFrame | None) -> SpineFilter:
     """Sites whose user belongs to one of the managers.
 
     ``managers`` is a list of ids or a one-column frame such as
-    :func:`adtally.operators.managers.managers_of_group` gives. An empty list is no filter.
+    :func:`adtally.operators.managers.managers_of_group` gives. None, an empty list and a frame
+    without rows are no filter.
     """
-    if not isinstance(managers, DataFrame):
-        wanted = list(managers)
-        if not wanted:
-            return _keep_all()
+    scope = managers if isinstance(managers, DataFrame) else None
+    wanted = [] if scope is not None else list(managers or ())
+    if scope is None and not wanted:
+        return _keep_all()
 
     def narrow(sites: DataFrame, tables: SellTables) -> DataFrame:
         links = tables.user_managers
-        if isinstance(managers, DataFrame):
-            links = of_managers(links, managers)
-        else:
+        if scope is None:
             links = links.where(F.col("manager_id").isin(wanted))
+        else:
+            links = links.join(listed(scope), "manager_id", "left_semi")
         return sites.join(links.select("user_id").distinct(), "user_id", "left_semi")
 
-    return SpineFilter(frozenset({SITES}), narrow_sites=narrow)
+    return SpineFilter(frozenset({SITES}), narrow_sites=narrow, unless_empty=None if scope is None else listed(scope))
 
 
 def by_exchanger(choice: str) -> SpineFilter:
@@ -82,6 +93,8 @@ def by_exchanger(choice: str) -> SpineFilter:
 def by_user(wanted: str, exact: bool = False) -> SpineFilter:
     """By user id if the text is a number, else by a part of the e-mail (whole if ``exact``)."""
     text = wanted.strip()
+    if not text:
+        return _keep_all()
     if text.isdecimal():
         return _predicate(F.col("user_id") == int(text), SITES)
     email = F.lower("email")
@@ -91,30 +104,37 @@ def by_user(wanted: str, exact: bool = False) -> SpineFilter:
 
 def by_network(prefix: str) -> SpineFilter:
     """Users of a partner network carry its prefix in front of their e-mail."""
-    return _predicate(F.col("email").startswith(prefix), USERS)
+    return _predicate(F.col("email").startswith(prefix), USERS) if prefix else _keep_all()
 
 
 def by_site(wanted: str) -> SpineFilter:
     """By site id if the text is a number, else by a part of the URL."""
     text = wanted.strip()
+    if not text:
+        return _keep_all()
     if text.isdecimal():
-        return _predicate(F.col("site_id") == int(text))
+        return SpineFilter(fact_condition=F.col("site_id") == int(text))
     return _predicate(F.lower("site_url").contains(text.lower()), SITES)
 
 
 def by_marks(marks: Mapping[str, str], allowed: Iterable[str] = MARKS) -> SpineFilter:
-    """Equality on every allowed mark that has a value. Marks are joined only for this filter."""
+    """Equality on every allowed mark that has a value, of one row of the user's marks."""
     wanted = {name: marks[name] for name in allowed if marks.get(name)}
     if not wanted:
         return _keep_all()
-    condition = F.lit(True)
-    for name, value in wanted.items():
-        condition = condition & (F.col(name) == value)
-    return _predicate(condition, SITES, MARK_JOIN)
+
+    def narrow(sites: DataFrame, tables: SellTables) -> DataFrame:
+        marked = tables.user_marks
+        for name, value in wanted.items():
+            marked = marked.where(F.col(name) == value)
+        return sites.join(marked.select("user_id"), "user_id", "left_semi")
+
+    return SpineFilter(frozenset({SITES}), narrow_sites=narrow)
 
 
 def by_profit_types(profit_types: Iterable[str]) -> SpineFilter:
-    return _predicate(F.col("profit_type").isin(list(profit_types)), SITES)
+    wanted = list(profit_types)
+    return _predicate(F.col("profit_type").isin(wanted), SITES) if wanted else _keep_all()
 
 
 def by_publisher_status(status: str) -> SpineFilter:
@@ -123,29 +143,31 @@ def by_publisher_status(status: str) -> SpineFilter:
     The lookback rows are counted in the same pass over the facts as the report's sums.
     """
     if status == "new":
-        return _predicate(F.col("lookback_rows") == 0, LOOKBACK)
+        return SpineFilter(frozenset({LOOKBACK}), row_condition=F.col("lookback_rows") == 0)
     if status == "current":
-        return _predicate(F.col("lookback_rows") > 0, LOOKBACK)
+        return SpineFilter(frozenset({LOOKBACK}), row_condition=F.col("lookback_rows") > 0)
     raise ValueError(f"unknown publisher status {status!r}")
 
 
 def by_min_teaser_rating(ratings: Iterable[int | None]) -> SpineFilter:
     """Any of the listed ratings; ``None`` in the list stands for sites without one."""
     chosen = list(ratings)
+    if not chosen:
+        return _keep_all()
     rating = F.col("min_teaser_rating")
     condition = rating.isin([value for value in chosen if value is not None])
     if None in chosen:
         condition = condition | rating.isNull()
-    return _predicate(condition, SITES)
+    return SpineFilter(frozenset({SITES}), condition, keeps_unknown=None in chosen)
 
 
 def by_category(category_ids: Iterable[str]) -> SpineFilter:
     """Sites in any of the categories; a site may have many categories."""
     wanted = list(category_ids)
+    if not wanted:
+        return _keep_all()
 
-    def narrow(rows: DataFrame, tables: SellTables) -> DataFrame:
-        # Distinct before the join: a site listed many times reaches it as one row.
-        in_category = tables.site_categories.where(F.col("category_id").isin(wanted))
-        return rows.join(in_category.select("site_id").distinct(), "site_id", "left_semi")
+    def ids(tables: SellTables) -> DataFrame:
+        return tables.site_categories.where(F.col("category_id").isin(wanted)).select("site_id")
 
-    return SpineFilter(frozenset(), narrow_rows=narrow)
+    return SpineFilter(site_ids=ids)

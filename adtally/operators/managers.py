@@ -1,24 +1,31 @@
-"""Manager groups and the manager scope of a report or search."""
+"""Manager groups and the manager scope of a report or search.
+
+A scope is a one-column frame of manager ids. ``None``, and also a frame without rows, is no
+restriction. Nothing is computed while a scope is put together.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_LISTED = 10_000
+MAX_DEPTH = 1000
 
 
 def group_with_subgroups(manager_groups: DataFrame, group_id: int) -> DataFrame:
-    """``group_id`` of the group itself and of every group below it."""
+    """``group_id`` of the group itself and of every group below it.
+
+    Groups that are below themselves end the way down. More than ``MAX_DEPTH`` levels are an error.
+    """
     return manager_groups.sparkSession.sql(
-        """
-        WITH RECURSIVE below(group_id) AS (
-            SELECT group_id FROM {groups} WHERE group_id = :root
+        f"""
+        WITH RECURSIVE below(group_id, way) MAX RECURSION LEVEL {MAX_DEPTH} AS (
+            SELECT group_id, array(group_id) FROM {{groups}} WHERE group_id = :root
             UNION ALL
-            SELECT child.group_id FROM below JOIN {groups} AS child
-                ON child.parent_id = below.group_id
+            SELECT child.group_id, array_append(below.way, child.group_id) FROM below JOIN {{groups}} AS child
+                ON child.parent_id = below.group_id AND NOT array_contains(below.way, child.group_id)
         )
-        SELECT group_id FROM below
+        SELECT DISTINCT group_id FROM below
         """,
         args={"root": group_id},
         groups=manager_groups,
@@ -31,39 +38,49 @@ def managers_of_group(managers: DataFrame, manager_groups: DataFrame, group_id:
     return managers.join(groups, "group_id", "left_semi").select(F.col("id").alias("manager_id"))
 
 
-def of_managers(df: DataFrame, managers: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``manager_id`` is in the one-column frame ``managers``.
+def listed(scope: DataFrame) -> DataFrame:
+    """The different managers of a scope."""
+    return scope.toDF("manager_id").where("manager_id IS NOT NULL").distinct()
 
-    Managers are staff and so usually few. Up to ``MAX_LISTED`` of them are looked at first
-    and become a plain condition, which reaches the scan and needs no shuffle however many
-    rows one manager has. More than that are joined.
-    """
-    scope = managers.toDF("manager_id").where("manager_id IS NOT NULL").distinct()
-    listed = [row.manager_id for row in scope.take(MAX_LISTED + 1)]
-    if len(listed) <= MAX_LISTED:
-        return df.where(F.col("manager_id").isin(listed))
-    return df.join(scope, "manager_id", "left_semi")
+
+def of_managers(df: DataFrame, scope: DataFrame | None) -> DataFrame:
+    """Rows of ``df`` whose ``manager_id`` is in the scope."""
+    return df if scope is None else kept_by(df, "manager_id", listed(scope), listed(scope))
+
+
+def kept_by(df: DataFrame, key: str, keys: DataFrame, unless_empty: DataFrame) -> DataFrame:
+    """Rows of ``df`` with a key in the one-column frame ``keys``, or all if ``unless_empty`` has no rows."""
+    return df.sparkSession.sql(
+        f"""
+        SELECT * FROM {{df}}
+        WHERE {key} IN (SELECT * FROM {{keys}}) OR NOT EXISTS (SELECT 1 FROM {{scope}})
+        """,
+        df=df,
+        keys=keys,
+        scope=unless_empty,
+    )
 
 
-def scope_or_previous(chosen: DataFrame, previous: DataFrame) -> DataFrame:
+def scope_or_previous(chosen: DataFrame, previous: DataFrame | None) -> DataFrame:
     """The chosen managers, or the previous scope when none was chosen."""
+    if previous is None:
+        return chosen.toDF("manager_id")
     kept = previous.toDF("manager_id").where(~chosen.exists())
     return chosen.toDF("manager_id").unionByName(kept)
 
 
 def narrow_to_manager(
-    manager_id: int, previous: DataFrame, allowed: DataFrame | None = None
-) -> DataFrame:
+    manager_id: int, previous: DataFrame | None, allowed: DataFrame | None = None
+) -> DataFrame | None:
     """Scope after one manager was picked.
 
     ``allowed`` are the managers the person may pick from; ``None`` means any manager. Id 0
     and ids outside ``allowed`` leave the previous scope as it is.
     """
-    previous = previous.toDF("manager_id")
     if manager_id == 0:
         return previous
+    picked = F.lit(manager_id).cast("long").alias("manager_id")
     if allowed is None:
-        spark = previous.sparkSession
-        return spark.range(1).select(F.lit(manager_id).cast("long").alias("manager_id"))
+        return SparkSession.active().range(1).select(picked)
     chosen = allowed.toDF("manager_id").where(F.col("manager_id") == manager_id)
     return scope_or_previous(chosen, previous)

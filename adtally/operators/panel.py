@@ -29,15 +29,12 @@ def blocked_buyer_counts(blocked_buyers: DataFrame) -> DataFrame:
     )
 
 
-def with_panel(page: DataFrame, tables: SellTables, is_small: bool) -> DataFrame:
+def with_panel(page: DataFrame, tables: SellTables) -> DataFrame:
     """The page with rating, price and buyer targets, theme counts and blocked buyers.
 
     The large relations are narrowed to the sites of the page before they are aggregated.
-    ``is_small`` says that the page has a fixed row limit and so may be broadcast.
     """
     ids = page.select(F.col("id").alias("site_id"))
-    if is_small:
-        ids = F.broadcast(ids)
 
     def of_page(relation: DataFrame) -> DataFrame:
         return relation.join(ids, "site_id", "left_semi")

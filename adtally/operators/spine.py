@@ -31,8 +31,3 @@ def with_user_attributes(df: DataFrame, users: DataFrame) -> DataFrame:
     )
     return df.join(attributes, "user_id", "left")
 
-
-def with_marks(df: DataFrame, user_marks: DataFrame) -> DataFrame:
-    """Marketing marks of the user; a missing mark is an empty text."""
-    joined = df.join(user_marks.select("user_id", *MARKS), "user_id", "left")
-    return joined.na.fill("", subset=list(MARKS))

@@ -22,8 +22,11 @@ def with_weekend_flag(df: DataFrame, day_column: str, custom_workdays: DataFrame
 
 
 def available_months(day_facts: DataFrame, day_column: str, as_of: datetime) -> DataFrame:
-    """First days of the months that have facts; the month of ``as_of`` if there are none."""
-    months = day_facts.select(F.trunc(day_column, "MM").alias("period")).distinct()
-    spark = day_facts.sparkSession
-    this_month = spark.range(1).select(F.lit(as_of.date().replace(day=1)).alias("period"))
-    return months.unionByName(this_month.where(~months.exists()))
+    """First days of the months that have facts; the month of ``as_of`` if there are none.
+
+    One pass over the day column, which on facts stored by day is in the partition names.
+    """
+    this_month = F.array(F.struct(F.lit(as_of.date().replace(day=1)).alias("period")))
+    months = day_facts.agg(F.collect_set(F.struct(F.trunc(day_column, "MM").alias("period"))).alias("months"))
+    listed = F.when(F.size("months") > 0, F.col("months")).otherwise(this_month)
+    return months.select(F.explode(listed).alias("month")).select("month.period")

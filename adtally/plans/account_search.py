@@ -31,6 +31,11 @@ def merged_filters(common: Mapping[str, str], marks: Mapping[str, str]) -> dict[
     return {key: value for key, value in {**common, **marks}.items() if key in KNOWN}
 
 
+def is_empty(value: str | None) -> bool:
+    """Whether a field is no filter: without a text, or ``0``."""
+    return value is None or value in ("", "0")
+
+
 @dataclass(frozen=True)
 class ManagerScope:
     """Whose accounts are searched: ``all``, ``my``, ``my_group`` or ``manager``.
@@ -52,7 +57,7 @@ class AccountSearch:
     user_type: str | None = None
 
     def _has(self, *keys: str) -> bool:
-        return any(self.filters.get(key) for key in keys)
+        return not all(is_empty(self.filters.get(key)) for key in keys)
 
     def searched_types(self) -> list[str]:
         """Types worth searching: some filters exclude a type, a chosen type all others."""
@@ -85,7 +90,7 @@ class AccountSearch:
             return self.accounts.limit(0)
         found = self.accounts.where(F.col("user_type").isin(self.searched_types()))
         for key, value in self.filters.items():
-            if value:
+            if not is_empty(value):
                 found = found.where(_matches(key, value))
         return self._in_scope(found)
 

@@ -43,9 +43,8 @@ def exchangers(users: DataFrame) -> DataFrame:
 
 def daily_rows(exchange_daily: DataFrame, users: DataFrame, window: Window) -> DataFrame:
     """One row per exchanger and day of the window."""
-    rows = exchange_daily.where(in_window("date", window))
-    summed = rows.groupBy("user_id", "date").agg(*_sums(COUNTERS + STORED_RATIOS))
-    return summed.join(exchangers(users), "user_id", "left_semi")
+    rows = exchange_daily.where(in_window("date", window)).join(exchangers(users), "user_id", "left_semi")
+    return rows.groupBy("user_id", "date").agg(*_sums(COUNTERS + STORED_RATIOS))
 
 
 def previous_rows(exchange_daily: DataFrame, users: DataFrame, period: Period) -> DataFrame:

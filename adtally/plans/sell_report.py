@@ -2,7 +2,8 @@
 
 ``SellReport`` is an immutable description. ``rows`` gives the lazy report frame, and page,
 total and count are queries over it. The plan is one pass over the facts, one shuffle on the
-site, and joins on frames with one row per site.
+site, and joins on frames with one row per site. Filters first narrow the facts to the sites
+they choose.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from adtally.functions import metrics
 from adtally.functions.metrics import RATIOS, SYSTEM_SHARE
 from adtally.operators import filters, paging, spine, totals
+from adtally.operators.managers import kept_by
 from adtally.operators.panel import with_panel
 from adtally.operators.periods import Period, lookback_before
 from adtally.operators.window_sums import COMPARED, COUNTERS, MEASURES, MONEY, site_window_sums
@@ -122,12 +124,13 @@ class SellReport:
     ) -> DataFrame:
         """A page with the extra site details; a publisher page has none.
 
-        The page is needed by several joins, so its rows are computed only once.
+        The page is needed by several joins. ``page_with_panel`` of a ``stored`` report sorts stored
+        rows for each of them instead of working out the report again.
         """
         shown = self._sorted_page(page, items, order, descending, site_label)
         if self.by_publisher:
             return shown.drop("sort_key")
-        detailed = with_panel(checkpointed(shown), self.tables, is_small=0 < items <= 10_000)
+        detailed = with_panel(shown, self.tables)
         return detailed.orderBy(paging.ordering("sort_key", descending), "id").drop("sort_key")
 
     def _sorted_page(
@@ -165,33 +168,59 @@ class SellReport:
         return grouped.withColumn("name", F.expr("IF(current_rows > 0, site_name, NULL)"))
 
     def _filtered_sums(self, extra_needs: set[str]) -> DataFrame:
-        needs = set(extra_needs).union(*(f.needs for f in self.filters))
+        needs = set(extra_needs).union(*(f.needs for f in self.filters if f.row_condition is not None))
         lookback = lookback_before(self.period.current.start) if filters.LOOKBACK in needs else None
         rows = site_window_sums(
-            self.tables.day_sell,
+            self._narrowed(self.tables.day_sell),
             self.period,
-            self.tables.hour_sell if self.period.is_today_included else None,
+            self._narrowed(self.tables.hour_sell) if self.period.is_today_included else None,
             lookback,
         )
-        if needs & {filters.SITES, filters.USERS, filters.MARK_JOIN}:
-            rows = self._with_attributes(rows, needs)
+        if needs & {filters.SITES, filters.USERS}:
+            rows = rows.join(self._attributes(needs), "site_id", "left")
         for one in self.filters:
-            if one.narrow_rows is not None:
-                rows = one.narrow_rows(rows, self.tables)
+            if one.row_condition is not None:
+                rows = rows.where(one.row_condition)
         return rows
 
-    def _with_attributes(self, rows: DataFrame, needs: set[str]) -> DataFrame:
-        """Rows without a site keep nulls, unless a filter has chosen the sites already."""
+    def _attributes(self, needs: set[str]) -> DataFrame:
         sites = spine.site_attributes(self.tables.sites)
-        if filters.USERS in needs:
-            sites = spine.with_user_attributes(sites, self.tables.users)
-        if filters.MARK_JOIN in needs:
-            sites = spine.with_marks(sites, self.tables.user_marks)
-        how = "left"
+        return spine.with_user_attributes(sites, self.tables.users) if filters.USERS in needs else sites
+
+    def _narrowed(self, facts: DataFrame) -> DataFrame:
+        """Facts of the sites that the filters choose, before anything is summed.
+
+        The chosen ids are one narrow column. Where Spark broadcasts it, facts are narrowed in
+        the scan's tasks and a site with very many rows is still one partial row per task.
+        Where it is too large for that, facts and ids meet in a shuffled semi join, of which
+        Spark splits the partition of such a site, and each part sums its own rows.
+        """
         for one in self.filters:
+            if one.fact_condition is not None:
+                facts = facts.where(one.fact_condition)
+            if one.site_ids is not None:
+                facts = facts.join(one.site_ids(self.tables), "site_id", "left_semi")
+        plain = [f for f in self.filters if f.condition is not None or f.narrow_sites is not None]
+        usual = [f for f in plain if not f.keeps_unknown and f.unless_empty is None]
+        if usual:
+            facts = facts.join(self._chosen(usual), "site_id", "left_semi")
+        for one in plain:
+            if one.unless_empty is not None:
+                facts = kept_by(facts, "site_id", self._chosen([one]), one.unless_empty)
+            elif one.keeps_unknown:
+                others = self._attributes(set(one.needs)).where(~F.coalesce(one.condition, F.lit(False)))
+                facts = facts.join(others.select("site_id"), "site_id", "left_anti")
+        return facts
+
+    def _chosen(self, chosen: list[filters.SpineFilter]) -> DataFrame:
+        """Ids of the sites of the dimension that pass all of the given filters."""
+        sites = self._attributes(set().union(*(f.needs for f in chosen)))
+        for one in chosen:
+            if one.condition is not None:
+                sites = sites.where(one.condition)
             if one.narrow_sites is not None:
-                sites, how = one.narrow_sites(sites, self.tables), "inner"
-        return rows.join(sites, "site_id", how)
+                sites = one.narrow_sites(sites, self.tables)
+        return sites.select("site_id")
 
     def _by_site(self, needs: set[str]) -> DataFrame:
         return self._filtered_sums(needs).withColumn("id", F.col("site_id"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime re-planning does three jobs here: it picks a broadcast join only after it has
@@ -14,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Pages far into a report are sorted by ranges instead of being held in one task.
+    "spark.sql.execution.topKSortFallbackThreshold": "100000",
 }
 
 
@@ -25,6 +25,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # small files are read by all cores
+        .config("spark.sql.files.maxPartitionBytes", "4m")
+        .config("spark.sql.files.openCostInBytes", "512k")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
@@ -36,16 +39,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def checkpointed(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and keep it in the shared checkpoint folder.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local
-    master, which has no other machines, may fall back to a folder of its own.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``, which all executors
+    reach. Where it is unset, as in tests, a folder of the warehouse is taken.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-            folder = tempfile.mkdtemp(prefix="adtally-checkpoint-")
-        context.setCheckpointDir(folder)
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", f"{warehouse}/checkpoints"))
     return df.checkpoint(eager=True)

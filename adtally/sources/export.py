@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StringType, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from adtally.functions.text import escape_html
 
@@ -27,7 +27,7 @@ def json_rows(df: DataFrame, escape: bool = False, output: str = "json") -> Data
     """Every row as one JSON text with its nulls; ``escape`` makes its texts safe for HTML.
 
     Numbers and booleans are never escaped, and texts that are numbers have nothing to
-    escape. Texts inside arrays and structs are escaped too.
+    escape. Texts inside arrays, structs and the values of maps are escaped too.
     """
     fields = df.schema.fields
     values = [
@@ -45,6 +45,8 @@ def _escaped(value: Column, kind: DataType) -> Column:
         return escape_html(value)
     if isinstance(kind, ArrayType):
         return F.transform(value, lambda item: _escaped(item, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda key, item: _escaped(item, kind.valueType))
     if isinstance(kind, StructType):
         inner = [_escaped(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
         return F.when(value.isNotNull(), F.struct(*inner))

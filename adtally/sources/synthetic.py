@@ -121,7 +121,7 @@ def sites_from_supplier(spark: SparkSession, root: str) -> DataFrame:
 def users_from_nation(spark: SparkSession, root: str) -> DataFrame:
     return raw(spark, root, "nation").selectExpr(
         "CAST(n_nationkey AS BIGINT) AS id",
-        "concat(IF(n_nationkey % 4 = 0, '@nnn@', ''), lower(n_name), '@example.com') AS email",
+        "concat(IF(n_nationkey % 4 = 0, '@pre@', ''), lower(n_name), '@example.com') AS email",
         "n_regionkey AS subsystem_id",
         "n_nationkey % 2 = 0 AS is_exchanger",
         "n_nationkey % 7 = 0 AS is_disabled",

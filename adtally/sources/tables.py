@@ -64,18 +64,6 @@ def write_day_partitioned(df: DataFrame, path: str, day_column: str) -> None:
     by_day.write.mode("overwrite").partitionBy(day_column).parquet(path)
 
 
-def spread_rows(table: DataFrame, key: str) -> DataFrame:
-    """A scanned table over at least as many partitions as there are cores.
-
-    For costly work per row on a table of few splits. A large table has more splits than
-    there are cores and is left alone, so nothing of it is shuffled. ``key`` is a column
-    without frequent values, which keeps the parts even and the same when a task is repeated.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    splits = table.rdd.getNumPartitions()
-    return table if splits >= cores else table.repartition(cores, key)
-
-
 @dataclass(frozen=True)
 class SellTables:
     """Inputs of the sales report; only those a report really uses have to be given."""

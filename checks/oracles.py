@@ -336,12 +336,21 @@ SELECT doc_id, CASE WHEN size = 0 THEN '0' ELSE
     || ' ' || (['B', 'KB', 'MB', 'GB', 'TB', 'PB', 'EB', 'ZB', 'YB'])[p + 1] END AS shown FROM powered"""
 
 _JSON = r"""
-WITH marked AS (SELECT page_id, url, html,
-    [regexp_replace(x, '&([A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9a-fA-F]+);', chr(1) || '\1;', 'g')
-        for x in [url, html]] AS m FROM pages),
+WITH given AS (SELECT page_id, url, html, '&foo;&apos;&copy;&#x110000;&#65;<' || page_id AS marks FROM pages),
+marked AS (SELECT page_id, marks, [regexp_replace(regexp_replace(x,
+    '&(amp|lt|gt|quot|nbsp|copy|reg|eacute|mdash|ndash|hellip|euro);', chr(1) || '\1;', 'g'),
+    '&(#[0-9]{1,6}|#[xX][0-9a-fA-F]{1,5});', chr(1) || '\1;', 'g') for x in [url, html, marks]] AS m FROM given),
 escaped AS (SELECT page_id, [replace(replace(replace(replace(replace(replace(x, '&', '&amp;'), chr(1), '&'),
     '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;') for x in m] AS e FROM marked)
-SELECT CAST(to_json({'page_id': page_id, 'url': e[1], 'html': e[2]}) AS VARCHAR) AS json FROM escaped"""
+SELECT CAST(to_json({'page_id': page_id, 'url': e[1], 'html': e[2], 'named': {'k': e[3]}, 'listed': [e[3], '&lt;']}) AS VARCHAR) AS json
+FROM escaped"""
+
+_HOSTS = """
+WITH names AS (SELECT unnest(['straße', 'bücher', 'été', 'пример']) AS name,
+    unnest(['xn--strae-oqa', 'xn--bcher-kva', 'xn--t-9fab', 'xn--e1afmkfd']) AS code, unnest([0, 1, 2, 3]) AS place),
+given AS (SELECT page_id, name, code,
+    '.example.com' || CASE WHEN page_id % 2 = 0 THEN ':8080' ELSE '' END || '/p' || page_id AS tail
+    FROM pages JOIN names ON place = page_id % 4)"""
 
 _REFERRAL = """
 WITH visits AS (SELECT event_id AS visit_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, user_id FROM events),
@@ -375,10 +384,13 @@ def oracle_sql() -> dict[str, str]:
         "sum_by_columns": """
 SELECT CAST(sum(o_orderkey) AS BIGINT) AS o_orderkey, CAST(sum(o_custkey) AS BIGINT) AS o_custkey,
     CAST(sum(CAST(o_totalprice AS DECIMAL(16,2))) AS DOUBLE) AS o_totalprice, 0 AS o_orderdate,
-    CAST(sum(CAST(left(o_orderpriority, 1) AS DOUBLE)) AS DOUBLE) AS o_orderpriority,
+    CAST(sum(CASE WHEN regexp_full_match(o_orderpriority, '[0-9]+') THEN CAST(left(o_orderpriority, 1) AS DOUBLE) ELSE 0 END) AS DOUBLE) AS o_orderpriority,
     CAST(sum(CASE WHEN o_orderstatus = 'F' THEN o_orderkey ELSE 0 END) AS DOUBLE) AS o_orderstatus, 0 AS is_open
 FROM orders""",
         "sell_by_site_today": rows_sql(EVENTS),
+        "sell_publisher_count": f"""{sell.report_ctes(ORDERS, True)}
+SELECT count(*) AS rows FROM report""",
+        "sell_page_total_today": sell.page_total_sql(EVENTS, False, "profit", 50, 0),
         "sell_by_site_last_days": rows_sql(EVENT_DAYS),
         "sell_by_publisher_today": rows_sql(EVENTS, True),
         "sell_total_today": sell.total_sql(EVENTS),
@@ -389,7 +401,7 @@ FROM orders""",
         "filter_user": rows_sql(ORDERS, where="email ILIKE '%nation\\_1%' ESCAPE '\\'"),
         "filter_user_id": rows_sql(ORDERS, where="user_id = 7"),
         "filter_user_exact": rows_sql(ORDERS, where="email = 'nation_11@example.com'"),
-        "filter_network": rows_sql(ORDERS, where="email LIKE '@nnn@%'"),
+        "filter_network": rows_sql(ORDERS, where="email LIKE '@pre@%'"),
         "filter_site": rows_sql(ORDERS, where="site_url LIKE '%c12%'"),
         "filter_marks": rows_sql(ORDERS, where=_MARKED, extra="," + sell.MARKS),
         "filter_profit_type": rows_sql(ORDERS, where="profit_type IN ('BUILDING', 'MACHINERY')"),
@@ -401,6 +413,9 @@ FROM orders""",
         ),
         "filter_managers": rows_sql(ORDERS, where=_MANAGED.format("0, 3"), extra=_USER_MANAGERS),
         "filter_manager_scoped": rows_sql(ORDERS, where=_MANAGED.format("4"), extra=_USER_MANAGERS),
+        "filter_group_empty_keeps_scope": rows_sql(ORDERS, where=_MANAGED.format("3"), extra=_USER_MANAGERS),
+        "filter_no_scope": rows_sql(ORDERS),
+        "filter_empty_fields": rows_sql(ORDERS),
         "publisher_status_new": rows_sql(ORDERS, where=_LOOKBACK.format("NOT IN")),
         "publisher_status_current": rows_sql(ORDERS, where=_LOOKBACK.format("IN")),
         "manager_group_tree": f"""WITH RECURSIVE {_GROUPS},
@@ -424,6 +439,8 @@ FROM rated WHERE {_LAST_WEEK}""",
         "exchange_export": _export_sql(),
         "search_facets": f"""WITH {_accounts()}
 SELECT user_type, {_FACETS} FROM accounts WHERE lower(email) LIKE '%r1%' AND campaign = 'c1' GROUP BY user_type""",
+        "search_zero_subsystem": f"""WITH {_accounts()}
+SELECT user_type, {_FACETS} FROM accounts WHERE lower(email) LIKE '%r1%' GROUP BY user_type""",
         "search_page": f"""WITH {_accounts()}
 SELECT id, user_type, email, CAST(balance AS DOUBLE) AS balance,
     row_number() OVER (PARTITION BY user_type ORDER BY email, id) AS position
@@ -447,13 +464,16 @@ SELECT user_type, {_FACETS} FROM accounts WHERE country = 'country3' AND manager
         "first_ipv4": _FIRST_IPV4,
         "script_name": f"WITH {_ACCESS_LOG} SELECT event_id, split_part(uri, '?', 1) AS script FROM log",
         "sanitize_title": _title_sql(),
+        "sanitize_title_table": """
+SELECT p_partkey, 'X ' || upper(CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN p_type || '-' || p_brand
+    ELSE p_type || '.$' || p_brand END) || ' y' AS title FROM part WHERE p_type IS NOT NULL""",
         "clear_prefix_suffix": """
 WITH given AS (SELECT c_custkey, c_custkey % 4 = 0 AS pre, c_custkey % 3 = 0 AS suf, lower(c_mktsegment) AS name
     FROM customer)
-SELECT c_custkey, name || CASE WHEN suf THEN '@mediaoption' ELSE '@example.com' END AS no_prefix,
-    CASE WHEN pre THEN '@nnn@' ELSE '' END || name || CASE WHEN suf THEN '' ELSE '@example.com' END AS no_suffix,
-    CASE WHEN pre THEN '@nnn@' ELSE '' END || name
-        || CASE WHEN suf THEN '@mediaoption' ELSE '@example.com' END AS same FROM given""",
+SELECT c_custkey, name || CASE WHEN suf THEN '@suffix' ELSE '@example.com' END AS no_prefix,
+    CASE WHEN pre THEN '@pre@' ELSE '' END || name || CASE WHEN suf THEN '' ELSE '@example.com' END AS no_suffix,
+    CASE WHEN pre THEN '@pre@' ELSE '' END || name
+        || CASE WHEN suf THEN '@suffix' ELSE '@example.com' END AS same FROM given""",
         "traffic_tag": """
 SELECT p_partkey, replace(p_name, ' ', '_')
     || CASE WHEN p_size % 3 = 0 THEN '-' || p_partkey ELSE '' END AS main_part FROM part""",
@@ -462,6 +482,8 @@ SELECT doc_id, CASE WHEN regexp_matches(text, '{_UNSAFE}') THEN replace({_encode
     ELSE text END AS encoded FROM documents""",
         "smart_encode_urls": _ENCODE_URLS,
         "smart_decode": "SELECT doc_id, text AS decoded FROM documents",
+        "smart_encode_hosts": f"{_HOSTS} SELECT page_id, 'http://' || code || tail AS encoded FROM given",
+        "smart_decode_hosts": f"{_HOSTS} SELECT page_id, 'http://' || name || tail || ' é' AS decoded FROM given",
         "smart_trim": r"""
 SELECT doc_id, trim(regexp_replace(text, '[\x00-\x20\x{A0}]+', ' ', 'g')) AS squeezed FROM documents""",
         "referral_attribution": _REFERRAL,

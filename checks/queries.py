@@ -18,7 +18,6 @@ from adtally.plans.account_search import AccountSearch, ManagerScope, merged_fil
 from adtally.plans.sell_report import FIGURES, SellReport
 from adtally.sources import synthetic
 from adtally.sources.export import json_rows
-from adtally.sources.tables import spread_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,7 +98,7 @@ def _sum_by_columns(spark: SparkSession, root: str) -> DataFrame:
         "o_custkey",
         "CAST(o_totalprice AS DECIMAL(16,2)) AS o_totalprice",
         "o_orderdate",
-        "left(o_orderpriority, 1) AS o_orderpriority",
+        "o_orderpriority",
         "IF(o_orderstatus = 'F', CAST(o_orderkey AS STRING), o_orderstatus) AS o_orderstatus",
         "o_orderstatus = 'O' AS is_open",
     )
@@ -128,6 +127,29 @@ def _manager_group_tree(spark: SparkSession, root: str) -> DataFrame:
     return in_group.groupBy("manager_id", "user_type").agg(F.count("*").alias("accounts"))
 
 
+def _filter_group_empty(spark: SparkSession, root: str) -> DataFrame:
+    """A group without managers leaves the previous scope, here that of manager 3."""
+    previous = spark.range(1).select(F.lit(3).cast("long").alias("manager_id"))
+    scope = managers.scope_or_previous(_group_managers(spark, root, 99), previous)
+    return report_rows(month_report(spark, root).where(filters.by_managers(scope)))
+
+
+def _filter_no_scope(spark: SparkSession, root: str) -> DataFrame:
+    """Whoever has no scope of their own and picks an empty group sees everything."""
+    scope = managers.scope_or_previous(_group_managers(spark, root, 99), None)
+    return report_rows(month_report(spark, root).where(filters.by_managers(scope)))
+
+
+def _filter_empty_fields(spark: SparkSession, root: str) -> DataFrame:
+    empty = [filters.by_user(" "), filters.by_site(""), filters.by_network(""), filters.by_profit_types([])]
+    empty += [filters.by_min_teaser_rating([]), filters.by_category([]), filters.by_marks({}), filters.by_managers(None)]
+    return report_rows(month_report(spark, root).where(*empty))
+
+
+def _search_zero_subsystem(spark: SparkSession, root: str) -> DataFrame:
+    return plain(_search(filters={"subsystem": "0", "email": "r1"})(spark, root).facets())
+
+
 def _filter_manager_scoped(spark: SparkSession, root: str) -> DataFrame:
     own = spark.range(1).select(F.lit(1).cast("long").alias("manager_id"))
     scope = managers.narrow_to_manager(4, own, _group_managers(spark, root, 1))
@@ -227,7 +249,7 @@ def cyrillic(column: Column, key: Column) -> Column:
 
 
 def _clean_numbers(spark: SparkSession, root: str) -> DataFrame:
-    lines = spread_rows(synthetic.raw(spark, root, "lineitem"), "l_orderkey")
+    lines = synthetic.raw(spark, root, "lineitem")
     part = [F.col(name).cast("string") for name in ("l_orderkey", "l_suppkey", "l_linenumber")]
     value = F.concat(F.lit("\t "), part[0], F.lit(" "), part[1], F.lit(","), part[2], F.lit(" "), "l_returnflag")
     return lines.select(
@@ -257,7 +279,7 @@ def _clean_url(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, root: str) -> DataFrame:
-    return spread_rows(synthetic.raw(spark, root, "documents"), "doc_id")
+    return synthetic.raw(spark, root, "documents")
 
 
 def _cyr_to_latin(spark: SparkSession, root: str) -> DataFrame:
@@ -272,6 +294,27 @@ def _sanitize_title(spark: SparkSession, root: str) -> DataFrame:
     return documents.select("doc_id", text.clean_title(russian, ABBREVIATIONS).alias("title"))
 
 
+def dictionary(spark: SparkSession, root: str) -> DataFrame:
+    """A dictionary of abbreviations made of part types: words, words with a hyphen, and with a dot and a dollar sign."""
+    kinds = synthetic.raw(spark, root, "part").select("p_type", "p_brand").distinct()
+    plain, joined = F.col("p_type"), F.concat("p_type", F.lit("-"), "p_brand")
+    priced = F.concat("p_type", F.lit(".$"), "p_brand")
+    return kinds.select(F.explode(F.array(plain, joined, priced)).alias("word"))
+
+
+def _sanitize_title_table(spark: SparkSession, root: str) -> DataFrame:
+    """Titles of parts in small letters, with entries of the dictionary and other words around them."""
+    parts = synthetic.raw(spark, root, "part").where("p_type IS NOT NULL")
+    entry = (
+        F.when(F.col("p_partkey") % 3 == 0, F.col("p_type"))
+        .when(F.col("p_partkey") % 3 == 1, F.concat("p_type", F.lit("-"), "p_brand"))
+        .otherwise(F.concat("p_type", F.lit(".$"), "p_brand"))
+    )
+    title = F.concat(F.lit("x"), F.lit(" "), F.lower(entry), F.lit(" y"))
+    titles = parts.select("p_partkey", title.alias("given"))
+    return text.with_clean_titles(titles, "given", dictionary(spark, root)).select("p_partkey", "title")
+
+
 def _smart_trim(spark: SparkSession, root: str) -> DataFrame:
     documents = _documents(spark, root)
     return documents.select("doc_id", text.squeezed(F.col("text")).alias("squeezed"))
@@ -297,14 +340,14 @@ def _script_name(spark: SparkSession, root: str) -> DataFrame:
 def _clear_prefix_suffix(spark: SparkSession, root: str) -> DataFrame:
     customers = synthetic.raw(spark, root, "customer")
     email = F.concat(
-        F.when(F.col("c_custkey") % 4 == 0, F.lit("@nnn@")).otherwise(F.lit("")),
+        F.when(F.col("c_custkey") % 4 == 0, F.lit("@pre@")).otherwise(F.lit("")),
         F.lower("c_mktsegment"),
-        F.when(F.col("c_custkey") % 3 == 0, F.lit("@mediaoption")).otherwise(F.lit("@example.com")),
+        F.when(F.col("c_custkey") % 3 == 0, F.lit("@suffix")).otherwise(F.lit("@example.com")),
     )
     return customers.select(
         "c_custkey",
-        text.without_prefix(email, "@nnn@").alias("no_prefix"),
-        text.without_suffix(email, "@mediaoption").alias("no_suffix"),
+        text.without_prefix(email, "@pre@").alias("no_prefix"),
+        text.without_suffix(email, "@suffix").alias("no_suffix"),
         text.without_suffix(email, "").alias("same"),
     )
 
@@ -332,6 +375,34 @@ def _smart_decode(spark: SparkSession, root: str) -> DataFrame:
     return documents.select("doc_id", urls.smart_decode(encoded).alias("decoded"))
 
 
+# Host names of words with a letter that has a form of its own, and their ASCII forms: fixed values.
+HOST_NAMES = {"straße": "xn--strae-oqa", "bücher": "xn--bcher-kva", "été": "xn--t-9fab", "пример": "xn--e1afmkfd"}
+
+
+def _host_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """URLs of pages with international hosts, user names and ports, and the same with ASCII hosts."""
+    pages = synthetic.raw(spark, root, "pages").where("page_id IS NOT NULL")
+    names = F.array(*map(F.lit, HOST_NAMES))
+    codes = F.array(*map(F.lit, HOST_NAMES.values()))
+    place = F.pmod("page_id", F.lit(len(HOST_NAMES))).cast("int")
+    user = F.when(F.col("page_id") % 3 == 0, F.lit("me:secret@")).otherwise(F.lit(""))
+    port = F.when(F.col("page_id") % 2 == 0, F.lit(":8080")).otherwise(F.lit(""))
+    tail = F.concat(F.lit(".example.com"), port, F.lit("/p"), F.col("page_id").cast("string"))
+    return pages.select(
+        "page_id",
+        F.concat(F.lit("http://"), user, F.get(names, place), tail).alias("named"),
+        F.concat(F.lit("http://"), F.get(codes, place), tail, F.lit("%20%C3%A9")).alias("coded"),
+    )
+
+
+def _smart_encode_hosts(spark: SparkSession, root: str) -> DataFrame:
+    return _host_pairs(spark, root).select("page_id", urls.smart_encode(F.col("named")).alias("encoded"))
+
+
+def _smart_decode_hosts(spark: SparkSession, root: str) -> DataFrame:
+    return _host_pairs(spark, root).select("page_id", urls.smart_decode(F.col("coded")).alias("decoded"))
+
+
 def _referral_attribution(spark: SparkSession, root: str) -> DataFrame:
     visits = synthetic.visits_from_events(spark, root)
     credited = with_referrer(visits, synthetic.known_referrers_from_customer(spark, root))
@@ -339,7 +410,12 @@ def _referral_attribution(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _json_rows(spark: SparkSession, root: str) -> DataFrame:
-    return json_rows(synthetic.raw(spark, root, "pages"), escape=True)
+    """Pages with texts that look like entities, in a map and an array too."""
+    pages = synthetic.raw(spark, root, "pages").select("page_id", "url", "html")
+    marks = F.concat(F.lit("&foo;&apos;&copy;&#x110000;&#65;<"), F.col("page_id").cast("string"))
+    return json_rows(
+        pages.select("*", F.create_map(F.lit("k"), marks).alias("named"), F.array(marks, F.lit("&lt;")).alias("listed")), escape=True
+    )
 
 
 def queries() -> dict[str, Query]:
@@ -354,6 +430,8 @@ def queries() -> dict[str, Query]:
         "sell_total": lambda s, d: plain(month_report(s, d).total()),
         "sell_count": lambda s, d: month_report(s, d).count(),
         "sell_page_total": lambda s, d: plain(SellReport.page_total(month_report(s, d).page(2, 50, "profit", True))),
+        "sell_publisher_count": lambda s, d: month_report(s, d, True).count(),
+        "sell_page_total_today": lambda s, d: plain(SellReport.page_total(today_report(s, d).page(1, 50, "profit", True))),
         "sum_by_keys": _sum_by_keys,
         "sum_by_columns": _sum_by_columns,
         "sell_by_site_today": lambda s, d: report_rows(today_report(s, d)),
@@ -367,7 +445,7 @@ def queries() -> dict[str, Query]:
         "filter_user": _filtered(filters.by_user, "Nation_1"),
         "filter_user_id": _filtered(filters.by_user, "7"),
         "filter_user_exact": _filtered(filters.by_user, "nation_11@example.com", exact=True),
-        "filter_network": _filtered(filters.by_network, "@nnn@"),
+        "filter_network": _filtered(filters.by_network, "@pre@"),
         "filter_site": _filtered(filters.by_site, "c12"),
         "filter_marks": _filtered(filters.by_marks, {"source": "s1", "ad": "a1", "unknown": "x"}),
         "filter_profit_type": _filtered(filters.by_profit_types, ["BUILDING", "MACHINERY"]),
@@ -375,6 +453,9 @@ def queries() -> dict[str, Query]:
         "filter_category": _filter_category,
         "filter_managers": _filtered(filters.by_managers, [0, 3]),
         "filter_manager_scoped": _filter_manager_scoped,
+        "filter_group_empty_keeps_scope": _filter_group_empty,
+        "filter_no_scope": _filter_no_scope,
+        "filter_empty_fields": _filter_empty_fields,
         "publisher_status_new": _filtered(filters.by_publisher_status, "new"),
         "publisher_status_current": _filtered(filters.by_publisher_status, "current"),
         "manager_group_tree": _manager_group_tree,
@@ -394,6 +475,7 @@ def queries() -> dict[str, Query]:
         "search_totals": _search_totals,
         "search_page_counts": _search_page_counts,
         "search_scope": _search_scope,
+        "search_zero_subsystem": _search_zero_subsystem,
         "clean_numbers": _clean_numbers,
         "clean_url": _clean_url,
         "cyr_to_latin": _cyr_to_latin,
@@ -401,11 +483,14 @@ def queries() -> dict[str, Query]:
         "first_ipv4": _first_ipv4,
         "script_name": _script_name,
         "sanitize_title": _sanitize_title,
+        "sanitize_title_table": _sanitize_title_table,
         "clear_prefix_suffix": _clear_prefix_suffix,
         "traffic_tag": _traffic_tag,
         "smart_encode": _smart_encode,
         "smart_encode_urls": _smart_encode_urls,
         "smart_decode": _smart_decode,
+        "smart_encode_hosts": _smart_encode_hosts,
+        "smart_decode_hosts": _smart_decode_hosts,
         "smart_trim": _smart_trim,
         "referral_attribution": _referral_attribution,
         "json_rows": _json_rows,

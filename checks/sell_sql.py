@@ -100,7 +100,7 @@ sites AS (
 USERS = """
 users AS (
     SELECT CAST(n_nationkey AS BIGINT) AS id,
-        CASE WHEN n_nationkey % 4 = 0 THEN '@nnn@' ELSE '' END || lower(n_name) || '@example.com' AS email,
+        CASE WHEN n_nationkey % 4 = 0 THEN '@pre@' ELSE '' END || lower(n_name) || '@example.com' AS email,
         n_regionkey AS subsystem_id, n_nationkey % 2 = 0 AS is_exchanger,
         n_nationkey % 7 = 0 AS is_disabled
     FROM nation)"""

@@ -94,17 +94,17 @@ CASES = {
         ],
     ),
     "without_prefix": (
-        lambda column: text.without_prefix(column, "@nnn@"),
-        [("@nnn@a@b.c", "a@b.c"), ("a@b.c", "a@b.c"), ("@nnn@", "")],
+        lambda column: text.without_prefix(column, "@pre@"),
+        [("@pre@a@b.c", "a@b.c"), ("a@b.c", "a@b.c"), ("@pre@", "")],
     ),
     "without_suffix": (
-        lambda column: text.without_suffix(column, "@mediaoption"),
-        [("a@mediaoption", "a"), ("a", "a")],
+        lambda column: text.without_suffix(column, "@suffix"),
+        [("a@suffix", "a"), ("a", "a")],
     ),
     "without_empty_suffix": (lambda column: text.without_suffix(column, ""), [("a", "a"), ("", "")]),
     "tag_without_site": (
         text.tag_without_site,
-        [("news_15", "news"), ("news_15_7", "news_15"), ("news", "news"), ("_5", "_5"), ("15_", "15_"), ("a-b_5", "a-b_5")],
+        [("news_15\n", "news"), ("news_15", "news"), ("news_15_7", "news_15"), ("news", "news"), ("_5", "_5"), ("15_", "15_"), ("a-b_5", "a-b_5")],
     ),
     "smart_encode": (
         urls.smart_encode,
@@ -114,6 +114,8 @@ CASES = {
             ("http://e.com/a?x=1&y=2", "http://e.com/a?x=1&y=2"),
             ("http://e.com/?q=я&z=1", "http://e.com/?q%3D%D1%8F%26z%3D1"),
             ("http://u:p@пример.рф:80/a?b#я", "http://xn--e1afmkfd.xn--p1ai:80/a?b#я"),
+            ("http://[::1]:80/é", "http://[::1]:80/%C3%A9"),
+            ("http://straße.de/é", "http://xn--strae-oqa.de/%C3%A9"),
             (None, None),
         ],
     ),
@@ -123,15 +125,20 @@ CASES = {
             ("a+b%2A/c", "a b*/c"),
             ("http://xn--e1afmkfd.xn--p1ai/%D1%8F", "http://пример.рф/я"),
             ("100%zz%", "100%zz%"),
+            ("http://xn--strae-oqa.de/", "http://straße.de/"),
+            ("xn--", "xn--"),
             (None, None),
         ],
     ),
     "squeezed": (text.squeezed, [("a \t b ", "a b"), ("\x00\n", "")]),
     "escape_html": (
         text.escape_html,
-        [("<b>\"x\" &amp; 'y'", "&lt;b&gt;&quot;x&quot; &amp; &#039;y&#039;"), ("a & b &#12; &#x1F;", "a &amp; b &#12; &#x1F;")],
+        [("<b>\"x\" &amp; 'y'", "&lt;b&gt;&quot;x&quot; &amp; &#039;y&#039;"), ("a & b &#12; &#x1F;", "a &amp; b &#12; &#x1F;"),
+            ("&foo; &apos; &copy; &#x110000; &#1114112;", "&amp;foo; &amp;apos; &copy; &amp;#x110000; &amp;#1114112;"),
+            ("&#x10FFFF; &#01114111; &#; &amp", "&#x10FFFF; &#01114111; &amp;#; &amp;amp"),
+        ],
     ),
-    "script_name": (urls.script_name, [("/a/b?x=1?y", "/a/b"), ("/a", "/a")]),
+    "script_name": (urls.script_name, [("/a/b?x=1?y", "/a/b"), ("/a", "/a"), ("/a?b\rc\u2028d", "/a"), ("?a", "?a")]),
 }
 
 
@@ -162,12 +169,31 @@ def test_visitor_ip(spark):
     assert df.where(~address.eqNullSafe(F.col("expected"))).count() == 0
 
 
-def test_abbreviations_are_read_from_a_table(spark):
-    words = spark.createDataFrame([("мчс",), (" МЧС ",), ("",), (None,), ("т-72",)], "word string")
-    assert text.read_abbreviations(words) == ["МЧС", "Т-72"]
-
-
-def test_too_many_abbreviations_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(text, "MAX_ABBREVIATIONS", 2)
-    with pytest.raises(ValueError):
-        text.read_abbreviations(spark.createDataFrame([("a",), ("b",), ("c",)], "word string"))
+def titles_with(spark, entries, titles):
+    words = spark.createDataFrame([(e,) for e in entries], "word string")
+    given = spark.createDataFrame([(t,) for t in titles], "given string")
+    return {r.given: r.title for r in text.with_clean_titles(given, "given", words).collect()}
+
+
+def test_abbreviations_from_a_table(spark):
+    entries = ["мчс", " МЧС ", "", None, "т-72", "т50", "а.б$в", "а.б", "$", "оун", "оун-упа"]
+    cases = {
+        "танк т-72, т-72м, т50": "Танк Т-72, т-72м, Т50",
+        "оун-упа и оун": "ОУН-УПА и ОУН",
+        "вот мчс и а.б$в, а.б и а.бв": "Вот МЧС и А.Б$В, А.Б и а.бв",
+        "МЧС ЕДЕТ": "МЧС едет",
+        "без слов": "Без слов",
+        "": "",
+        None: None,
+    }
+    assert titles_with(spark, entries, [*cases, "без слов"]) == cases
+    listed = [e.strip().upper() for e in entries if e and e.strip() not in ("", "$")]
+    frame = spark.createDataFrame([(t,) for t in cases], "given string")
+    assert {r.given: r.t for r in frame.select("given", text.clean_title(F.col("given"), listed).alias("t")).collect()} == cases
+
+
+def test_a_large_dictionary_runs(spark):
+    entries = [f"s{i}-t{i}" for i in range(5000)]
+    assert titles_with(spark, entries, ["x s7-t7 s7-t8 s4999-t4999"]) == {"x s7-t7 s7-t8 s4999-t4999": "X S7-T7 s7-t8 S4999-T4999"}
+    frame = spark.createDataFrame([("x s7-t7 s7-t8",)], "t string")
+    assert frame.select(text.clean_title(F.col("t"), [e.upper() for e in entries])).first()[0] == "X S7-T7 s7-t8"

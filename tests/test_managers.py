@@ -44,11 +44,22 @@ def test_narrowing_to_one_manager(spark, staff):
     assert ids(managers.narrow_to_manager(10, previous, allowed)) == [7]
 
 
-@pytest.mark.parametrize("listed", [0, 10_000])
-def test_large_scopes_are_joined_and_small_ones_listed(spark, monkeypatch, listed):
-    monkeypatch.setattr(managers, "MAX_LISTED", listed)
+def test_no_scope_and_an_empty_one_are_no_restriction(spark, staff):
+    people, groups = staff
     accounts = spark.range(100).select("id", (F.col("id") % 10).alias("manager_id"))
-    found = managers.of_managers(accounts, scope(spark, 3, 3, 4, None))
-    assert found.count() == 20
-    assert ("LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()) == (listed == 0)
-    assert managers.of_managers(accounts, scope(spark).limit(0)).count() == 0
+    assert managers.of_managers(accounts, scope(spark, 3, 3, 4, None)).count() == 20
+    assert managers.of_managers(accounts, None).count() == 100
+    assert managers.of_managers(accounts, scope(spark).limit(0)).count() == 100
+    empty = managers.managers_of_group(people, groups, 9)
+    assert managers.of_managers(accounts, managers.scope_or_previous(empty, None)).count() == 100
+    assert managers.of_managers(accounts, managers.scope_or_previous(empty, scope(spark, 5))).count() == 10
+    assert managers.narrow_to_manager(0, None) is None
+    assert ids(managers.narrow_to_manager(14, None, managers.managers_of_group(people, groups, 3))) == [14]
+
+
+def test_cycles_and_long_chains_of_groups_end(spark):
+    cycle = spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, 4)], "group_id int, parent_id int")
+    assert ids(managers.group_with_subgroups(cycle, 1)) == [1, 2, 3]
+    assert ids(managers.group_with_subgroups(cycle, 4)) == [4]
+    chain = spark.createDataFrame([(i + 1, i) for i in range(130)], "group_id int, parent_id int")
+    assert len(ids(managers.group_with_subgroups(chain, 1))) == 130
