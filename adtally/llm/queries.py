@@ -1,4 +1,4 @@
-"""Registered queries of this subpackage, each over whole tables, and their SQL where there is one."""
+"""Registered queries of this subpackage, each over whole tables."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adtally.llm import language_id, packing, token_files, warc
+from adtally.llm.oracles import oracle_sql
 from adtally.llm.quality_rules import quality_rules
 from adtally.llm.sharding import sharded
 from adtally.llm.shared import new_folder
@@ -17,6 +18,8 @@ from adtally.llm.source_mixing import mixed
 from adtally.llm.substring_dedup import substring_dedup
 from adtally.llm.topk_search import top_k
 
+__all__ = ["held_out", "oracle_sql", "queries", "table"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -92,7 +95,3 @@ def queries() -> dict[str, Query]:
         "op9_language_id": _language_id,
         "op10_sharding": _sharding,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

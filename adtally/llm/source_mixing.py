@@ -19,8 +19,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 BUDGET_SHARE = 1.5
 MOST_REPEATS = 2
-BITS = 10
-SEED = 7
+#: Ranges of the shuffle hash by its first hexadecimal digits.
+RANGE_DIGITS = 3
+SEED = "mix"
 
 
 def size_of(text: Column) -> Column:
@@ -28,6 +29,10 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def shuffled(doc_id: Column) -> Column:
+    return F.md5(F.concat(F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+
+
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget_share: float = BUDGET_SHARE, repeats: int = MOST_REPEATS) -> DataFrame:
     """(source, source_size, weight, target) from ``sizes`` (source, source_size), one row per source.
 
@@ -59,12 +64,12 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, budget_share: float = BUDGE
     ``docs`` has doc_id, text and source; ``row`` is the whole row, which costs nothing unless it is used.
 
     ``before`` is the number of words of the source before the row in its shuffled order, ``taken`` the words that the
-    mix takes of it, repeats counted: those whose virtual time is at most 1. The order is a hash of doc_id and text,
-    so reruns agree and so do repeated rows, which may stand in for each other. A null source is a source; a null
-    or empty text has size 0 and is taken not at all; a null doc_id is hashed as such. An empty table gives no rows.
+    mix takes of it, repeats counted: those whose virtual time is at most 1. The order is that of a hash of doc_id, and
+    then of size and text, so reruns agree; equal rows may stand in for each other. A null source is a source; a null
+    or empty text has size 0 and is taken not at all; a null doc_id is hashed as an empty one. An empty table gives no rows.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long"), "source", size_of(F.col("text")).alias("size"), F.xxhash64(F.lit(SEED), "doc_id", "text").alias("shuffle"))
-    rows = rows.withColumn("range", F.shiftrightunsigned("shuffle", 64 - BITS).cast("int"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long"), "source", size_of(F.col("text")).alias("size"), shuffled(F.col("doc_id")).alias("shuffle"), F.xxhash64("text").alias("tie"))
+    rows = rows.withColumn("range", F.substring("shuffle", 1, RANGE_DIGITS))
     by_range = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_range.withColumn("start", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
@@ -72,7 +77,7 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, budget_share: float = BUDGE
     same = F.col("a.source").eqNullSafe(F.col("b.source"))
     starts = starts.alias("a").join(shares.alias("b"), same).select("a.source", "range", "start", "source_size", "weight", "target")
 
-    within = Window.partitionBy("source", "range").orderBy(F.expr("shuffle ^ -9223372036854775808"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "range").orderBy("shuffle", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.range") == F.col("b.range"))
     rows = rows.alias("a").join(starts.alias("b"), same)
