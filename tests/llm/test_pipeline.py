@@ -6,7 +6,7 @@ import corpus_pipeline
 from adtally.llm.packing import pack
 from adtally.llm.quality_rules import quality_rules
 from adtally.llm.queries import oracle_sql, queries
-from adtally.llm.simhash_dedup import near_duplicates
+from adtally.llm.simhash_dedup import similar_documents
 from adtally.llm.source_mixing import mixed
 from adtally.llm.substring_dedup import substring_dedup
 
@@ -23,7 +23,7 @@ def test_each_stage_works_on_what_the_one_before_kept(spark, sf_dir):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality_rules(given).where("kept").collect()}
 
     single = stages["near_duplicates"](spark, kept, sf_dir).cache()
-    assert {r.doc_id for r in single.collect()} == {r.component_id for r in near_duplicates(kept).collect()}
+    assert {r.doc_id for r in single.collect()} == {r.component_id for r in similar_documents(kept).collect()}
 
     unique = stages["repeated_passages"](spark, single, sf_dir).cache()
     wanted = {r.doc_id: r.kept for r in substring_dedup(single, texts=True).collect() if r.n_removed < r.n_words or not r.n_words}
