@@ -77,9 +77,9 @@ def shuffled_sites(spark, n=400):
 
 
 @pytest.mark.parametrize("threshold", ["10m", "-1"])
-@pytest.mark.parametrize("one", [filters.by_country(3), filters.by_user("u4"), filters.by_user("5"), filters.by_min_teaser_rating([3, None])])
-def test_filters_narrow_the_facts_before_they_are_summed(spark, threshold, one):
-    tables = shuffled_sites(spark)
+@pytest.mark.parametrize("make, value", [(filters.by_country, 3), (filters.by_user, "u4"), (filters.by_user, "5"), (filters.by_min_teaser_rating, [3, None])])
+def test_filters_narrow_the_facts_before_they_are_summed(spark, threshold, make, value):
+    one, tables = make(value), shuffled_sites(spark)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
         report = SellReport(tables, MONTH).where(one)
