@@ -338,7 +338,7 @@ SELECT doc_id, CASE WHEN size = 0 THEN '0' ELSE
 _JSON = r"""
 WITH given AS (SELECT page_id, url, html, '&foo;&apos;&copy;&#x110000;&#65;<' || page_id AS marks FROM pages),
 marked AS (SELECT page_id, marks, [regexp_replace(regexp_replace(x,
-    '&(amp|lt|gt|quot|nbsp|copy|reg|eacute|mdash|ndash|hellip|euro);', chr(1) || '\1;', 'g'),
+    '&(amp|lt|gt|quot|nbsp|copy|middot|reg|eacute|mdash|ndash|hellip|euro);', chr(1) || '\1;', 'g'),
     '&(#[0-9]{1,6}|#[xX][0-9a-fA-F]{1,5});', chr(1) || '\1;', 'g') for x in [url, html, marks]] AS m FROM given),
 escaped AS (SELECT page_id, [replace(replace(replace(replace(replace(replace(x, '&', '&amp;'), chr(1), '&'),
     '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;') for x in m] AS e FROM marked)
@@ -390,7 +390,7 @@ FROM orders""",
         "sell_by_site_today": rows_sql(EVENTS),
         "sell_publisher_count": f"""{sell.report_ctes(ORDERS, True)}
 SELECT count(*) AS rows FROM report""",
-        "sell_page_total_today": sell.page_total_sql(EVENTS, False, "profit", 50, 0),
+        "sell_page_total_today": sell.page_total_sql(EVENTS, False, by_id, 50, 0),
         "sell_by_site_last_days": rows_sql(EVENT_DAYS),
         "sell_by_publisher_today": rows_sql(EVENTS, True),
         "sell_total_today": sell.total_sql(EVENTS),
