@@ -17,7 +17,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Most stretches whose ids a worker keeps; more are encoded each time they occur in a batch.
-KNOWN = 300_000
+KNOWN = 500_000
 #: Stretches that are put together.
 TOGETHER = 200
 #: Separates stretches where words are encoded without the blanks around them.
@@ -32,10 +32,11 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         model = json.loads(self.library.to_str())
         self.by_words = bool(model["model"].get("end_of_word_suffix"))
-        self.stretch = re.compile(r"[^ \n]+" if self.by_words else r"[ \n]*[^ \n]+|[ \n]+")
-        self.odd = re.compile(MARK if self.by_words else r"[^\S \n]")
+        self.stretch = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+        self.odd = re.compile(rf"[{MARK}\x1c-\x1f]|<\|" if self.by_words else r"[^\S \n]")
         if self.by_words:
             self.mark = self._ids([MARK])[0]
+            self.lowers = '"Lowercase"' in json.dumps(model["normalizer"])
         else:
             # a token has a character for each byte it stands for
             vocabulary = self.library.get_vocab()
@@ -45,6 +46,12 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _cut(self, text: str) -> list[str]:
+        """Stretches of a text; where words are encoded in small letters anyway, those of plain texts are made so."""
+        if self.by_words:
+            return (text.lower() if self.lowers and text.isascii() else text).split()
+        return self.stretch.findall(text)
+
     def _together(self, stretches: list[str]) -> list[list[str]]:
         """Groups of stretches that can be encoded as one text."""
         groups: list[list[str]] = []
@@ -76,7 +83,7 @@ class Encoder:
         end = array("I", [end_id]).tobytes()
         plain = [i for i, text in enumerate(texts) if self.odd.search(text)]
         whole = dict(zip(plain, self._ids([texts[i] for i in plain])))
-        cut = [None if i in whole else self.stretch.findall(text) for i, text in enumerate(texts)]
+        cut = [None if i in whole else self._cut(text) for i, text in enumerate(texts)]
         ids = [list(map(self.known.get, stretches or ())) for stretches in cut]
         missing = (s for stretches, found in zip(cut, ids) if None in found for s, x in zip(stretches, found) if x is None)
         new = self._learn(list(dict.fromkeys(missing)))
