@@ -83,7 +83,7 @@ FROM items JOIN shards ON starts_with(bits, shard) WHERE shard_bytes <= {shardin
 def _vote(rule: Rule) -> str:
     falling = rule.favour is not None and rule.favour > rule.against
     worse, better = ("<=", ">=") if falling else (">=", "<=")
-    value = rule.value.replace("n_words", "nullif(n_words, 0)").replace("/ word_chars", "/ nullif(word_chars, 0)").replace("/ n_lines", "/ nullif(n_lines, 0)")
+    value = f"{rule.part} / nullif({rule.whole}, 0)"
     favour = "" if rule.favour is None else f" WHEN {value} {better} {rule.favour} THEN 1"
     return f"CASE WHEN {value} {worse} {rule.against} THEN -1{favour} ELSE 0 END"
 

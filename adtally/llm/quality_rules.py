@@ -26,18 +26,19 @@ ROUNDS = 25
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes against a document whose ``value`` is beyond ``against``, for it if it is beyond ``favour``.
+    """Votes against a document whose ``part / whole`` is beyond ``against``, for it if it is beyond ``favour``.
 
-    The larger bound is the upper one. Between them, where a bound is missing or the value is null, the rule abstains.
+    The larger bound is the upper one. Between them, where a bound is missing or the whole is 0, the rule abstains.
     """
 
     name: str
-    value: str
+    part: str
+    whole: str
     against: float
     favour: float | None = None
 
     def vote(self) -> Column:
-        value = F.expr(self.value)
+        value = F.try_divide(F.col(self.part), F.col(self.whole))
         falling = self.favour is not None and self.favour > self.against
         bad = value <= self.against if falling else value >= self.against
         good = F.lit(False) if self.favour is None else value >= self.favour if falling else value <= self.favour
@@ -46,13 +47,13 @@ class Rule:
 
 #: Signs of poor text say nothing when they are missing, so most rules only vote against a document.
 RULES = (
-    Rule("symbols", "n_symbols / n_words", 0.2),
-    Rule("marks", "n_marks / n_words", 0.3, 0.1),
-    Rule("plain_words", "n_plain / n_words", 0.6, 0.75),
-    Rule("shouting", "n_upper / word_chars", 0.4, 0.15),
-    Rule("exclaims", "n_exclaims / n_words", 0.2),
-    Rule("repeats", "n_repeat_words / n_words", 0.1),
-    Rule("lines", "n_dup_lines / n_lines", 0.4),
+    Rule("symbols", "n_symbols", "n_words", 0.2),
+    Rule("marks", "n_marks", "n_words", 0.3, 0.1),
+    Rule("plain_words", "n_plain", "n_words", 0.6, 0.75),
+    Rule("shouting", "n_upper", "word_chars", 0.4, 0.15),
+    Rule("exclaims", "n_exclaims", "n_words", 0.2),
+    Rule("repeats", "n_repeat_words", "n_words", 0.1),
+    Rule("lines", "n_dup_lines", "n_lines", 0.4),
 )
 
 #: Rates that EM starts from, which also enter as one document of either class; the share of good documents.
