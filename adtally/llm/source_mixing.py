@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+SEPARATORS = r"[\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 BUDGET_SHARE = 1.5
 MOST_REPEATS = 2
@@ -106,12 +107,13 @@ def schedule(rows: DataFrame, repeats: int = MOST_REPEATS) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix in its order, with the columns of ``docs`` (doc_id, text, source, and any more).
 
-    A document that is taken twice is there twice; of one that the budget cuts the first words are there, up to the end of
-    the last one. ``n_chars``, if there is one, is that of the text.
+    A document that is taken twice is there twice; of one that the budget cuts the first words are there,
+    joined by one space. ``n_chars``, if there is one, is that of the text.
     """
     turns = schedule(mixed(docs))
+    words = F.filter(F.split("row.text", SEPARATORS), lambda w: w != "")
     text = F.when(F.col("words") == F.col("size"), F.col("row.text")).otherwise(
-        F.expr("regexp_extract(row.text, concat('(?s)^(?:[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+){', words, '}'), 0)")
+        F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), " ")
     )
     rows = turns.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "text"), text.alias("text"))
     rows = rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows

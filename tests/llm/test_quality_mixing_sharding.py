@@ -5,7 +5,6 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from adtally.llm.quality_rules import RULES, kept_documents, posteriors, quality_rules
 from adtally.llm.sharding import sharded, write_shards
@@ -138,7 +137,9 @@ def test_mixed_documents_are_whole_or_cut_at_the_budget(documents):
     found = mixed_documents(documents)
     assert found.columns == documents.columns
     assert sum(len(WORD.findall(r.text)) for r in found.collect()) == sum(r.taken for r in mixed(documents).collect())
-    assert all(texts[r.doc_id].startswith(r.text) for r in found.collect())
+    cut = [r for r in found.collect() if r.text != texts[r.doc_id]]
+    assert 0 < len(cut) <= 5
+    assert all(r.text.split(" ") == WORD.findall(texts[r.doc_id])[: len(r.text.split(" "))] for r in cut)
     again = mixed(documents.repartition(3, "text"))
     assert sorted((r.doc_id, r.taken) for r in again.collect()) == sorted((r.doc_id, r.taken) for r in mixed(documents).collect())
 
