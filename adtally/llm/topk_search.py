@@ -14,8 +14,6 @@ with the query rows. Only what can be among the k best of a block leaves it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
