@@ -37,6 +37,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Spark removes the shuffle files of a query when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it back.
+
+    The table takes the place of the shuffle files of the query, which are removed, so a chain of such steps
+    needs disk for its largest step only.
+    """
+    spark, folder = df.sparkSession, new_folder(df.sparkSession, "table")
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def folder_of(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a folder that Spark names ``file:/x``, ``/x`` or by another scheme."""
     if uri.startswith("file:/") and not uri.startswith("file://"):
