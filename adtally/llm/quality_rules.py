@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adtally.llm.shared import checkpointed
+from adtally.llm.shared import checkpointed, stored
 
 SEPARATORS = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -207,6 +207,7 @@ def judged(rows: DataFrame, least_quality: float = 0.5) -> DataFrame:
 def kept_documents(docs: DataFrame, least_quality: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns.
 
-    Rows are measured once for the rates and once to choose them, which needs no shuffle of texts.
+    Rows are written to the shared folder with their votes, so texts are measured once and not shuffled.
     """
-    return judged(voted(docs), least_quality).where("kept").select("row.*")
+    rows = stored(voted(docs).select("row", "votes", "base_failed"))
+    return judged(rows, least_quality).where("kept").select("row.*")
