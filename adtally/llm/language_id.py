@@ -214,9 +214,13 @@ def _expected(scores: np.ndarray, moves: np.ndarray, forward: np.ndarray, backwa
 def sample(labelled: DataFrame, documents: int = SAMPLE_DOCUMENTS, size: int = SAMPLE_WORDS) -> list[tuple[str, list[str]]]:
     """A bounded training sample of ``labelled`` (doc_id, text, lang): a stretch of words of some documents per language.
 
-    Documents and the places of their stretches are chosen by hash, so reruns agree.
+    Documents and the places of their stretches are chosen by hash, so reruns agree. A share of each language is drawn
+    first that leaves a few times as many as are wanted, so no language gathers in one task.
     """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    drawn = F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 30)) < (4.0 * documents / F.col("n")) * (1 << 30)
+    rows = rows.join(sizes, "lang").where(drawn).select("doc_id", "lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id")
     picked = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= documents).select("doc_id").distinct()
     # a bounded number of rows for each language

@@ -23,14 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adtally.llm.shared import mapped
+from adtally.llm.shared import mapped, stored
 from adtally.llm.words import Runs, Words, chunks, words
 
 THRESHOLD = 20
-GRAM = 8
+GRAM = 6
 
 SEED = "anchor long, run long, doc_id long, same int, first int, windows int"
-SPAN = "doc_id long, same int, first int, last int"
 RESULT = "n_words long, n_removed long, kept_sha256 string, kept string"
 
 #: Turns a key into another one of the same equality. The join on it deals out both sides anew, so that
@@ -122,23 +121,23 @@ def _extended(docs: DataFrame, edges: DataFrame, threshold: int, gram: int) -> D
                     names=["anchor", "run", "doc_id", "same", "first"],
                 )
 
-    # all columns of docs, so that this and the last join read one and the same shuffle
-    return mapped(docs.join(edges, ["doc_id", "same"]), batches, "anchor long, run long, doc_id long, same int, first int")
+    return mapped(docs.select("doc_id", "same", "text").join(edges, ["doc_id", "same"]), batches, "anchor long, run long, doc_id long, same int, first int")
 
 
 def _not_first(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Rows other than the first of their anchor and run."""
-    firsts = firsts.where("n > 1").select(
-        "anchor", F.col("run").bitwiseXOR(F.lit(_TURN)).alias("turned"), F.struct("head.doc_id", "head.same", "head.first").alias("head")
-    )
-    rows = rows.withColumn("turned", F.col("run").bitwiseXOR(F.lit(_TURN)))
+    """Rows other than the first of their anchor and run; ``firsts`` has a row for each of these."""
+    place = F.struct("doc_id", "same", "first").alias("head")
+    firsts = firsts.where("n > 1").select("anchor", F.col("run").bitwiseXOR(F.lit(_TURN)).alias("turned"), place)
+    rows = rows.withColumn("turned", F.col("run").bitwiseXOR(F.lit(_TURN))).drop("run")
     return rows.join(firsts, ["anchor", "turned"]).where(F.struct("doc_id", "same", "first") != F.col("head"))
 
 
 def _firsts(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.groupBy("anchor", "run").agg(
+    """The first row of each anchor and run, and the number of its rows."""
+    found = rows.groupBy("anchor", "run").agg(
         F.min(F.struct("doc_id", "same", "first", *columns)).alias("head"), F.count("*").alias("n")
     )
+    return found.select("anchor", "run", "head.*", "n")
 
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
@@ -149,25 +148,27 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
 def repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
     """Stretches of words (doc_id, same, first, last) that occur earlier and cover all repeats.
 
-    ``docs`` is the result of ``keyed``, with doc_id in each row. Stretches may touch or overlap; ``last`` is the word behind one.
+    ``docs`` is the result of ``keyed``, with doc_id in each row. Each step is written to the shared folder, so
+    that its shuffle files can go before the next. Stretches may touch or overlap; ``last`` is the word behind one.
     """
     found = seeds(docs.select("doc_id", "same", "text"), threshold, gram)
     several = found.groupBy("anchor").count().where("count > 1")
     several = several.select(F.col("anchor").bitwiseXOR(F.lit(_TURN)).alias("turned"))
-    found = found.withColumn("turned", F.col("anchor").bitwiseXOR(F.lit(_TURN)))
-    found = found.join(several, "turned", "left_semi").drop("turned")
+    found = found.select(F.col("anchor").bitwiseXOR(F.lit(_TURN)).alias("turned"), "run", "doc_id", "same", "first", "windows")
+    found = found.join(several, "turned", "left_semi")
+    found = stored(found.select(F.col("turned").bitwiseXOR(F.lit(_TURN)).alias("anchor"), "run", "doc_id", "same", "first", "windows"))
 
-    classes = _firsts(found, "windows")
+    classes = stored(_firsts(found, "windows"))
     whole = _not_first(found, classes).select("doc_id", "same", "first", (F.col("first") + F.col("windows") + threshold - 1).alias("last"))
+    whole = stored(whole)
 
-    heads = classes.select("anchor", "head.*")
-    edges = heads.groupBy("anchor").count().where("count > 1")
+    edges = classes.groupBy("anchor").count().where("count > 1")
     edges = edges.select(F.col("anchor").bitwiseXOR(F.lit(_TURN)).alias("turned"))
-    heads = heads.withColumn("turned", F.col("anchor").bitwiseXOR(F.lit(_TURN))).join(edges, "turned", "left_semi")
+    heads = classes.withColumn("turned", F.col("anchor").bitwiseXOR(F.lit(_TURN))).join(edges, "turned", "left_semi")
     lists = heads.groupBy("doc_id", "same").agg(F.collect_list(F.struct("anchor", "first", "windows")).alias("seeds"))
-    windows = _extended(docs, lists, threshold, gram)
+    windows = stored(_extended(docs, lists, threshold, gram))
     single = _not_first(windows, _firsts(windows)).select("doc_id", "same", "first", (F.col("first") + threshold).alias("last"))
-    return whole.unionAll(single)
+    return whole.unionAll(stored(single))
 
 
 def _kept(texts: bool):

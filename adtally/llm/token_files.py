@@ -56,8 +56,11 @@ def _compression(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
 
 def train(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, size: int = DICTIONARY_BYTES) -> str:
     """Train the dictionary on at most ``SAMPLE_DOCUMENTS`` documents, chosen by hash, and store it; its hash."""
-    picked = docs.where("text IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS)
-    texts = [r.text[: 8 * SAMPLE_IDS] for r in picked.select("text").collect()]
+    given = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text")
+    picked = given.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS).distinct()
+    # at most SAMPLE_DOCUMENTS ids, and a bounded part of each text
+    parts = given.join(F.broadcast(picked), "doc_id").select("doc_id", F.substring("text", 1, 8 * SAMPLE_IDS).alias("text"))
+    texts = [r.text for r in parts.orderBy("doc_id", "text").limit(SAMPLE_DOCUMENTS).collect()]
     ids = encoded(load(tokenizer), texts, end_id)
     content = _dictionary([x[: 4 * SAMPLE_IDS] for x in ids], size)
     name = hashlib.sha256(content).hexdigest()
@@ -170,7 +173,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                             names=["doc_id", "start", "n_tokens", "ids"],
                         )
 
-    shards = manifest.select("path", "start").repartition(F.xxhash64("path"))
+    # a given number of partitions, as Spark would put the few short rows into one
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = manifest.select("path", "start").repartition(partitions, "path")
     return mapped(shards, batches, DOCUMENT)
 
 
