@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adtally.llm.shared import checkpointed, mapped
-from adtally.llm.tokenizing import encoded, load
+from adtally.llm.tokenizing import TOGETHER_BYTES, encoded, load
 from adtally.llm.words import chunks
 
 CAPACITY = 2048
@@ -95,7 +95,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = load(tokenizer)
         for batch in rows:
-            for part in chunks(batch):
+            for part in chunks(batch, TOGETHER_BYTES):
                 ids = encoded(library, [x or "" for x in part.column("text").to_pylist()], end_id)
                 found = [
                     (doc, at // capacity, at, min(capacity, len(x) // 4 - at), zlib.crc32(x[4 * at : 4 * (at + capacity)]))

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adtally.llm.shared import checkpointed, stored
+from adtally.llm.shared import checkpointed
 
 SEPARATORS = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -207,7 +207,11 @@ def judged(rows: DataFrame, least_quality: float = 0.5) -> DataFrame:
 def kept_documents(docs: DataFrame, least_quality: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns.
 
-    Rows are written to the shared folder with their votes, so texts are measured once and not shuffled.
+    Texts are measured twice, for the rates and to choose rows, and neither shuffled nor written. Rows are chosen by their
+    votes alone, those that fail the base rules being marked as such in the key, so nothing else of a text is looked at again.
     """
-    rows = stored(voted(docs).select("row", "votes", "base_failed"))
-    return judged(rows, least_quality).where("kept").select("row.*")
+    key = F.array_append("votes", F.col("base_failed").cast("int")).alias("key")
+    found = posteriors(checkpointed(voted(docs).select("votes", "base_failed"))).where(F.col("quality") >= least_quality)
+    # at most 3 ** len(RULES) rows, whatever the size of the corpus
+    kept = F.broadcast(found.select(F.array_append("votes", F.lit(0)).alias("key")))
+    return voted(docs).select("row", key).join(kept, "key", "left_semi").select("row.*")

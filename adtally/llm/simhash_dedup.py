@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adtally.llm.components import components
-from adtally.llm.shared import checkpointed, mapped
+from adtally.llm.shared import checkpointed, mapped, stored
 from adtally.llm.words import Runs, chunks, mixed, words
 
 SHINGLE = 3
@@ -306,7 +306,7 @@ def similar_documents(docs: DataFrame, radius: int = RADIUS, tree_size: int = TR
     """
     known = checkpointed(signatures(docs))
     nodes = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fps").alias("fps"), F.first("marks").alias("marks"))
-    return _with_component(known.select("doc_id", "node"), nodes, components(links(nodes, radius, tree_size, MOST_MARKS))).select("doc_id", "component_id")
+    return _with_component(known.select("doc_id", "node"), nodes, components(stored(links(nodes, radius, tree_size, MOST_MARKS)))).select("doc_id", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:

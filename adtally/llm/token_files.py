@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adtally.llm.shared import folder_of, mapped
-from adtally.llm.tokenizing import encoded, load
+from adtally.llm.tokenizing import TOGETHER_BYTES, encoded, load
 from adtally.llm.words import chunks
 
 END_ID = 2
@@ -97,7 +97,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, partitions: int | None =
             if out is None:
                 name = f"shard-{shard:06d}-{uuid.uuid4().hex}"
                 out = files.open_output_stream(f"{path}/{name}.ids")
-            for part in chunks(batch):
+            for part in chunks(batch, TOGETHER_BYTES):
                 for ids in encoded(library, [x or "" for x in part.column("text").to_pylist()], end_id):
                     frame = packer.compress(ids)
                     out.write(frame)

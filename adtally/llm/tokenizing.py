@@ -18,6 +18,8 @@ from tokenizers import Tokenizer
 
 #: Most stretches whose ids a worker keeps; more are encoded each time they occur in a batch.
 KNOWN = 500_000
+#: Bytes of text whose different stretches are looked for together.
+TOGETHER_BYTES = 2 << 20
 #: Stretches that are put together.
 TOGETHER = 200
 #: Separates stretches where words are encoded without the blanks around them.

@@ -16,7 +16,7 @@ SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 _BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -103,10 +103,10 @@ def words(texts: pa.Array) -> Words:
     return Words(data, starts, ends, row, np.searchsorted(starts, offsets))
 
 
-def chunks(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about ``CHUNK_BYTES`` of text each."""
-    column = batch.column(batch.schema.get_field_index(text))
-    part = np.cumsum(_sizes(column)) // CHUNK_BYTES
+def chunks(batch: pa.RecordBatch, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about ``size`` bytes of text each."""
+    column = batch.column(batch.schema.get_field_index("text"))
+    part = np.cumsum(_sizes(column)) // size
     bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
     for start, end in zip(bounds, bounds[1:]):
         if end > start:
