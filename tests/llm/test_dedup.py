@@ -169,6 +169,56 @@ def test_changed_copies_of_one_text_are_one_group(spark):
         assert found == {i: 0 for i in range(40)} | {100 + i: 100 + i for i in range(40)}
 
 
+def grouped_by_likeness(texts):
+    """doc_id to the least doc_id that is reached over pairs of a similarity of 0.8, by looking at every pair."""
+    sets, above = {d: shingles(t) for d, t in texts.items()}, {d: d for d in texts}
+
+    def top(n):
+        while above[n] != n:
+            n = above[n]
+        return n
+
+    for a in texts:
+        for b in texts:
+            both = len(sets[a] & sets[b])
+            if a < b and (5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both)):
+                low, high = sorted((top(a), top(b)))
+                above[high] = low
+    return {d: top(d) for d in texts}
+
+
+@pytest.mark.parametrize("tree_size", [2, 4096])
+def test_copies_with_blocks_added_or_replaced_are_grouped(spark, tree_size):
+    import random
+
+    rng = random.Random(2)
+
+    def block(n):
+        return [f"w{int(rng.paretovariate(0.6))}" for _ in range(n)]
+
+    texts, passage = {}, block(30)
+    for base in range(40):
+        words = block((20, 60, 300, 1000)[base % 4])
+        words = words if base % 3 else passage + words
+        n = len(words)
+        for k, share in enumerate((0.05, 0.1, 0.15, 0.18, 0.2, 0.22, 0.25)):
+            more = block(max(round(share * n), 1))
+            at, kind = rng.randrange(n - len(more)), (base + k) % 4
+            changed = (words + more, more + words, words[:at] + more + words[at:], words[:at] + more[: len(more) // 2] + words[at + len(more) // 2 :])[kind]
+            texts[100 * base + 1 + k] = " ".join(changed)
+        texts[100 * base] = " ".join(words)
+        texts[100 * base + 50] = " ".join(words).upper()
+    wanted = grouped_by_likeness(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in similar_documents(docs, tree_size=tree_size).collect()} == wanted
+    assert 40 < len(set(wanted.values())) < 300
+
+
+def test_groups_are_those_of_all_pairs(documents):
+    texts = {d: t for d, t in rows_of(documents)}
+    assert {r.doc_id: r.component_id for r in similar_documents(documents).collect()} == grouped_by_likeness(texts) | {d: 300 for d, t in texts.items() if not (t or "").strip()}
+
+
 def test_rows_without_id_stay_beside_groups(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (4, "a b c d"), (3, "a b c d")], "doc_id long, text string")
     assert sorted((r.doc_id or 0) for r in without_near_duplicates(docs).collect()) == [0, 0, 3]
