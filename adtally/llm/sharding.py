@@ -81,11 +81,16 @@ def sharded(docs: DataFrame, limit: int = LIMIT_BYTES, step: int = STEP) -> Data
     alone are too large, the shard is followed by numbers that divide it. Only a single row that is larger than the limit
     has a shard that does not fit, and is alone in it. An empty table gives no rows.
     """
+    return _sharded(docs, limit, step).select("doc_id", "bytes", "shard", "depth", "shard_bytes")
+
+
+def _sharded(docs: DataFrame, limit: int, step: int) -> DataFrame:
+    """The columns of ``sharded`` and ``row``, the whole row, which costs nothing unless it is used."""
     rows = docs.select(
-        F.col("doc_id").cast("long"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), hash_bits(F.col("doc_id")).alias("hash")
+        F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), hash_bits(F.col("doc_id")).alias("hash")
     )
     known = rows.withColumns({"shard": F.lit(None).cast("string"), "shard_bytes": F.lit(0).cast("long"), "single": F.lit(False)})
-    for depth, level in _levels(rows, limit, step):
+    for depth, level in _levels(rows.drop("row"), limit, step):
         level = level.select("cell", *(F.col(c).alias(f"new_{c}") for c in ("shard", "shard_bytes", "single")))
         # the first directory has at most 2 ** step rows; the later ones grow with the corpus
         level = F.broadcast(level) if depth <= step else level
@@ -94,12 +99,10 @@ def sharded(docs: DataFrame, limit: int = LIMIT_BYTES, step: int = STEP) -> Data
         known = rest if depth <= step else known.where("shard IS NOT NULL").unionByName(rest)
     large = F.col("single") & (F.col("shard_bytes") > limit)
     known = known.where(~large).unionByName(_overflow(known.where(large), limit))
-    known = known.withColumn("depth", F.length(F.substring_index("shard", "-", 1)))
-    return known.select("doc_id", "bytes", "shard", "depth", "shard_bytes")
+    return known.withColumn("depth", F.length(F.substring_index("shard", "-", 1)))
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT_BYTES) -> None:
-    """Write ``docs`` as Parquet below ``path``, a folder for each shard."""
-    places = sharded(docs, limit).select("doc_id", "shard").distinct()
-    rows = docs.join(places, docs["doc_id"].eqNullSafe(places["doc_id"])).drop(places["doc_id"])
+    """Write ``docs`` as Parquet below ``path``, a folder for each shard; each row goes to its own shard."""
+    rows = _sharded(docs, limit, STEP).select("row.*", "shard")
     rows.repartition("shard").write.partitionBy("shard").parquet(path)

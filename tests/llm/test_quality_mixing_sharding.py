@@ -185,3 +185,15 @@ def test_one_id_with_many_rows_is_divided(spark, nothing, tmp_path):
     assert sharded(nothing).count() == 0
     write_shards(docs.where("doc_id = 8"), str(tmp_path / "shards"))
     assert spark.read.parquet(str(tmp_path / "shards")).count() == 1
+
+
+def test_divided_ids_are_written_once_and_within_the_limit(spark, tmp_path):
+    given = [(7, f"{i:03d}" + "x" * 47) for i in range(100)] + [(None, f"{i:02d}" + "y" * 28) for i in range(40)] + [(8, "z" * 500)] + [(9 + i, "v") for i in range(30)]
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    write_shards(docs, str(tmp_path / "shards"), 200)
+    rows = spark.read.parquet(str(tmp_path / "shards")).selectExpr("doc_id", "text", "regexp_extract(input_file_name(), 'shard=([^/]*)', 1) AS place").collect()
+    assert Counter((r.doc_id, r.text) for r in rows) == Counter(given)
+    total, number = Counter(), Counter(r.place for r in rows)
+    for r in rows:
+        total[r.place] += len(r.text)
+    assert all(total[s] <= 200 or number[s] == 1 for s in total)
