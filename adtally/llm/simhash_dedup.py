@@ -392,6 +392,13 @@ def similar_documents(docs: DataFrame, tree_size: int = TREE_SIZE) -> DataFrame:
     key is compared with the least of the key first; then all pairs of a key that are not connected by this, as far as sizes
     and places allow, in parts of about ``tree_size``. Rows without doc_id give no id, as in ``near_duplicates``.
     """
+    known, roots = _connected(docs, tree_size)
+    nodes = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    return _with_component(known.select("doc_id", "node"), nodes, roots).select("doc_id", "component_id")
+
+
+def _connected(docs: DataFrame, tree_size: int = TREE_SIZE) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, same, node) of each row, and (node, root) of the nodes that are linked."""
     known = stored(_keyed(docs, _common(docs)))
     rows = known.select("node", "n", F.posexplode("keys").alias("place", "key"))
     least = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
@@ -406,13 +413,18 @@ def similar_documents(docs: DataFrame, tree_size: int = TREE_SIZE) -> DataFrame:
     found = stored(_confirmed(stars, sets))
     others = _across(live, components(found), tree_size).join(stars, ["a", "b"], "left_anti")
     found = found.unionAll(stored(_confirmed(stored(others), sets)))
-
-    nodes = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    return _with_component(known.select("doc_id", "node"), nodes, components(found)).select("doc_id", "component_id")
+    return known.select("doc_id", "same", "node"), components(found)
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of each group, one each; rows without doc_id are not compared and stay."""
+    """One row of each group, that with the smallest (doc_id, hash of text); rows without doc_id are not compared and stay.
+
+    Different texts of one doc_id are rows of their own; rows that repeat both are one.
+    """
     placed = docs.where("doc_id IS NOT NULL")
-    chosen = similar_documents(placed).where("doc_id = component_id").select("doc_id").distinct()
-    return placed.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    known, roots = _connected(placed)
+    chosen = known.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
+    chosen = chosen.agg(F.min(F.struct("doc_id", "same")).alias("least")).select("least.*")
+    rows = placed.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("same"), F.struct(*docs.columns).alias("row"))
+    rows = rows.join(chosen, ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id", "same"]).select("row.*")
+    return rows.unionByName(docs.where("doc_id IS NULL"))

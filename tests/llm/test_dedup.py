@@ -224,3 +224,12 @@ def test_rows_without_id_stay_beside_groups(spark):
     assert sorted((r.doc_id or 0) for r in without_near_duplicates(docs).collect()) == [0, 0, 3]
     assert {r.component_id for r in near_duplicates(docs).collect()} == {3}
     assert {r.component_id for r in near_duplicates(docs.where(F.col("doc_id").isNull())).collect()} == {None}
+
+
+def test_texts_that_share_an_id_are_told_apart(spark):
+    def text(name):
+        return " ".join(f"{name}{i}" for i in range(40))
+
+    rows = [(1, text("a")), (1, text("b")), (2, text("a")), (3, text("b")), (4, text("c")), (4, text("c"))]
+    kept = without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == [(1, text("a")), (1, text("b")), (4, text("c"))]
