@@ -57,6 +57,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table of ``stored`` that is not read again."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        files, path = folder_of(folder)
+        files.delete_dir(path)
+
+
 def folder_of(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a folder that Spark names ``file:/x``, ``/x`` or by another scheme."""
     if uri.startswith("file:/") and not uri.startswith("file://"):

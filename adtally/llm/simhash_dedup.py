@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adtally.llm.components import components
-from adtally.llm.shared import checkpointed, mapped, stored
+from adtally.llm.shared import checkpointed, forget, mapped, stored
 from adtally.llm.words import Runs, chunks, mixed, words
 
 SHINGLE = 3
@@ -31,6 +31,8 @@ SEED = 42
 #: For groups of similar texts: words of a shingle; bits of a hash that tell places apart, one text in how many is
 #: counted, and the most places that are taken as common.
 WORDS_TOGETHER, PLACE_BITS, COUNTED_SHARE, MOST_COMMON = 5, 22, 16, 1 << 16
+#: Bound of the buckets of rows that are sent to all executors.
+BUCKETS = 1 << 20
 _TURN = 0x5DEECE66D
 _EVERY_EIGHTH = np.uint64(0x0101010101010101)
 
@@ -413,6 +415,8 @@ def _connected(docs: DataFrame, tree_size: int = TREE_SIZE) -> tuple[DataFrame,
     found = stored(_confirmed(stars, sets))
     others = _across(live, components(found), tree_size).join(stars, ["a", "b"], "left_anti")
     found = found.unionAll(stored(_confirmed(stored(others), sets)))
+    forget(sets)
+    forget(live)
     return known.select("doc_id", "same", "node"), components(found)
 
 
@@ -423,8 +427,15 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     placed = docs.where("doc_id IS NOT NULL")
     known, roots = _connected(placed)
-    chosen = known.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
-    chosen = chosen.agg(F.min(F.struct("doc_id", "same")).alias("least")).select("least.*")
-    rows = placed.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("same"), F.struct(*docs.columns).alias("row"))
-    rows = rows.join(chosen, ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id", "same"]).select("row.*")
-    return rows.unionByName(docs.where("doc_id IS NULL"))
+    groups = stored(known.join(roots, "node", "left").select("doc_id", "same", F.coalesce("root", "node").alias("root")))
+    least = groups.groupBy("root").agg(F.min(F.struct("doc_id", "same")).alias("least"), F.count("*").alias("rows"))
+    several = least.where("rows > 1").select(F.col("root").bitwiseXOR(F.lit(_TURN)).alias("turned"))
+    # rows that share a bucket with none of these are alone in their group, and their texts are not shuffled
+    bucket = F.pmod(F.xxhash64("doc_id", "same"), F.lit(BUCKETS)).alias("bucket")
+    buckets = groups.withColumn("turned", F.col("root").bitwiseXOR(F.lit(_TURN))).join(several, "turned", "left_semi").select(bucket).distinct()
+    buckets = F.broadcast(stored(buckets))
+    rows = placed.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("same"), F.struct(*docs.columns).alias("row")).select("*", bucket)
+    alone = rows.join(buckets, "bucket", "left_anti").select("row.*")
+    rows = rows.join(buckets, "bucket", "left_semi").join(least.select("least.*"), ["doc_id", "same"], "left_semi")
+    rows = rows.dropDuplicates(["doc_id", "same"]).select("row.*")
+    return alone.unionByName(rows).unionByName(docs.where("doc_id IS NULL"))
