@@ -284,6 +284,17 @@ def _lists(values: np.ndarray, count: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(values.view(np.int64)))
 
 
+def _parities(hashes: np.ndarray, count: np.ndarray) -> pa.Array:
+    """Of each row 1,024 bits, each whether an odd number of its hashes falls on it.
+
+    Two rows differ in at most as many bits as there are hashes that only one of them has.
+    """
+    bits = np.zeros(16 * len(count), dtype=np.uint64)
+    word = 16 * np.repeat(np.arange(len(count)), count) + ((hashes >> np.uint64(6)) & np.uint64(15)).astype(np.int64)
+    np.bitwise_xor.at(bits, word, np.uint64(1) << (hashes & np.uint64(63)))
+    return _lists(bits, np.full(len(count), 16))
+
+
 def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Places, by the first ``PLACE_BITS`` bits of a hash, that hold common shingles, and how often they were seen.
 
@@ -333,25 +344,31 @@ def _placed(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) of each of ``nodes``, from the text of one row of it."""
+    """(node, shingles, bits) of each of ``nodes``, from the text of one row of it."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for part in chunks(batch):
                 hashes, count = _shingle_sets(part.column("text"))
-                yield pa.RecordBatch.from_arrays([pa.array(_nodes(hashes, count)), _lists(hashes, count)], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(_nodes(hashes, count)), _lists(hashes, count), _parities(hashes, count)], names=["node", "shingles", "bits"])
 
     chosen = known.select("doc_id", "same", "node").join(nodes, "node", "left_semi")
     chosen = chosen.groupBy("node").agg(F.min(F.struct("doc_id", "same")).alias("row")).select("row.*").alias("c")
     texts = _placed(docs).alias("d").join(chosen, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.same") == F.col("c.same")), "left_semi")
-    return mapped(texts.select("text"), batches, "node long, shingles array<long>").dropDuplicates(["node"])
+    return mapped(texts.select("text"), batches, "node long, shingles array<long>, bits array<long>").dropDuplicates(["node"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that share four fifths of their different shingles."""
-    a = sets.select(F.col("node").bitwiseXOR(F.lit(_TURN)).alias("turned"), F.col("shingles").alias("x"))
-    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.withColumn("turned", F.col("a").bitwiseXOR(F.lit(_TURN))).join(a, "turned").join(b, "b")
+    def with_both(pairs: DataFrame, *columns: Column) -> DataFrame:
+        a = sets.select(F.col("node").bitwiseXOR(F.lit(_TURN)).alias("turned"), F.struct(*columns).alias("x"))
+        b = sets.select(F.col("node").alias("b"), F.struct(*columns).alias("y"))
+        return pairs.withColumn("turned", F.col("a").bitwiseXOR(F.lit(_TURN))).join(a, "turned").join(b, "b")
+
+    # the sets differ in at least as many shingles as their bits, so no pair of 0.8 goes here
+    differ = F.aggregate(F.zip_with("x.bits", "y.bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+    near = with_both(pairs, F.size("shingles").alias("n"), F.col("bits")).where(9 * differ <= F.col("x.n") + F.col("y.n")).select("a", "b")
+    both = with_both(stored(near), F.col("shingles")).select("a", "b", F.col("x.shingles").alias("x"), F.col("y.shingles").alias("y"))
     return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
