@@ -80,6 +80,62 @@ SELECT doc_id, bytes, shard, CAST(length(shard) AS INTEGER) AS depth, shard_byte
 FROM items JOIN shards ON starts_with(bits, shard) WHERE shard_bytes <= {sharding.LIMIT_BYTES} OR single"""
 
 
+_HARD_NEGATIVES = """
+WITH given AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS alike, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM given q JOIN given c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_JACCARD_JOIN = f"""
+WITH RECURSIVE given AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS words FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS shingles FROM given),
+entries AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets),
+linked AS (SELECT a.doc_id AS a, b.doc_id AS b FROM entries a JOIN entries b
+    ON a.shingle = b.shingle AND a.doc_id <> b.doc_id AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reached AS (SELECT doc_id, doc_id AS other FROM sets UNION SELECT r.doc_id, b FROM reached r JOIN linked ON r.other = a)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id FROM sets
+JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) USING (doc_id)"""
+
+
+def _phrase_mining() -> str:
+    runs = "\n    UNION ALL ".join(
+        f"SELECT lang, {' || chr(32) || '.join(f'w{i}' for i in range(k))} AS phrase, {k} AS size, count(*) AS f FROM ahead"
+        f" WHERE w{k - 1} IS NOT NULL GROUP BY 1, 2" + (" HAVING count(*) >= 100" if k > 1 else "")
+        for k in range(1, 6)
+    )
+    ahead = ", ".join(["word AS w0", *(f"lead(word, {k}) OVER w AS w{k}" for k in range(1, 5))])
+    return f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS piece, text FROM (
+    SELECT lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS text FROM documents)),
+listed AS (SELECT lang, piece, regexp_extract_all(text, '[^\\x20\\x09]+') AS words FROM pieces),
+numbered AS (SELECT lang, piece, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM listed),
+ahead AS (SELECT lang, {ahead} FROM numbered WINDOW w AS (PARTITION BY piece ORDER BY i)),
+counted AS ({runs}),
+totals AS (SELECT lang, CAST(count(*) AS HUGEINT) AS n FROM numbered GROUP BY lang),
+candidates AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS words FROM counted WHERE size > 1),
+covered AS (SELECT DISTINCT c.lang, c.phrase FROM candidates c JOIN candidates d ON c.lang = d.lang AND d.size > c.size AND d.a >= c.a
+    AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' ')),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(words[:k], ' ') AS lead_part, array_to_string(words[k + 1:], ' ') AS rest
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates ANTI JOIN covered USING (lang, phrase))),
+scored AS (SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, n, 1000 * CAST(c.a AS HUGEINT) * n // (CAST(l.f AS HUGEINT) * r.f) AS score
+    FROM cuts c JOIN counted l ON c.lang = l.lang AND c.lead_part = l.phrase JOIN counted r ON c.lang = r.lang AND c.rest = r.phrase
+    JOIN totals t ON c.lang = t.lang QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n,
+    CAST(score AS BIGINT) AS score FROM scored QUALIFY rank <= 2000"""
+
+
 def _vote(rule: Rule) -> str:
     falling = rule.favour is not None and rule.favour > rule.against
     worse, better = ("<=", ">=") if falling else (">=", "<=")
@@ -144,4 +200,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_quality_rules": _quality_rules(),
         "op8_topk_search": _TOPK_SEARCH,
         "op10_sharding": _SHARDING,
+        "op11_hard_negatives": _HARD_NEGATIVES,
+        "op12_jaccard_join": _JACCARD_JOIN,
+        "op13_phrase_mining": _phrase_mining(),
     }

@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adtally.llm import language_id, packing, token_files, warc
+from adtally.llm.hard_negatives import hard_negatives
+from adtally.llm.jaccard_join import similar_sets
 from adtally.llm.oracles import oracle_sql
+from adtally.llm.phrases import collocations
 from adtally.llm.quality_rules import quality_rules
 from adtally.llm.sharding import sharded
 from adtally.llm.shared import new_folder
@@ -82,6 +85,19 @@ def _sharding(spark: SparkSession, root: str) -> DataFrame:
     return sharded(table(spark, root, "documents"))
 
 
+def _hard_negatives(spark: SparkSession, root: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, root, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def _jaccard_join(spark: SparkSession, root: str) -> DataFrame:
+    return similar_sets(table(spark, root, "documents"))
+
+
+def _phrase_mining(spark: SparkSession, root: str) -> DataFrame:
+    return collocations(table(spark, root, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": _substring_dedup,
@@ -94,4 +110,7 @@ def queries() -> dict[str, Query]:
         "op8_topk_search": _topk_search,
         "op9_language_id": _language_id,
         "op10_sharding": _sharding,
+        "op11_hard_negatives": _hard_negatives,
+        "op12_jaccard_join": _jaccard_join,
+        "op13_phrase_mining": _phrase_mining,
     }
