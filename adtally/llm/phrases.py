@@ -4,20 +4,22 @@ A suffix starts at a word and goes on for ``LONGEST`` words of its piece at most
 are frequent, since no frequent phrase goes further. Equal suffixes are put together with their count before anything is
 shuffled.
 
-Suffixes are partitioned vertically, by prefixes of words: prefixes fall into ``BUCKETS`` buckets, and neighbouring buckets make
-up a group as long as the rows of their suffixes fit the memory budget of a task. A bucket above the budget is not
-grouped; its suffixes are looked at again by prefixes with one word more. Each group is one task's: it sorts its suffixes, builds the
-subtree of their words level by level, cut at ``LONGEST``, and reads the count of each node from the totals of the leaves below.
+Suffixes are partitioned vertically, by prefixes of words: prefixes fall into ``BUCKETS`` buckets, and the suffixes of a task with
+prefixes of one bucket are a fragment, which is one row. Neighbouring buckets make up a group as long as their suffixes fit the
+memory budget of a task. Fragments of a bucket above the budget are divided by prefixes with one word more. Each group is one
+task's: it sorts its suffixes, builds the subtree of their words level by level, cut at ``LONGEST``, and reads the count of each node
+from the totals of the leaves below.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adtally.llm.shared import mapped, stored
@@ -26,14 +28,14 @@ from adtally.llm.words import Words, chunks, mixed, words
 LONGEST = 5
 LEAST = 100
 FIRST = 2000
-#: Rows of suffixes that a task builds a subtree from, and buckets of prefixes of each length.
-BUDGET, BUCKETS = 1 << 18, 1 << 16
+#: Suffixes that a task builds a subtree from, and buckets of prefixes of each length.
+BUDGET, BUCKETS = 1 << 18, 1 << 12
 #: Bits that tell which hashes may be frequent; a hash too many costs time only.
 BITS = 1 << 26
 #: Different hashes of a task that are held before they are put out.
 HELD = 1 << 20
 UNKNOWN = "und"
-WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
+FRAGMENTS = "bucket int, length int, suffixes long, content binary"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _STOPS = np.frombuffer(b".,;:!?", dtype=np.uint8)
 
@@ -175,17 +177,31 @@ def pair_counts(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return mapped(docs.select("text", "lang"), batches, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
+def _fragments(suffix: np.ndarray, length: int) -> pa.RecordBatch:
+    """Suffixes, each with depth and count behind its words, as a row for each bucket of their first ``length`` words."""
+    bucket = (run_key(list(suffix[:, :length].T)) & np.uint64(BUCKETS - 1)).astype(np.int32)
+    order = np.lexsort((*suffix[:, LONGEST - 1 :: -1].T, bucket))
+    suffix, bucket = suffix[order], bucket[order]
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = np.append(starts[1:], len(bucket))
+    content = [suffix[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
+    columns = [pa.array(bucket[starts]), pa.array(np.full(len(starts), length, np.int32)), pa.array(ends - starts), pa.array(content, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "length", "suffixes", "content"])
+
+
+def _suffixes(content: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(content), dtype=np.uint64).reshape(-1, LONGEST + 2)
+
+
 def suffixes(docs: DataFrame, frequent: np.ndarray, frequent_pairs: np.ndarray) -> DataFrame:
-    """(w1, ..., n): different suffixes of two words at least, as hashes of their words, null behind the last, and their count in a task."""
+    """Fragments of the different suffixes of two words at least with their counts, as hashes of their words, zero behind the last."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Counts()
 
         def out() -> pa.RecordBatch:
-            none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.zeros(0, np.uint64) for _ in WORDS))
-            _, counts, depth, *columns = held.taken() or none
-            arrays = [pa.array(c.view(np.int64), mask=depth <= k) for k, c in enumerate(columns)]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array(counts)], names=[*WORDS, "n"])
+            _, counts, suffix = held.taken() or (None, np.zeros(0, np.int64), np.zeros((0, LONGEST + 1), np.uint64))
+            return _fragments(np.concatenate([suffix, counts.astype(np.uint64)[:, None]], axis=1), 1)
 
         for batch in rows:
             for part in chunks(batch):
@@ -200,50 +216,49 @@ def suffixes(docs: DataFrame, frequent: np.ndarray, frequent_pairs: np.ndarray)
                     more &= goes_on[at + k]
                     depth += more
                 padded = np.append(hashes, np.zeros(LONGEST, np.uint64))
-                columns = [np.where(depth > k, padded[at + k], np.uint64(0)) for k in range(LONGEST)]
-                held.add(run_key([*columns, depth.astype(np.uint64)]), depth, *columns)
+                columns = [np.where(depth > k, padded[at + k], np.uint64(0)) for k in range(LONGEST)] + [depth.astype(np.uint64)]
+                held.add(run_key(columns), np.stack(columns, axis=1))
             if held.full():
                 yield out()
         yield out()
 
-    return mapped(docs.select("text", "lang"), batches, ", ".join(f"{w} long" for w in WORDS) + ", n long")
+    return mapped(docs.select("text", "lang"), batches, FRAGMENTS)
+
 
+def _longer(length: int):
+    """Fragments divided by prefixes of this length."""
 
-def _bucket(length: int) -> Column:
-    return F.pmod(F.xxhash64(*WORDS[:length]), F.lit(BUCKETS)).cast("int")
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for content in batch.column("content").to_pylist():
+                yield _fragments(_suffixes([content]), length)
+
+    return batches
 
 
 def partitioned(rows: DataFrame, budget: int = BUDGET) -> tuple[DataFrame, int]:
-    """``rows`` of suffixes with their group and the length of its prefixes, and the number of groups.
+    """Fragments with their group, and the number of groups.
 
-    The driver sees the rows of each bucket, ``BUCKETS`` numbers at most for each length of prefixes.
+    The driver sees how many suffixes are in each bucket, ``BUCKETS`` numbers at most for each length of prefixes.
     """
-    groups, open_, plans = 0, rows, []
+    groups, found = 0, []
     for length in range(1, LONGEST + 1):
-        counts = open_.groupBy(_bucket(length).alias("bucket")).count().orderBy("bucket").collect()
-        if not counts:
-            break
-        plan, held, above = [], budget, False
-        for bucket, count in counts:
+        plan, held = [], budget
+        for bucket, count in rows.groupBy("bucket").agg(F.sum("suffixes")).orderBy("bucket").collect():
             if count > budget and length < LONGEST:
-                above = True
+                plan.append((bucket, None))
                 continue
             if held + count > budget:
                 groups, held = groups + 1, 0
             held += count
-            plan.append((bucket, groups - 1, length))
+            plan.append((bucket, groups - 1))
         # a row for each bucket, of which there are BUCKETS at most
-        plan = rows.sparkSession.createDataFrame(plan, f"b{length} int, g{length} int, l{length} int")
-        plans.append((length, plan))
-        if not above:
+        planned = rows.join(F.broadcast(rows.sparkSession.createDataFrame(plan, "bucket int, `group` int")), "bucket")
+        found.append(planned.where("`group` IS NOT NULL").select("group", "length", "content"))
+        if all(group is not None for _, group in plan):
             break
-        open_ = open_.withColumn(f"b{length}", _bucket(length)).join(F.broadcast(plan), f"b{length}", "left_anti").drop(f"b{length}")
-    for length, plan in plans:
-        rows = rows.withColumn(f"b{length}", _bucket(length)).join(F.broadcast(plan), f"b{length}", "left").drop(f"b{length}")
-    lengths = [length for length, _ in plans]
-    group = F.coalesce(*(F.col(f"g{k}") for k in lengths)) if lengths else F.lit(0)
-    length = F.coalesce(*(F.col(f"l{k}") for k in lengths)) if lengths else F.lit(1)
-    return rows.select(*WORDS, "n", group.alias("group"), length.alias("length")), max(groups, 1)
+        rows = stored(mapped(planned.where("`group` IS NULL").select("content"), _longer(length + 1), FRAGMENTS))
+    return reduce(DataFrame.unionByName, found), max(groups, 1)
 
 
 class Subtree:
@@ -275,17 +290,16 @@ class Subtree:
 def _counted(least: int):
     """Nodes of each group's subtree as phrases; those above the group's prefixes have a part of their count only."""
 
-    def phrases(rows: list[pa.RecordBatch], length: int) -> pa.RecordBatch:
-        table = pa.Table.from_batches(rows)
-        depth = sum(np.asarray(table.column(w).is_valid()).astype(np.int64) for w in WORDS)
-        suffix = np.stack([table.column(w).fill_null(0).to_numpy().view(np.uint64) for w in WORDS], axis=1)
-        counts = table.column("n").to_numpy()
-        tree, keys, runs, totals = Subtree(suffix, depth, counts), [], [], []
+    def phrases(content: list[bytes], length: int) -> pa.RecordBatch:
+        rows = _suffixes(content)
+        rows = rows[np.lexsort(rows[:, LONGEST - 1 :: -1].T)]
+        tree = Subtree(rows[:, :LONGEST], rows[:, LONGEST].astype(np.int64), rows[:, LONGEST + 1].astype(np.int64))
+        keys, runs, totals = [], [], []
         for level in range(2, LONGEST + 1):
             found, total = tree.nodes(level)
             if level >= length:
                 found, total = found[total >= least], total[total >= least]
-            keys.append(run_key(list(found.T)) if len(found) else np.zeros(0, np.uint64))
+            keys.append(run_key(list(found.T)))
             runs += found.view(np.int64).tolist()
             totals.append(total)
         keys, totals = np.concatenate(keys).view(np.int64), np.concatenate(totals)
@@ -294,16 +308,12 @@ def _counted(least: int):
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
         for batch in rows:
-            group, length = batch.column("group").to_numpy(), batch.column("length").to_numpy()
-            bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(batch)]
-            for start, end in zip(bounds, bounds[1:]):
-                if start == end:
-                    continue
-                if held and group[start] != at[0]:
+            for group, length, content in zip(*(batch.column(c).to_pylist() for c in ("group", "length", "content"))):
+                if (group, length) != at and held:
                     yield phrases(held, at[1])
                     held = []
-                at = (group[start], int(length[start]))
-                held.append(batch.slice(start, end - start))
+                at = (group, length)
+                held.append(content)
         if held:
             yield phrases(held, at[1])
 
@@ -313,7 +323,7 @@ def _counted(least: int):
 def phrase_counts(rows: DataFrame, least: int = LEAST, budget: int = BUDGET) -> DataFrame:
     """(phrase_key, run, a): phrases of 2 to ``LONGEST`` words that occur ``least`` times, with their words' hashes."""
     rows, groups = partitioned(rows, budget)
-    grouped = rows.repartitionByRange(groups, "group").sortWithinPartitions("group", *WORDS)
+    grouped = rows.repartitionByRange(groups, "group").sortWithinPartitions("group", "length")
     nodes = mapped(grouped, _counted(least), "phrase_key long, run array<long>, a long")
     return nodes.groupBy("phrase_key").agg(F.first("run").alias("run"), F.sum("a").alias("a")).where(F.col("a") >= least)
 
