@@ -9,6 +9,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adtally.functions.abbreviations import with_entries_in_capitals
 from adtally.functions.numbers import BLANKS
 
 # Latin spelling of the Russian letters, then of the blank. Letters with a
@@ -109,29 +110,14 @@ def clean_title(title: Column, abbreviations: Iterable[str]) -> Column:
     return _finished(_with_abbreviations(_lowered(title), abbreviations))
 
 
-def with_clean_titles(df: DataFrame, title: str, abbreviations: DataFrame, output: str = "title") -> DataFrame:
+def with_clean_titles(df: DataFrame, title: str, abbreviations: DataFrame, output: str = "title", parts: int = 1) -> DataFrame:
     """``df`` with the clean form of a text column, with the abbreviations in a one-column frame.
 
-    An entry is looked up by its first word among the words of the titles, in a join of different words and
-    different titles. So only entries that may occur in a title are searched for in it, and
-    the dictionary may be of any size. Entries without a letter, digit or underscore are ignored.
+    All entries in a title count, overlapping ones too. They are found in one pass by an automaton, or in several of a
+    dictionary in ``parts`` (see :func:`~adtally.functions.abbreviations.with_entries_in_capitals`).
     """
-    entry = F.upper(F.trim(F.col(abbreviations.columns[0])))
-    entries = abbreviations.select(entry.alias("_entry")).distinct()
-    entries = entries.withColumn("_word", F.regexp_extract("_entry", r"(?U)\w+", 0)).where("_word <> ''")
-    rows = df.withColumn("_lowered", _lowered(F.col(title)))
-    texts = rows.select("_lowered").distinct()
-    words = F.array_distinct(F.transform(F.regexp_extract_all("_lowered", F.lit(r"(?U)\w+"), F.lit(0)), F.upper))
-    found = texts.select("_lowered", F.explode(words).alias("_word")).join(entries, "_word")
-    quoted = F.concat(F.lit("\\Q"), "_entry", F.lit("\\E"))
-    longest = F.transform(
-        F.array_sort(F.collect_list(F.struct((-F.length("_entry")).alias("n"), quoted.alias("q")))), lambda x: x["q"]
-    )
-    pattern = F.concat(F.lit(r"(?iuU)\b(?:"), F.array_join(longest, "|"), F.lit(r")\b"))
-    joined = rows.join(found.groupBy("_lowered").agg(pattern.alias("_pattern")), "_lowered", "left")
-    text = F.col("_lowered")
-    marked = F.when(F.col("_pattern").isNotNull(), _with_matches(text, F.col("_pattern"), F.upper)).otherwise(text)
-    return joined.withColumn(output, _finished(marked)).drop("_lowered", "_pattern")
+    lowered = df.withColumn(output, _lowered(F.col(title)))
+    return with_entries_in_capitals(lowered, output, abbreviations, parts).withColumn(output, _finished(F.col(output)))
 
 
 def _lowered(title: Column) -> Column:
@@ -186,24 +172,47 @@ def _with_first_capital(text: Column) -> Column:
 
 
 def _with_abbreviations(text: Column, abbreviations: Iterable[str]) -> Column:
-    """Single words are looked up in a set; entries with other characters in one search, longest first."""
-    words, composed = [], []
-    for entry in dict.fromkeys(abbreviations):
-        (words if re.fullmatch(r"\w+", entry) else composed).append(entry)
-    if words:
-        def in_capitals(word: Column) -> Column:
-            return F.when(F.upper(word).isin(words), F.upper(word)).otherwise(word)
-
-        text = _with_matches(text, F.lit(r"(?U)\w+"), in_capitals)
-    if composed:
-        longest = sorted(composed, key=lambda entry: (-len(entry), entry))
-        pattern = rf"(?iuU)\b(?:{'|'.join(re.escape(entry) for entry in longest)})\b"
+    """Texts that have an entry at all, with entries in capitals; entries that may overlap are looked for one after the other."""
+    entries = list(dict.fromkeys(entry for entry in abbreviations if entry))
+    words = [entry for entry in entries if re.fullmatch(r"\w+", entry)]
+    patterns = [_any_of(words)] if words else []
+    for apart in _without_overlaps([entry for entry in entries if entry not in set(words)]):
+        longest = sorted(apart, key=lambda entry: (-len(entry), entry))
+        patterns.append(f"(?:{'|'.join(re.escape(entry) for entry in longest)})")
+    for pattern in (rf"(?iuU)\b{pattern}\b" for pattern in patterns):
         text = _where(
             text, lambda value: value.rlike(pattern), lambda value: _with_matches(value, F.lit(pattern), F.upper)
         )
     return text
 
 
+def _without_overlaps(entries: list[str]) -> list[list[str]]:
+    """Entries in groups in which no entry ends, from a word's edge on, as another one starts."""
+    groups: list[tuple[list[str], set[str], set[str]]] = []
+    for entry in entries:
+        edges = [m.start() for m in re.finditer(r"\b", entry) if 0 < m.start() < len(entry)]
+        starts, ends = {entry[:at] for at in edges}, {entry[at:] for at in edges}
+        for group, other_starts, other_ends in groups:
+            if not (starts & other_ends or ends & other_starts):
+                break
+        else:
+            groups.append((group := [], other_starts := set(), other_ends := set()))
+        group.append(entry)
+        other_starts |= starts
+        other_ends |= ends
+    return [group for group, _, _ in groups]
+
+
+def _any_of(words: Iterable[str]) -> str:
+    """A pattern for one of the words that looks at each common beginning once."""
+    by_first: dict[str, list[str]] = {}
+    for word in words:
+        by_first.setdefault(word[:1], []).append(word[1:])
+    ends = by_first.pop("", None) is not None
+    ways = [re.escape(first) + (_any_of(rest) if rest != [""] else "") for first, rest in sorted(by_first.items())]
+    return ("(?:" + "|".join(ways) + ")" + "?" * ends) if ways else ""
+
+
 def without_prefix(text: Column, prefix: str) -> Column:
     rest = F.substr(text, F.lit(len(prefix) + 1))
     return F.when(F.startswith(text, F.lit(prefix)), rest).otherwise(text)

@@ -2,9 +2,10 @@
 
 A text's set holds hashes of its different shingles; equal sets are one node. Two sets of a Jaccard similarity of at
 least ``share`` have an overlap of at least T = share * size of either. With the shingles of all texts in one order, common ones
-last, both have one of the first ``size - T + 1`` of their shingles in common, the keys.
+last, the first ``size - T + m`` of their shingles, the keys, have m in common. So a node with fewer keys that another node of a
+fitting size has too is linked with nothing and goes no further.
 
-Nodes that share a key go to the cell of the least node of that key, with their whole sets. A cell has an inverted index:
+The others that share a key go to the cell of the least node of that key, with their whole sets. A cell has an inverted index:
 of each shingle the list of nodes with it. For a node that asks, its lists are divided: the longest are set
 aside, the short ones are merged through a heap, and nodes that the merge finds often enough are probed by binary search in
 the long ones. A node is linked if the overlap counted in this way reaches what the sizes ask for.
@@ -33,6 +34,8 @@ from adtally.llm.words import Runs, chunks, mixed, words
 SHINGLE = 3
 #: Hundredths of the union that two sets have in common at least.
 SHARE = 90
+#: Keys that two similar sets have in common at least, in hundredths of the size; with more, fewer nodes go on.
+SHARED_KEYS = 5
 #: Shingles of a part of a cell.
 PART = 1 << 20
 #: Shingles whose order is by how often they occur: those seen most, at least twice in the same batch of texts.
@@ -107,8 +110,13 @@ def _required(share: int, size: np.ndarray | int):
     return -(-share * size // 100)
 
 
+def _shared_keys(size):
+    """Keys in common with a set of this size; one of each kind that is similar has as many at least as its required overlap says."""
+    return np.maximum(SHARED_KEYS * size // 100, 1)
+
+
 def _keyed(docs: DataFrame, size: int, share: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, same, node, n, keys) of each row: hash of the text, hash and size of its set, the first shingles of it."""
+    """(doc_id, same, node, n, least, keys) of each row: hash of the text, hash and size of its set, shared keys asked for, keys."""
     frequent, seen = common
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,14 +129,15 @@ def _keyed(docs: DataFrame, size: int, share: int, common: tuple[np.ndarray, np.
                     at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
                     weight = np.where(frequent[at] == hashes, seen[at], 0)
                 order = np.lexsort((hashes, weight, row))
-                most = np.where(count > 0, count - _required(share, count) + 1, 0)
+                most = np.where(count > 0, count - _required(share, count) + _shared_keys(count), 0)
+                least = _shared_keys(_required(share, count))
                 first = np.arange(len(hashes)) - np.repeat(np.cumsum(count) - count, count) < np.repeat(most, count)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("same"), pa.array(_nodes(hashes, count)), pa.array(count, pa.int64()), _lists(hashes[order][first], most)],
-                    names=["doc_id", "same", "node", "n", "keys"],
+                    [part.column("doc_id"), part.column("same"), pa.array(_nodes(hashes, count)), pa.array(count, pa.int64()), pa.array(least), _lists(hashes[order][first], most)],
+                    names=["doc_id", "same", "node", "n", "least", "keys"],
                 )
 
-    return mapped(_placed(docs), batches, "doc_id long, same long, node long, n long, keys array<long>")
+    return mapped(_placed(docs), batches, "doc_id long, same long, node long, n long, least long, keys array<long>")
 
 
 def _sets(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
@@ -298,6 +307,13 @@ def _cell_links(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return mapped(rows, _searched(share), "a long, b long")
 
 
+def _in_lists(rows: DataFrame, share: int) -> DataFrame:
+    """``rows`` (node, n, least, key) with the cell of the key, for keys that nodes of fitting sizes have."""
+    lists = rows.groupBy("key").agg(F.min("node").alias("cell"), F.count("*").alias("count"), F.min("n").alias("low"), F.max("n").alias("high"))
+    lists = lists.where((F.col("count") > 1) & ((F.col("count") > 2) | (100 * F.col("low") >= share * F.col("high")))).select(_turned("key"), "cell")
+    return rows.select("node", "n", "least", "key", _turned("key")).drop("cell").join(lists, "turned").drop("turned")
+
+
 def _turned(name: str):
     return F.col(name).bitwiseXOR(F.lit(_TURN)).alias("turned")
 
@@ -306,10 +322,10 @@ def _connected(docs: DataFrame, size: int, share: int, part: int) -> tuple[DataF
     """(doc_id, node, n) of each row, and (node, root) of the nodes that are linked."""
     known = stored(_keyed(docs, size, share, common_shingles(docs, size)))
     some = known.where("n > 0")
-    rows = some.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).select("node", "n", F.explode("keys").alias("key"))
-    least = rows.groupBy("key").agg(F.min("node").alias("cell"), F.max("node").alias("last")).where("cell <> last").select(_turned("key"), "cell")
-    cells = rows.select("node", "n", _turned("key")).join(least, "turned").select("cell", "node", "n").distinct()
-    cells = stored(cells)
+    rows = some.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "least", "keys"))).select("node", "n", "least", F.explode("keys").alias("key"))
+    rows = stored(_in_lists(rows, share))
+    enough = rows.groupBy("node").agg(F.count("*").alias("shared"), F.first("least").alias("least")).where("shared >= least").select("node")
+    cells = stored(_in_lists(rows.join(enough, "node", "left_semi"), share).select("cell", "node", "n").distinct())
 
     live = cells.select("node").distinct()
     chosen = some.join(live, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "same")).alias("row")).select("row.*")

@@ -467,6 +467,15 @@ SELECT user_type, {_FACETS} FROM accounts WHERE country = 'country3' AND manager
         "sanitize_title_table": """
 SELECT p_partkey, 'X ' || upper(CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN p_type || '-' || p_brand
     ELSE p_type || '.$' || p_brand END) || ' y' AS title FROM part WHERE p_type IS NOT NULL""",
+        "sanitize_title_overlapping": """
+WITH given AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS w FROM part WHERE p_name IS NOT NULL),
+entries AS (SELECT DISTINCT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM given WHERE p_partkey % 3 = 0)),
+words AS (SELECT p_partkey, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM given),
+around AS (SELECT *, lag(word) OVER p AS before, lead(word) OVER p AS after FROM words WINDOW p AS (PARTITION BY p_partkey ORDER BY i)),
+marked AS (SELECT p_partkey, i, word, x.a IS NOT NULL AS opens, y.a IS NOT NULL AS ends FROM around
+    LEFT JOIN entries x ON word = x.a AND after = x.b LEFT JOIN entries y ON before = y.a AND word = y.b)
+SELECT p_partkey, '0 ' || string_agg(CASE WHEN opens OR ends THEN upper(word) ELSE word END, '-' ORDER BY i) AS title
+FROM marked GROUP BY p_partkey""",
         "clear_prefix_suffix": """
 WITH given AS (SELECT c_custkey, c_custkey % 4 = 0 AS pre, c_custkey % 3 = 0 AS suf, lower(c_mktsegment) AS name
     FROM customer)

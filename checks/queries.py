@@ -315,6 +315,21 @@ def _sanitize_title_table(spark: SparkSession, root: str) -> DataFrame:
     return text.with_clean_titles(titles, "given", dictionary(spark, root)).select("p_partkey", "title")
 
 
+def overlapping_dictionary(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of neighbouring words of the names of parts, joined with a hyphen: entries that overlap in a name."""
+    words = F.split("p_name", " ")
+    pairs = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat(F.get(words, i), F.lit("-"), F.get(words, i + 1)))
+    parts = synthetic.raw(spark, root, "part").where(F.size(words) > 1)
+    return parts.where("p_partkey % 3 = 0").select(F.explode(pairs).alias("word"))
+
+
+def _sanitize_title_overlapping(spark: SparkSession, root: str) -> DataFrame:
+    """Names of parts with hyphens between the words, of which neighbouring pairs are entries of the dictionary."""
+    parts = synthetic.raw(spark, root, "part").where("p_name IS NOT NULL")
+    given = parts.select("p_partkey", F.concat(F.lit("0 "), F.lower(F.replace("p_name", F.lit(" "), F.lit("-")))).alias("given"))
+    return text.with_clean_titles(given, "given", overlapping_dictionary(spark, root), parts=2).select("p_partkey", "title")
+
+
 def _smart_trim(spark: SparkSession, root: str) -> DataFrame:
     documents = _documents(spark, root)
     return documents.select("doc_id", text.squeezed(F.col("text")).alias("squeezed"))
@@ -484,6 +499,7 @@ def queries() -> dict[str, Query]:
         "script_name": _script_name,
         "sanitize_title": _sanitize_title,
         "sanitize_title_table": _sanitize_title_table,
+        "sanitize_title_overlapping": _sanitize_title_overlapping,
         "clear_prefix_suffix": _clear_prefix_suffix,
         "traffic_tag": _traffic_tag,
         "smart_encode": _smart_encode,

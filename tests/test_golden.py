@@ -1,9 +1,12 @@
 """Single values of the column functions."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from adtally.functions import numbers, text, urls
+from adtally.functions import abbreviations, numbers, text, urls
 
 ABBREVIATIONS = ["МЧС", "МВД", "МКАД", "Т-72", "ОУН", "ОУН-УПА", "Т50"]
 
@@ -197,3 +200,42 @@ def test_a_large_dictionary_runs(spark):
     assert titles_with(spark, entries, ["x s7-t7 s7-t8 s4999-t4999"]) == {"x s7-t7 s7-t8 s4999-t4999": "X S7-T7 s7-t8 S4999-T4999"}
     frame = spark.createDataFrame([("x s7-t7 s7-t8",)], "t string")
     assert frame.select(text.clean_title(F.col("t"), [e.upper() for e in entries])).first()[0] == "X S7-T7 s7-t8"
+
+
+def one_by_one(title, entries):
+    """The rule itself: entry after entry is replaced, in any case, where words start or end."""
+    for entry in entries:
+        title = re.sub(rf"\b{re.escape(entry)}\b", lambda _: entry, title, flags=re.I)
+    return title
+
+
+def test_overlapping_entries_and_entries_with_odd_characters(spark):
+    cases = {
+        "xx аб-вг-де yy": "Xx АБ-ВГ-ДЕ yy",
+        "аб-вг и вг-де, аб-де": "АБ-ВГ и ВГ-ДЕ, аб-де",
+        "a\\eb и a+b, [c]d": "A\\EB и A+B, [C]d",
+        "й-й-й й-й": "Й-Й-й Й-Й",
+    }
+    entries = ["АБ-ВГ", "ВГ-ДЕ", "A\\EB", "A+B", "A\\Q", "C]D", "C", "Й-Й"]
+    cases["a\\eb и a+b, [c]d"] = "A\\EB и A+B, [C]D"
+    assert titles_with(spark, entries, [*cases]) == cases
+    frame = spark.createDataFrame([(t,) for t in cases], "given string")
+    assert {r.given: r.t for r in frame.select("given", text.clean_title(F.col("given"), entries).alias("t")).collect()} == cases
+
+
+def test_the_automaton_replaces_as_entry_after_entry_does():
+    rng = random.Random(4)
+    letters = "абЁйñİx1_-. +$"
+    for _ in range(3000):
+        entries = sorted({"".join(rng.choice(letters) for _ in range(rng.randrange(1, 5))).upper() for _ in range(6)})
+        entries = [e for e in entries if re.search(r"\w", e) and "İ" not in e]
+        title = "".join(rng.choice(letters) for _ in range(rng.randrange(25)))
+        assert abbreviations.in_capitals(title, abbreviations.automaton(entries)) == one_by_one(title, entries), (title, entries)
+
+
+def test_a_dictionary_of_a_hundred_thousand_entries(spark):
+    words = spark.range(100_000).selectExpr("concat('e', id, '-f', id % 7) AS word")
+    titles = spark.range(20_000).selectExpr("id", "concat('0 e', id, '-f', id % 7, '-f', id % 3, ' e', id, '-f8') AS given")
+    found = text.with_clean_titles(titles, "given", words, parts=3)
+    wrong = found.where("title <> concat('0 E', id, '-F', id % 7, '-f', id % 3, ' e', id, '-f8')")
+    assert wrong.count() == 0 and found.count() == 20_000
