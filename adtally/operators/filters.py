@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from adtally.operators.managers import listed
 from adtally.operators.spine import MARKS
+from adtally.operators.trigram_index import containing
 from adtally.sources.tables import SellTables
 
 SITES, USERS, LOOKBACK = "sites", "users", "lookback"
@@ -102,6 +103,19 @@ def by_user(wanted: str, exact: bool = False) -> SpineFilter:
     return _predicate(match, USERS)
 
 
+def by_user_indexed(wanted: str, index: DataFrame) -> SpineFilter:
+    """``by_user`` for a part of the e-mail, with the candidates from a trigram index of the users' e-mails."""
+    text = wanted.strip()
+    if not text or text.isdecimal():
+        return by_user(text)
+
+    def narrow(sites: DataFrame, tables: SellTables) -> DataFrame:
+        users = containing(tables.users, "id", "email", index, text)
+        return sites.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
+
+    return SpineFilter(frozenset({SITES}), narrow_sites=narrow)
+
+
 def by_network(prefix: str) -> SpineFilter:
     """Users of a partner network carry its prefix in front of their e-mail."""
     return _predicate(F.col("email").startswith(prefix), USERS) if prefix else _keep_all()
@@ -117,6 +131,18 @@ def by_site(wanted: str) -> SpineFilter:
     return _predicate(F.lower("site_url").contains(text.lower()), SITES)
 
 
+def by_site_indexed(wanted: str, index: DataFrame) -> SpineFilter:
+    """``by_site`` for a part of the URL, with the candidates from a trigram index of the sites' URLs."""
+    text = wanted.strip()
+    if not text or text.isdecimal():
+        return by_site(text)
+
+    def ids(tables: SellTables) -> DataFrame:
+        return containing(tables.sites, "id", "url", index, text).select(F.col("id").alias("site_id"))
+
+    return SpineFilter(site_ids=ids)
+
+
 def by_marks(marks: Mapping[str, str], allowed: Iterable[str] = MARKS) -> SpineFilter:
     """Equality on every allowed mark that has a value, of one row of the user's marks."""
     wanted = {name: marks[name] for name in allowed if marks.get(name)}

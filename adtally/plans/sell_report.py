@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from adtally.functions import metrics
 from adtally.functions.metrics import RATIOS, SYSTEM_SHARE
 from adtally.operators import filters, paging, spine, totals
+from adtally.operators.cumulative import cumulative_window_sums
 from adtally.operators.managers import kept_by
 from adtally.operators.panel import with_panel
 from adtally.operators.periods import Period, lookback_before
@@ -170,12 +171,15 @@ class SellReport:
     def _filtered_sums(self, extra_needs: set[str]) -> DataFrame:
         needs = set(extra_needs).union(*(f.needs for f in self.filters if f.row_condition is not None))
         lookback = lookback_before(self.period.current.start) if filters.LOOKBACK in needs else None
-        rows = site_window_sums(
-            self._narrowed(self.tables.day_sell),
-            self.period,
-            self._narrowed(self.tables.hour_sell) if self.period.is_today_included else None,
-            lookback,
-        )
+        if self.tables.cumulative_sell is not None and not self.period.is_today_included:
+            rows = cumulative_window_sums(self._narrowed(self.tables.cumulative_sell), self.period, lookback)
+        else:
+            rows = site_window_sums(
+                self._narrowed(self.tables.day_sell),
+                self.period,
+                self._narrowed(self.tables.hour_sell) if self.period.is_today_included else None,
+                lookback,
+            )
         if needs & {filters.SITES, filters.USERS}:
             rows = rows.join(self._attributes(needs), "site_id", "left")
         for one in self.filters:

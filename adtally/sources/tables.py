@@ -66,7 +66,10 @@ def write_day_partitioned(df: DataFrame, path: str, day_column: str) -> None:
 
 @dataclass(frozen=True)
 class SellTables:
-    """Inputs of the sales report; only those a report really uses have to be given."""
+    """Inputs of the sales report; only those a report really uses have to be given.
+
+    With ``cumulative_sell`` (see :mod:`adtally.operators.cumulative`) a report of whole days reads running totals instead of facts.
+    """
 
     day_sell: DataFrame
     sites: DataFrame
@@ -77,3 +80,4 @@ class SellTables:
     site_categories: DataFrame | None = None
     site_themes: DataFrame | None = None
     blocked_buyers: DataFrame | None = None
+    cumulative_sell: DataFrame | None = None

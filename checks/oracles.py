@@ -387,6 +387,13 @@ SELECT CAST(sum(o_orderkey) AS BIGINT) AS o_orderkey, CAST(sum(o_custkey) AS BIG
     CAST(sum(CASE WHEN regexp_full_match(o_orderpriority, '[0-9]+') THEN CAST(left(o_orderpriority, 1) AS DOUBLE) ELSE 0 END) AS DOUBLE) AS o_orderpriority,
     CAST(sum(CASE WHEN o_orderstatus = 'F' THEN o_orderkey ELSE 0 END) AS DOUBLE) AS o_orderstatus, 0 AS is_open
 FROM orders""",
+        "sell_by_site_cumulative": rows_sql(ORDERS),
+        "publisher_status_new_cumulative": rows_sql(ORDERS, where=_LOOKBACK.format("NOT IN")),
+        "filter_country_cumulative": rows_sql(ORDERS, where="country_id = 3"),
+        "sell_by_site_late_hours": rows_sql(EVENTS),
+        "filter_site_indexed": rows_sql(ORDERS, where="site_url LIKE '%c12%'"),
+        "filter_user_indexed": rows_sql(ORDERS, where="email ILIKE '%nation\\_1%' ESCAPE '\\'"),
+        "search_url_part": "SELECT page_id, url FROM pages WHERE lower(url) LIKE '%ample.org/en%'",
         "sell_by_site_today": rows_sql(EVENTS),
         "sell_publisher_count": f"""{sell.report_ctes(ORDERS, True)}
 SELECT count(*) AS rows FROM report""",

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, DecimalType
 
 from adtally.functions import numbers, text, urls
-from adtally.operators import filters, managers, panel, workdays
+from adtally.operators import cumulative, filters, hour_batches, managers, panel, trigram_index, workdays
 from adtally.operators.attribution import with_referrer
-from adtally.operators.periods import Period
+from adtally.operators.periods import Period, lookback_before
 from adtally.operators.totals import sum_by_columns, sum_by_keys
 from adtally.plans import exchange_report
 from adtally.plans.account_search import AccountSearch, ManagerScope, merged_filters
@@ -28,6 +29,8 @@ EXCHANGE_WEEK = Period.of("2024-01-08", "2024-01-14", "2024-01-20T13:27:00")
 
 # Made-up abbreviations in the letters of cyrillic(); the real dictionary is the caller's.
 ABBREVIATIONS = ("ТЖЭ", "ОФ", "АНД", "ИН", "ДЭ", "ЛА", "ЭЛ", "ЮНД")
+# A part of the addresses of pages to be searched for.
+URL_PART = "ample.ORG/en"
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 CYRILLIC = "абчдэфгжийклмнопщрстювшъяз"
 
@@ -67,6 +70,27 @@ def today_report(
     return SellReport(synthetic.event_tables(spark, root), period, by_publisher)
 
 
+def cumulative_report(spark: SparkSession, root: str) -> SellReport:
+    """The month's report from running totals of the days that its windows and its lookback need."""
+    tables = synthetic.order_tables(spark, root)
+    days = cumulative.days_of(MONTH, lookback_before(MONTH.current.start))
+    totals = cumulative.running_totals(tables.day_sell, cumulative.array_of(days))
+    return SellReport(replace(tables, cumulative_sell=totals), MONTH)
+
+
+def late_report(spark: SparkSession, root: str) -> SellReport:
+    """Today's report with hours that came in batches, a third of them twice and in another order."""
+    tables = synthetic.event_tables(spark, root)
+    batch = F.concat_ws("/", F.col("hour").cast("string"), (F.col("site_id") % 3).cast("string"))
+    rows = tables.hour_sell.withColumn("batch_id", batch).withColumn("arrived", F.crc32(batch.cast("binary")))
+    times = F.when(F.col("arrived") % 3 == 0, F.array(F.col("arrived"), F.col("arrived") + 7)).otherwise(F.array("arrived"))
+    deliveries = rows.withColumn("delivery", F.explode(times)).drop("arrived")
+    half = F.col("delivery") % 2 == 0
+    state = hour_batches.batch_sums(hour_batches.once(deliveries.where(half)))
+    state = hour_batches.merged(state, deliveries)
+    return SellReport(replace(tables, hour_sell=hour_batches.hour_facts(state)), TODAY)
+
+
 def report_rows(report: SellReport) -> DataFrame:
     return plain(report.rows().select("id", "name", *FIGURES))
 
@@ -78,6 +102,21 @@ def _spine_sites(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def site_index(spark: SparkSession, root: str) -> DataFrame:
+    return trigram_index.postings(synthetic.order_tables(spark, root).sites, "id", "url")
+
+
+def user_index(spark: SparkSession, root: str) -> DataFrame:
+    return trigram_index.postings(synthetic.order_tables(spark, root).users, "id", "email")
+
+
+def _search_url_part(spark: SparkSession, root: str) -> DataFrame:
+    """Pages whose address contains a part, by the index of all addresses."""
+    pages = synthetic.raw(spark, root, "pages")
+    index = trigram_index.postings(pages, "page_id", "url")
+    return trigram_index.containing(pages, "page_id", "url", index, URL_PART).select("page_id", "url")
+
+
 def _sum_by_keys(spark: SparkSession, root: str) -> DataFrame:
     events = synthetic.raw(spark, root, "events")
     entries = F.create_map(
@@ -449,6 +488,17 @@ def queries() -> dict[str, Query]:
         "sell_page_total_today": lambda s, d: plain(SellReport.page_total(today_report(s, d).page(1, 50, "profit", True))),
         "sum_by_keys": _sum_by_keys,
         "sum_by_columns": _sum_by_columns,
+        "sell_by_site_cumulative": lambda s, d: report_rows(cumulative_report(s, d)),
+        "publisher_status_new_cumulative": lambda s, d: report_rows(
+            cumulative_report(s, d).where(filters.by_publisher_status("new"))
+        ),
+        "filter_country_cumulative": lambda s, d: report_rows(cumulative_report(s, d).where(filters.by_country(3))),
+        "sell_by_site_late_hours": lambda s, d: report_rows(late_report(s, d)),
+        "filter_site_indexed": lambda s, d: report_rows(month_report(s, d).where(filters.by_site_indexed("c12", site_index(s, d)))),
+        "filter_user_indexed": lambda s, d: report_rows(
+            month_report(s, d).where(filters.by_user_indexed("Nation_1", user_index(s, d)))
+        ),
+        "search_url_part": _search_url_part,
         "sell_by_site_today": lambda s, d: report_rows(today_report(s, d)),
         "sell_by_site_last_days": lambda s, d: report_rows(today_report(s, d, period=LAST_DAYS)),
         "sell_by_publisher_today": lambda s, d: report_rows(today_report(s, d, True)),
