@@ -5,7 +5,10 @@ least ``share`` have an overlap of at least T = share * size of either. With the
 last, the first ``size - T + m`` of their shingles, the keys, have m in common. So a node with fewer keys that another node of a
 fitting size has too is linked with nothing and goes no further.
 
-The others that share a key go to the cell of the least node of that key, with their whole sets. A cell has an inverted index:
+The others that share a key go to the cell of the least node of that key; a node leaves out the cells with the fewest of its keys
+as long as a similar node meets it in another one. First only parity sketches go there, a bit or two for each shingle: two sets
+differ in at least as many shingles as their sketches in bits. Nodes without another one that is near enough by this leave the
+cell, the others are sent their whole sets. A cell has an inverted index:
 of each shingle the list of nodes with it. For a node that asks, its lists are divided: the longest are set
 aside, the short ones are merged through a heap, and nodes that the merge finds often enough are probed by binary search in
 the long ones. A node is linked if the overlap counted in this way reaches what the sizes ask for.
@@ -24,7 +27,7 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adtally.llm.components import components
@@ -36,6 +39,8 @@ SHINGLE = 3
 SHARE = 90
 #: Keys that two similar sets have in common at least, in hundredths of the size; with more, fewer nodes go on.
 SHARED_KEYS = 5
+#: Nodes of a cell whose sketches are compared; a cell with more keeps them all.
+COMPARED = 256
 #: Shingles of a part of a cell.
 PART = 1 << 20
 #: Shingles whose order is by how often they occur: those seen most, at least twice in the same batch of texts.
@@ -79,6 +84,59 @@ def _lists(values: np.ndarray, count: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(values.view(np.int64)))
 
 
+def _sketches(hashes: np.ndarray, count: np.ndarray) -> pa.Array:
+    """Of each row bits for its hashes, a power of two of at least twice as many; each tells if an odd number of hashes falls on it."""
+    size = np.maximum(64, 2 ** np.ceil(np.log2(np.maximum(2 * count, 1))).astype(np.int64))
+    start = np.cumsum(size) - size
+    row = np.repeat(np.arange(len(count)), count)
+    place = start[row] + (hashes & (size[row] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(place, minlength=int(size.sum())) & 1
+    bits = np.packbits(odd.astype(np.uint8), bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(np.append(0, np.cumsum(size // 8)).astype(np.int32)), pa.py_buffer(bits)])
+
+
+def _differences(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two sketches differ, the longer one folded to the length of the other."""
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _near(share: int):
+    """Rows (cell, node, n) of nodes that have another one in their cell that may be similar by its sketch."""
+
+    def staying(held: list[tuple]) -> list[tuple]:
+        sketches, stays = [np.frombuffer(x[3], dtype=np.uint64) for x in held], [False] * len(held)
+        for i, (_, _, n, _) in enumerate(held):
+            for j in range(i - 1, -1, -1):
+                if 100 * held[j][2] < share * n:
+                    break
+                if not (stays[i] and stays[j]) and (100 + share) * _differences(sketches[i], sketches[j]) <= (100 - share) * (n + held[j][2]):
+                    stays[i] = stays[j] = True
+        return [x[:3] for x, stay in zip(held, stays) if stay]
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, cell = [], None
+        for batch in rows:
+            found = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "node", "n", "sketch"))):
+                if row[0] != cell:
+                    found += staying(held)
+                    held, cell = [], row[0]
+                held.append(row)
+            yield _members(found)
+        yield _members(staying(held))
+
+    return batches
+
+
+def _members(rows: list[tuple]) -> pa.RecordBatch:
+    columns = np.array(rows, dtype=np.int64).reshape(-1, 3).T
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cell", "node", "n"])
+
+
 def _placed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("same"), "text")
 
@@ -116,7 +174,7 @@ def _shared_keys(size):
 
 
 def _keyed(docs: DataFrame, size: int, share: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, same, node, n, least, keys) of each row: hash of the text, hash and size of its set, shared keys asked for, keys."""
+    """(doc_id, same, node, n, least, keys, sketch) of each row: hash of the text, hash and size of its set, shared keys asked for, keys, sketch."""
     frequent, seen = common
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,11 +191,11 @@ def _keyed(docs: DataFrame, size: int, share: int, common: tuple[np.ndarray, np.
                 least = _shared_keys(_required(share, count))
                 first = np.arange(len(hashes)) - np.repeat(np.cumsum(count) - count, count) < np.repeat(most, count)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("same"), pa.array(_nodes(hashes, count)), pa.array(count, pa.int64()), pa.array(least), _lists(hashes[order][first], most)],
-                    names=["doc_id", "same", "node", "n", "least", "keys"],
+                    [part.column("doc_id"), part.column("same"), pa.array(_nodes(hashes, count)), pa.array(count, pa.int64()), pa.array(least), _lists(hashes[order][first], most), _sketches(hashes, count)],
+                    names=["doc_id", "same", "node", "n", "least", "keys", "sketch"],
                 )
 
-    return mapped(_placed(docs), batches, "doc_id long, same long, node long, n long, least long, keys array<long>")
+    return mapped(_placed(docs), batches, "doc_id long, same long, node long, n long, least long, keys array<long>, sketch binary")
 
 
 def _sets(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
@@ -318,14 +376,23 @@ def _turned(name: str):
     return F.col(name).bitwiseXOR(F.lit(_TURN)).alias("turned")
 
 
-def _connected(docs: DataFrame, size: int, share: int, part: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node, n) of each row, and (node, root) of the nodes that are linked."""
+def connected(docs: DataFrame, size: int, share: int, part: int = PART) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, same, node, n) of each row, and (node, root) of the nodes that are linked."""
     known = stored(_keyed(docs, size, share, common_shingles(docs, size)))
     some = known.where("n > 0")
     rows = some.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "least", "keys"))).select("node", "n", "least", F.explode("keys").alias("key"))
     rows = stored(_in_lists(rows, share))
     enough = rows.groupBy("node").agg(F.count("*").alias("shared"), F.first("least").alias("least")).where("shared >= least").select("node")
-    cells = stored(_in_lists(rows.join(enough, "node", "left_semi"), share).select("cell", "node", "n").distinct())
+    cells = _in_lists(rows.join(enough, "node", "left_semi"), share).groupBy("cell", "node")
+    cells = cells.agg(F.first("n").alias("n"), F.first("least").alias("least"), F.count("*").alias("shared"))
+    # two nodes leave out fewer keys together than they share
+    fewest = F.sum("shared").over(Window.partitionBy("node").orderBy("shared", "cell"))
+    cells = stored(cells.withColumn("fewest", fewest).where("fewest > (least - 1) div 2").select("cell", "node", "n"))
+    sketches = some.groupBy("node").agg(F.first("sketch").alias("sketch"))
+    large = cells.groupBy("cell").count().where(F.col("count") > COMPARED)
+    compared = cells.join(large, "cell", "left_anti").join(sketches, "node").repartition("cell").sortWithinPartitions("cell", "n", "node")
+    compared = mapped(compared, _near(share), "cell long, node long, n long")
+    cells = stored(compared.unionByName(cells.join(large, "cell", "left_semi")))
 
     live = cells.select("node").distinct()
     chosen = some.join(live, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "same")).alias("row")).select("row.*")
@@ -349,7 +416,8 @@ def _connected(docs: DataFrame, size: int, share: int, part: int) -> tuple[DataF
         again = again.unionByName(others.select("cell", "part", "node", "root", F.lit(True).alias("asks")))
         found = found.unionByName(stored(_cell_links(again, sets, share)))
     forget(sets)
-    return known.select("doc_id", "node", "n"), components(found)
+    forget(cells)
+    return known.select("doc_id", "same", "node", "n"), components(found)
 
 
 def similar_sets(docs: DataFrame, size: int = SHINGLE, share: int = SHARE, part: int = PART) -> DataFrame:
@@ -363,7 +431,7 @@ def similar_sets(docs: DataFrame, size: int = SHINGLE, share: int = SHARE, part:
     """
     if not 50 < share <= 100:
         raise ValueError("share has to be above 50 hundredths and at most 100")
-    known, roots = _connected(docs, size, share, part)
+    known, roots = connected(docs, size, share, part)
     some = known.where("n > 0")
     nodes = some.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(roots, "node", "left")
     nodes = nodes.select("node", "doc_id", F.coalesce("root", "node").alias("root"))
