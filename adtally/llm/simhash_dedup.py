@@ -12,7 +12,6 @@ new are put out, which leaves the components as they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +20,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adtally.llm.components import components
-from adtally.llm.shared import checkpointed, forget, mapped, stored
-from adtally.llm.words import Runs, chunks, mixed, words
+from adtally.llm.jaccard_join import connected
+from adtally.llm.shared import checkpointed, mapped, stored
+from adtally.llm.words import chunks, words
 
 SHINGLE = 3
 RADIUS = 3
 TREE_SIZE = 4096
 SEED = 42
-#: For groups of similar texts: words of a shingle; bits of a hash that tell places apart, one text in how many is
-#: counted, and the most places that are taken as common.
-WORDS_TOGETHER, PLACE_BITS, COUNTED_SHARE, MOST_COMMON = 5, 22, 16, 1 << 16
+#: For groups of similar texts: words of a shingle, and hundredths of the union that two sets share.
+WORDS_TOGETHER, SIMILAR = 5, 80
+USUAL_SIZE = 256
 #: Bound of the buckets of rows that are sent to all executors.
 BUCKETS = 1 << 20
 _TURN = 0x5DEECE66D
@@ -248,203 +248,27 @@ def _with_component(known: DataFrame, nodes: DataFrame, roots: DataFrame) -> Dat
     return known.join(nodes.select("node", "component_id"), "node")
 
 
-def _different(hashes: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """The different hashes of each row, and their number."""
-    order = np.lexsort((hashes, row))
-    hashes, row = hashes[order], row[order]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
-    return hashes[new], np.bincount(row[new], minlength=rows)
-
-
-def _shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the different shingles of ``WORDS_TOGETHER`` words of each row, ascending, and their number."""
-    found = words(texts)
-    data = found.data.copy()
-    data[(data >= 65) & (data <= 90)] += 32
-    hashes, rows = replace(found, data=data).hashes(), len(texts)
-    counts = np.diff(found.first)
-    shingles = np.where(counts > 0, np.maximum(counts - WORDS_TOGETHER + 1, 1), 0)
-    step = np.arange(shingles.sum()) - np.repeat(np.cumsum(shingles) - shingles, shingles)
-    first = np.repeat(found.first[:-1], shingles) + step
-    length = np.minimum(WORDS_TOGETHER, np.repeat(found.first[1:], shingles) - first)
-    return _different(Runs(hashes).of(first, length), np.repeat(np.arange(rows), shingles), rows)
-
-
-def _nodes(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """A hash of each row's set of shingles."""
-    sums = np.zeros(len(count), dtype=np.uint64)
-    some = np.flatnonzero(count)
-    if len(some):
-        sums[some] = np.add.reduceat(mixed(hashes), (np.cumsum(count) - count)[some])
-    return mixed(sums + count.astype(np.uint64)).view(np.int64)
-
-
-def _lists(values: np.ndarray, count: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(values.view(np.int64)))
-
-
-def _parities(hashes: np.ndarray, count: np.ndarray) -> pa.Array:
-    """Of each row 1,024 bits, each whether an odd number of its hashes falls on it.
-
-    Two rows differ in at most as many bits as there are hashes that only one of them has.
-    """
-    bits = np.zeros(16 * len(count), dtype=np.uint64)
-    word = 16 * np.repeat(np.arange(len(count)), count) + ((hashes >> np.uint64(6)) & np.uint64(15)).astype(np.int64)
-    np.bitwise_xor.at(bits, word, np.uint64(1) << (hashes & np.uint64(63)))
-    return _lists(bits, np.full(len(count), 16))
-
-
-def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Places, by the first ``PLACE_BITS`` bits of a hash, that hold common shingles, and how often they were seen.
-
-    They are counted in a share of the texts. They only set the order of shingles, so what is found does not depend on them.
-    """
-
-    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for part in chunks(batch):
-                place, seen = np.unique(_shingle_sets(part.column("text"))[0] >> np.uint64(64 - PLACE_BITS), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64)), pa.array(seen)], names=["place", "seen"])
-
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(COUNTED_SHARE)) == 0).select("text")
-    counts = stored(mapped(some, batches, "place long, seen long").groupBy("place").agg(F.sum("seen").alias("seen")))
-    mean = (counts.agg(F.sum("seen")).first()[0] or 0) / (1 << PLACE_BITS)
-    found = counts.where(F.col("seen") > mean + max(16, 6 * mean**0.5)).orderBy(F.desc("seen"), "place").limit(MOST_COMMON).collect()
-    return tuple(np.array(sorted((r.place, r.seen) for r in found), dtype=np.int64).reshape(-1, 2).T)
-
-
-def _keyed(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, same, node, n, keys) of each row: hash of the text, hash and size of its set of shingles, first shingles of it."""
-    places, seen = common
-
-    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for part in chunks(batch):
-                hashes, count = _shingle_sets(part.column("text"))
-                row = np.repeat(np.arange(len(part)), count)
-                weight = np.zeros(len(hashes), dtype=np.int64)
-                if len(places):
-                    place = (hashes >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
-                    at = np.minimum(np.searchsorted(places, place), len(places) - 1)
-                    weight = np.where(places[at] == place, seen[at], 0)
-                order = np.lexsort((hashes, weight, row))
-                most = np.where(count > 0, count // 5 + 1, 0)
-                first = np.arange(len(hashes)) - np.repeat(np.cumsum(count) - count, count) < np.repeat(most, count)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("same"), pa.array(_nodes(hashes, count)), pa.array(count, pa.int32()), _lists(hashes[order][first], most)],
-                    names=["doc_id", "same", "node", "n", "keys"],
-                )
-
-    return mapped(_placed(docs), batches, "doc_id long, same long, node long, n int, keys array<long>")
-
-
-def _placed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("same"), "text")
-
-
-def _sets(docs: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles, bits) of each of ``nodes``, from the text of one row of it."""
-
-    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for part in chunks(batch):
-                hashes, count = _shingle_sets(part.column("text"))
-                yield pa.RecordBatch.from_arrays([pa.array(_nodes(hashes, count)), _lists(hashes, count), _parities(hashes, count)], names=["node", "shingles", "bits"])
-
-    chosen = known.select("doc_id", "same", "node").join(nodes, "node", "left_semi")
-    chosen = chosen.groupBy("node").agg(F.min(F.struct("doc_id", "same")).alias("row")).select("row.*").alias("c")
-    texts = _placed(docs).alias("d").join(chosen, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.same") == F.col("c.same")), "left_semi")
-    return mapped(texts.select("text"), batches, "node long, shingles array<long>, bits array<long>").dropDuplicates(["node"])
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that share four fifths of their different shingles."""
-    def with_both(pairs: DataFrame, *columns: Column) -> DataFrame:
-        a = sets.select(F.col("node").bitwiseXOR(F.lit(_TURN)).alias("turned"), F.struct(*columns).alias("x"))
-        b = sets.select(F.col("node").alias("b"), F.struct(*columns).alias("y"))
-        return pairs.withColumn("turned", F.col("a").bitwiseXOR(F.lit(_TURN))).join(a, "turned").join(b, "b")
-
-    # the sets differ in at least as many shingles as their bits, so no pair of 0.8 goes here
-    differ = F.aggregate(F.zip_with("x.bits", "y.bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
-    near = with_both(pairs, F.size("shingles").alias("n"), F.col("bits")).where(9 * differ <= F.col("x.n") + F.col("y.n")).select("a", "b")
-    both = with_both(stored(near), F.col("shingles")).select("a", "b", F.col("x.shingles").alias("x"), F.col("y.shingles").alias("y"))
-    return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
-
-
-def _alike(a: str, b: str) -> Column:
-    """Whether sizes allow for a similarity of 0.8."""
-    return (5 * F.col(a) >= 4 * F.col(b)) & (5 * F.col(b) >= 4 * F.col(a))
-
-
-def _across(live: DataFrame, labels: DataFrame, part_size: int) -> DataFrame:
-    """Pairs (a, b) that share a key and are not connected by ``labels`` (node, root), as far as sizes and places allow.
-
-    The rows of a key are dealt out in parts of about ``part_size``; those outside its largest component go to each part.
-    """
-    rows = live.drop("lo").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = stored(rows)
-    sums = rows.groupBy("key", "root").agg(F.count("*").alias("count"))
-    sums = sums.groupBy("key").agg(F.max(F.struct("count", "root")).alias("top"), F.sum("count").alias("rows"), F.count("*").alias("roots"))
-    sums = sums.where("roots > 1").select(
-        F.col("key").bitwiseXOR(F.lit(_TURN)).alias("turned"), F.col("top.root").alias("main"), F.ceil(F.col("rows") / part_size).cast("int").alias("parts")
-    )
-    rows = rows.withColumn("turned", F.col("key").bitwiseXOR(F.lit(_TURN))).join(sums, "turned").drop("turned")
-    rows = stored(rows)
-    others = rows.where("root <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    # at the first key that a pair shares, it shares no more than what is left of either
-    rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    pairs = members.alias("x").join(others.alias("y"), ["key", "part"]).where(
-        (F.col("x.root") != F.col("y.root")) & ((F.col("x.root") == F.col("x.main")) | (F.col("x.node") < F.col("y.node")))
-    )
-    pairs = pairs.where(_alike("x.n", "y.n") & (9 * rest >= 4 * (F.col("x.n") + F.col("y.n"))))
-    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-
-
 def similar_documents(docs: DataFrame, tree_size: int = TREE_SIZE) -> DataFrame:
     """(doc_id, component_id) of each row of ``docs``: groups of texts linked by a similarity of 0.8 or more.
 
     The similarity is the exact share of different shingles of ``WORDS_TOGETHER`` words that two texts have in common
-    (Jaccard), on 64-bit hashes. All pairs of 0.8 are found: with the shingles of all texts in one order, common ones last,
-    two such texts share one of the first fifth of theirs (and one more), the keys. Equal sets are one node. Each node of a
-    key is compared with the least of the key first; then all pairs of a key that are not connected by this, as far as sizes
-    and places allow, in parts of about ``tree_size``. Rows without doc_id give no id, as in ``near_duplicates``.
+    (Jaccard), on 64-bit hashes; the pairs come from the search of :mod:`adtally.llm.jaccard_join`, which leaves none out. Equal
+    sets, empty ones too, are one node. A part of a cell has ``tree_size`` texts of ``USUAL_SIZE`` shingles at most. Rows without
+    doc_id give no id, as in ``near_duplicates``.
     """
-    known, roots = _connected(docs, tree_size)
+    known, roots = connected(docs, WORDS_TOGETHER, SIMILAR, tree_size * USUAL_SIZE)
     nodes = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     return _with_component(known.select("doc_id", "node"), nodes, roots).select("doc_id", "component_id")
 
 
-def _connected(docs: DataFrame, tree_size: int = TREE_SIZE) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, same, node) of each row, and (node, root) of the nodes that are linked."""
-    known = stored(_keyed(docs, _common(docs)))
-    rows = known.select("node", "n", F.posexplode("keys").alias("place", "key"))
-    least = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    least = least.select(F.col("key").bitwiseXOR(F.lit(_TURN)).alias("turned"), "lo")
-    live = rows.withColumn("turned", F.col("key").bitwiseXOR(F.lit(_TURN))).join(least, "turned").drop("turned")
-    live = stored(live.distinct())
-
-    sizes = live.select("node", "n").distinct()
-    sets = stored(_sets(docs, known, sizes.select("node")))
-    stars = live.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_b")).distinct()
-    stars = stars.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").where(_alike("n_a", "n_b")).select("a", "b")
-    found = stored(_confirmed(stars, sets))
-    others = _across(live, components(found), tree_size).join(stars, ["a", "b"], "left_anti")
-    found = found.unionAll(stored(_confirmed(stored(others), sets)))
-    forget(sets)
-    forget(live)
-    return known.select("doc_id", "same", "node"), components(found)
-
-
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each group, that with the smallest (doc_id, hash of text); rows without doc_id are not compared and stay.
 
     Different texts of one doc_id are rows of their own; rows that repeat both are one.
     """
     placed = docs.where("doc_id IS NOT NULL")
-    known, roots = _connected(placed)
-    groups = stored(known.join(roots, "node", "left").select("doc_id", "same", F.coalesce("root", "node").alias("root")))
+    known, roots = connected(placed, WORDS_TOGETHER, SIMILAR)
+    groups = stored(known.select("doc_id", "same", "node").join(roots, "node", "left").select("doc_id", "same", F.coalesce("root", "node").alias("root")))
     least = groups.groupBy("root").agg(F.min(F.struct("doc_id", "same")).alias("least"), F.count("*").alias("rows"))
     several = least.where("rows > 1").select(F.col("root").bitwiseXOR(F.lit(_TURN)).alias("turned"))
     # rows that share a bucket with none of these are alone in their group, and their texts are not shuffled

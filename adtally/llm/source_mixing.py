@@ -69,7 +69,11 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, budget_share: float = BUDGE
     then of size and text, so reruns agree; equal rows may stand in for each other. A null source is a source; a null
     or empty text has size 0 and is taken not at all; a null doc_id is hashed as an empty one. An empty table gives no rows.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long"), "source", size_of(F.col("text")).alias("size"), shuffled(F.col("doc_id")).alias("shuffle"), F.xxhash64("text").alias("tie"))
+    return _mixed(docs, F.struct(*docs.columns), weights, budget_share, repeats)
+
+
+def _mixed(docs: DataFrame, row: Column, weights: tuple = WEIGHTS, budget_share: float = BUDGET_SHARE, repeats: int = MOST_REPEATS) -> DataFrame:
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long"), "source", size_of(F.col("text")).alias("size"), shuffled(F.col("doc_id")).alias("shuffle"), F.xxhash64("text").alias("tie"))
     rows = rows.withColumn("range", F.substring("shuffle", 1, RANGE_DIGITS))
     by_range = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -108,9 +112,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix in its order, with the columns of ``docs`` (doc_id, text, source, and any more).
 
     A document that is taken twice is there twice; of one that the budget cuts the first words are there,
-    joined by one space. ``n_chars``, if there is one, is that of the text.
+    joined by one space. ``n_chars``, if there is one, is that of the text. Rows that repeat all columns are one to the
+    schedule's eyes, each with its own turns. Texts are shuffled twice: to meet their turns, and into the order of the mix.
     """
-    turns = schedule(mixed(docs))
+    others = [F.to_json(F.struct(*(c for c in docs.columns if c not in ("doc_id", "text", "source"))))] if len(docs.columns) > 3 else []
+    key = F.xxhash64("doc_id", "text", "source", *others)
+    placed = _mixed(docs, key).withColumnRenamed("row", "key")
+    texts = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row")).dropDuplicates(["key"])
+    turns = schedule(placed.where("taken > 0").join(texts, "key"))
     words = F.filter(F.split("row.text", SEPARATORS), lambda w: w != "")
     text = F.when(F.col("words") == F.col("size"), F.col("row.text")).otherwise(
         F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), " ")

@@ -50,5 +50,5 @@ def test_queries_are_registered_once_for_each_operator():
     import __spark_entry__
 
     names = list(queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert set(oracle_sql()) <= set(names) and set(names) | {"pipeline"} <= set(__spark_entry__.queries())
