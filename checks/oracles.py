@@ -393,6 +393,9 @@ FROM orders""",
         "sell_by_site_late_hours": rows_sql(EVENTS),
         "filter_site_indexed": rows_sql(ORDERS, where="site_url LIKE '%c12%'"),
         "filter_user_indexed": rows_sql(ORDERS, where="email ILIKE '%nation\\_1%' ESCAPE '\\'"),
+        "distinct_buyers_window": """
+SELECT l_suppkey AS site_id, count(DISTINCT l_partkey) AS buyers FROM lineitem
+WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1997-03-01' AND DATE '1997-03-31' GROUP BY l_suppkey""",
         "search_url_part": "SELECT page_id, url FROM pages WHERE lower(url) LIKE '%ample.org/en%'",
         "sell_by_site_today": rows_sql(EVENTS),
         "sell_publisher_count": f"""{sell.report_ctes(ORDERS, True)}

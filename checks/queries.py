@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, DecimalType
 
 from adtally.functions import numbers, text, urls
-from adtally.operators import cumulative, filters, hour_batches, managers, panel, trigram_index, workdays
+from adtally.operators import cumulative, distinct_bitmaps, filters, hour_batches, managers, panel, trigram_index, workdays
 from adtally.operators.attribution import with_referrer
 from adtally.operators.periods import Period, lookback_before
 from adtally.operators.totals import sum_by_columns, sum_by_keys
@@ -117,6 +117,13 @@ def _search_url_part(spark: SparkSession, root: str) -> DataFrame:
     return trigram_index.containing(pages, "page_id", "url", index, URL_PART).select("page_id", "url")
 
 
+def _distinct_buyers(spark: SparkSession, root: str) -> DataFrame:
+    """Different parts of each supplier in the report's month, by bitmaps of each day."""
+    lines = synthetic.raw(spark, root, "lineitem")
+    rows = lines.select(F.col("l_suppkey").alias("site_id"), F.col("l_shipdate").cast("date").alias("day"), F.col("l_partkey").alias("buyer_id"))
+    return distinct_bitmaps.distinct_in(distinct_bitmaps.daily_bitmaps(rows), MONTH.current, count="buyers")
+
+
 def _sum_by_keys(spark: SparkSession, root: str) -> DataFrame:
     events = synthetic.raw(spark, root, "events")
     entries = F.create_map(
@@ -499,6 +506,7 @@ def queries() -> dict[str, Query]:
             month_report(s, d).where(filters.by_user_indexed("Nation_1", user_index(s, d)))
         ),
         "search_url_part": _search_url_part,
+        "distinct_buyers_window": _distinct_buyers,
         "sell_by_site_today": lambda s, d: report_rows(today_report(s, d)),
         "sell_by_site_last_days": lambda s, d: report_rows(today_report(s, d, period=LAST_DAYS)),
         "sell_by_publisher_today": lambda s, d: report_rows(today_report(s, d, True)),

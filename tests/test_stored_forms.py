@@ -8,8 +8,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from adtally.operators import cumulative, hour_batches, trigram_index
-from adtally.operators.periods import Period, lookback_before
+from adtally.operators import cumulative, distinct_bitmaps, hour_batches, trigram_index
+from adtally.operators.periods import Period, Window, lookback_before
 from adtally.operators.window_sums import COMPARED, MEASURES, MONEY, site_window_sums
 from adtally.plans.sell_report import SellReport
 from adtally.sources import synthetic
@@ -179,3 +179,23 @@ def test_candidates_are_few_and_only_their_postings_are_read(spark, addresses, t
         assert trigram_index.candidates(index, part).count() <= 3 * found
     assert "PushedFilters: [In(gram" in plan(trigram_index.candidates(index, "abcd"))
     assert "CartesianProduct" not in plan(trigram_index.containing(table, "id", "url", index, "abcd"))
+
+
+def test_bitmaps_count_what_distinct_counts(spark, tmp_path):
+    rng = random.Random(12)
+    ids = [rng.choice([0, 1, -1, 32768, 32769, -32768, 10**12, -(10**12), rng.randrange(-(10**5), 10**5)]) for _ in range(4000)]
+    rows = [(rng.choice([1, 1, 1, 2, 3]), date(2024, 1, 1) + timedelta(rng.randrange(40)), i) for i in ids] + [(None, date(2024, 1, 2), 5), (4, None, 5), (4, date(2024, 1, 2), None)]
+    table = spark.createDataFrame(rows, "site_id long, day date, buyer_id long").repartition(5)
+    folder, half = str(tmp_path / "bitmaps"), F.col("day") < F.lit(date(2024, 1, 20))
+    first = distinct_bitmaps.daily_bitmaps(table.where(half))
+    distinct_bitmaps.with_day(first, table.where(~half | (F.col("buyer_id") % 2 == 0))).write.partitionBy("day").parquet(folder)
+    stored = spark.read.schema(first.schema).parquet(folder)
+    for start, days in ((1, 1), (5, 20), (1, 40)):
+        window = Window(date(2024, 1, start), date(2024, 1, start) + timedelta(days - 1))
+        inside = table.where(F.col("day").between(window.start, window.end)).dropna()
+        wanted = inside.groupBy("site_id").agg(F.count_distinct("buyer_id").alias("members"))
+        assert same(distinct_bitmaps.distinct_in(stored, window), wanted)
+        assert same(distinct_bitmaps.distinct_in(distinct_bitmaps.daily_bitmaps(table), window), wanted)
+    assert distinct_bitmaps.distinct_in(first.limit(0), window).count() == 0
+    text = plan(distinct_bitmaps.distinct_in(stored, window))
+    assert text.index("partial_bitmap_or_agg") > text.index("Exchange hashpartitioning(site_id") and "PartitionFilters: [isnotnull(day" in text
