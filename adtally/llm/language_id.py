@@ -220,7 +220,8 @@ def sample(labelled: DataFrame, documents: int = SAMPLE_DOCUMENTS, size: int = S
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     drawn = F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 30)) < (4.0 * documents / F.col("n")) * (1 << 30)
-    rows = rows.join(sizes, "lang").where(drawn).select("doc_id", "lang")
+    # a row for each language, of which a model has a few hundred at most
+    rows = rows.join(F.broadcast(sizes), "lang").where(drawn).select("doc_id", "lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id")
     picked = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= documents).select("doc_id").distinct()
     # a bounded number of rows for each language
