@@ -26,7 +26,7 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0
     sha256(coalesce(rest, '')) AS kept_sha256 FROM given LEFT JOIN kept USING (doc_id)"""
 
 _SOURCE_MIXING = f"""
-WITH RECURSIVE sized AS (SELECT doc_id, source, len({_WORDS}) AS size, md5('mix' || doc_id) AS shuffle FROM documents),
+WITH RECURSIVE sized AS (SELECT doc_id, source, len({_WORDS}) AS size, md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS shuffle FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
     [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM sized GROUP BY source),
 filled AS (
@@ -43,11 +43,17 @@ last AS (SELECT * FROM filled ORDER BY turn DESC LIMIT 1),
 shares AS (SELECT source, source_size, CASE WHEN list_contains(full_ones, coalesce('=' || source, ''))
     THEN CAST(2 * source_size AS DOUBLE) ELSE level * weight END AS target FROM sources, last),
 placed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY shuffle, doc_id) - size AS earlier FROM sized),
-wanted AS (SELECT doc_id, size, source_size, target, earlier, CAST(round(target) AS BIGINT) AS words
-    FROM placed JOIN shares ON placed.source IS NOT DISTINCT FROM shares.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-    CAST(greatest(0, least(size, words - earlier)) + greatest(0, least(size, words - source_size - earlier)) AS BIGINT) AS taken
-FROM wanted"""
+goals AS (SELECT placed.*, source_size, target, CAST(round(target) AS BIGINT) AS goal, row_number() OVER () AS n
+    FROM placed JOIN shares ON placed.source IS NOT DISTINCT FROM shares.source),
+offered AS (SELECT n, source, turn, earlier, goal, turn * source_size + earlier AS started, turn * source_size + earlier + size AS ended
+    FROM goals, (VALUES (0), (1)) t(turn) WHERE size > 0),
+parts AS (SELECT n, source, turn, earlier, goal, started, least(ended, goal) AS ended FROM offered WHERE started < goal
+    UNION ALL SELECT n, source, turn, earlier, goal, greatest(started, goal), ended FROM offered WHERE ended > goal),
+timed AS (SELECT *, CASE WHEN goal > 0 THEN ended / CAST(goal AS DOUBLE) ELSE 'inf' END AS finish FROM parts),
+running AS (SELECT n, ended - started AS words, sum(ended - started) OVER (ORDER BY finish, source NULLS LAST, turn, earlier) - (ended - started) AS ahead FROM timed),
+given AS (SELECT n, sum(greatest(0, least(words, (SELECT sum(CAST(round(target) AS BIGINT)) FROM shares) - ahead))) AS words FROM running GROUP BY n)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(words, 0) AS BIGINT) AS taken
+FROM goals LEFT JOIN given USING (n)"""
 
 _WARC = """
 WITH given AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),

@@ -47,7 +47,7 @@ def _token_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _source_mixing(spark: SparkSession, root: str) -> DataFrame:
-    return mixed(table(spark, root, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixed(table(spark, root, "documents"), row=F.col("doc_id")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def _warc(spark: SparkSession, root: str) -> DataFrame:

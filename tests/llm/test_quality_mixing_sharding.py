@@ -197,3 +197,30 @@ def test_divided_ids_are_written_once_and_within_the_limit(spark, tmp_path):
     for r in rows:
         total[r.place] += len(r.text)
     assert all(total[s] <= 200 or number[s] == 1 for s in total)
+
+
+def test_the_budget_cuts_the_order_of_finish_times(spark):
+    """Rows without doc_id, one source with nearly all rows, one without words; the order is worked out again in plain Python."""
+    rows = [(None if i % 3 else i, " ".join(f"w{i}_{j}" for j in range(1 + i % 7)), "big" if i % 10 else None) for i in range(300)]
+    rows += [(None, None, "none"), (None, "", "none"), (None, "", "none"), (5, "x " * 5000, "small")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixed(docs).collect()
+    assert len(found) == len(rows)
+    turns = []
+    for n, r in enumerate(found):
+        goal = math.floor(r.target + 0.5)
+        for turn in range(2):
+            start = turn * r.source_size + r.before
+            end = start + r.size
+            for a, b in ((start, min(end, goal)), (max(start, goal), end)):
+                if a < b:
+                    turns.append((b / goal if goal else math.inf, r.source is None, r.source or "", turn, r.before, b - a, n))
+    left, taken = found[0].budget, Counter()
+    for *_, words, n in sorted(turns):
+        taken[n] += min(words, left)
+        left -= min(words, left)
+    assert left == 0 and [r.taken for r in found] == [taken[n] for n in range(len(found))]
+    for source in {r.source for r in found}:
+        assert abs(sum(r.taken for r in found if r.source == source) - next(r.target for r in found if r.source == source)) <= 1
+    places = Counter((r.source, r.before) for r in found if r.size)
+    assert max(places.values()) == 1
