@@ -1,7 +1,7 @@
 """Token ids by public tokenizers, with the ids of known stretches of text kept in each Python worker.
 
-A text is cut where the tokenizer cuts it anyway, at blanks and line ends, and by words also before marks such as a comma, and each different stretch of a batch goes to the
-library once. Stretches not known yet are put together to longer texts for that, since a call costs more than a
+A text is cut where the tokenizer cuts it anyway, at blanks, line ends, and before marks such as a comma behind a word, and each
+different stretch of a batch goes to the library once. Stretches not known yet are put together to longer texts for that, since a call costs more than a
 short text, and the ids are cut again where the stretches end. Other texts go to the library as they are.
 """
 
@@ -34,8 +34,8 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         model = json.loads(self.library.to_str())
         self.by_words = bool(model["model"].get("end_of_word_suffix"))
-        self.stretch = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
         # letters and digits end where a mark that no word goes on with stands behind them
+        self.stretch = re.compile(r"[ \n]*[A-Za-z0-9À-ÖØ-öø-ÿ]+(?=[.,;:!?])|[ \n]*[^ \n]+|[ \n]+")
         self.word = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ]+(?=[.,;:!?]|\s|\Z)|\S+")
         self.odd = re.compile(rf"[{MARK}\x1c-\x1f]|<\|" if self.by_words else r"[^\S \n]")
         if self.by_words:

@@ -113,3 +113,25 @@ def test_dictionary_is_trained_and_used(spark, sf_dir, tmp_path):
     assert token_files.read(spark, folder).agg(F.sum(F.octet_length("ids") / 4)).first()[0] == docs.count() + sum(
         len(x) // 4 - 1 for x in encoded(load(BYTE_BPE), [r.text or "" for r in docs.select("text").collect()], 2)
     )
+
+
+def test_small_corpora_have_a_dictionary_and_places_are_spread(spark, documents, tmp_path):
+    assert token_files._dictionary([], 100) == b""
+    few = token_files._dictionary([b"abcdefgh" * 9, b"abcd"], 1000)
+    assert few == b"abcdefgh" * 9 + b"abcd"
+    folder = str(tmp_path / "small")
+    name = token_files.train(documents, folder, BYTE_BPE)
+    assert os.path.getsize(f"{folder}/{name}.dict") > 0
+    begins = {"text": " ".join(["begin"] * 9000 + ["end"] * 9000), "doc_id": 0}
+    many = spark.createDataFrame([begins | {"doc_id": i} for i in range(20)], "doc_id long, text string")
+    name = token_files.train(many, folder, BYTE_BPE)
+    content = open(f"{folder}/{name}.dict", "rb").read()
+    begin, end = (array("I", ids_of(BYTE_BPE, f" {w}", 0)[:1]).tobytes() for w in ("begin", "end"))
+    assert content.count(begin) > 8 and content.count(end) > 8
+
+
+def test_rows_of_one_doc_id_are_dealt_over_files(spark, tmp_path):
+    docs = spark.range(4000).selectExpr("CAST(7 AS long) AS doc_id", "concat('text ', id) AS text")
+    manifest = token_files.write(docs, str(tmp_path / "one"), BYTE_BPE, partitions=6).collect()
+    assert len(manifest) == 6 and max(m.documents for m in manifest) < 1500
+    assert token_files.read(spark, str(tmp_path / "one")).count() == 4000
