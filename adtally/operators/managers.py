@@ -62,11 +62,20 @@ def kept_by(df: DataFrame, key: str, keys: DataFrame, unless_empty: DataFrame) -
 
 
 def scope_or_previous(chosen: DataFrame, previous: DataFrame | None) -> DataFrame:
-    """The chosen managers, or the previous scope when none was chosen."""
+    """The chosen managers, or the previous scope when none was chosen.
+
+    Both are gathered in one aggregate, as lists of different managers, so the group tree is walked once.
+    """
     if previous is None:
         return chosen.toDF("manager_id")
-    kept = previous.toDF("manager_id").where(~chosen.exists())
-    return chosen.toDF("manager_id").unionByName(kept)
+    both = chosen.toDF("manager_id").withColumn("is_chosen", F.lit(True))
+    both = both.unionByName(previous.toDF("manager_id").withColumn("is_chosen", F.lit(False)))
+    lists = both.agg(
+        F.collect_set(F.when(F.col("is_chosen"), F.col("manager_id"))).alias("chosen"),
+        F.collect_set(F.when(~F.col("is_chosen"), F.col("manager_id"))).alias("previous"),
+    )
+    kept = F.when(F.size("chosen") > 0, F.col("chosen")).otherwise(F.col("previous"))
+    return lists.select(F.explode(kept).alias("manager_id"))
 
 
 def narrow_to_manager(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adtally.sources.tables import SellTables
@@ -10,16 +10,20 @@ from adtally.sources.tables import SellTables
 NEWS, USER = "news", "user"
 
 
-def theme_counts(site_themes: DataFrame) -> DataFrame:
-    """Themes per site in both families: all of them and those not filtered out."""
+def _theme_figures() -> list[Column]:
     is_news, is_user = F.col("family") == NEWS, F.col("family") == USER
     is_open = ~F.col("is_filtered")
-    return site_themes.groupBy("site_id").agg(
+    return [
         F.count_if(is_news & is_open).alias("news_themes_not_filtered"),
         F.count_if(is_news).alias("news_themes_total"),
         F.count_if(is_user & is_open).alias("user_themes_not_filtered"),
         F.count_if(is_user).alias("user_themes_total"),
-    )
+    ]
+
+
+def theme_counts(site_themes: DataFrame) -> DataFrame:
+    """Themes per site in both families: all of them and those not filtered out."""
+    return site_themes.groupBy("site_id").agg(*_theme_figures())
 
 
 def blocked_buyer_counts(blocked_buyers: DataFrame) -> DataFrame:
@@ -32,28 +36,26 @@ def blocked_buyer_counts(blocked_buyers: DataFrame) -> DataFrame:
 def with_panel(page: DataFrame, tables: SellTables) -> DataFrame:
     """The page with rating, price and buyer targets, theme counts and blocked buyers.
 
-    The large relations are narrowed to the sites of the page before they are aggregated.
+    ``page`` has a row for each site, and only sites of the dimension, as pages of the report do; others would be left
+    out. The three relations are put together and meet the page once, which is broadcast if it is as short as pages are. So
+    they are narrowed to its sites before anything is counted, and the page is worked out only once.
     """
-    ids = page.select(F.col("id").alias("site_id"))
-
-    def of_page(relation: DataFrame) -> DataFrame:
-        return relation.join(ids, "site_id", "left_semi")
-
-    sites = of_page(
-        tables.sites.select(
-            F.col("id").alias("site_id"), "min_teaser_rating", "min_ad_price", "buyer_target"
-        )
-    )
-    # An empty list of targets counts as no list.
-    targets = F.nullif(F.size("buyer_target"), F.lit(0)).alias("buyer_target")
-    details = sites.select("site_id", "min_teaser_rating", "min_ad_price", targets)
-    themes = theme_counts(of_page(tables.site_themes))
-    blocked = blocked_buyer_counts(of_page(tables.blocked_buyers))
-    counts = [name for name in themes.columns + blocked.columns if name != "site_id"]
+    details = tables.sites.select(F.col("id").alias("of_site"), "min_teaser_rating", "min_ad_price", "buyer_target")
+    themes = tables.site_themes.select(F.col("site_id").alias("of_site"), "family", "is_filtered")
+    buyers = tables.blocked_buyers.select(F.col("site_id").alias("of_site"), "buyer_id")
+    relations = details.unionByName(themes, allowMissingColumns=True).unionByName(buyers, allowMissingColumns=True)
     shown = page if "site_id" in page.columns else page.withColumn("site_id", F.col("id"))
+    names = ["site_id"] + [name for name in shown.columns if name != "site_id"]
+    # An empty list of targets counts as no list.
+    targets = F.nullif(F.size("buyer_target"), F.lit(0))
     return (
-        shown.join(details, "site_id", "left")
-        .join(themes, "site_id", "left")
-        .join(blocked, "site_id", "left")
-        .na.fill(0, subset=counts)
+        relations.join(shown, F.col("of_site") == F.col("site_id"))
+        .groupBy(*names)
+        .agg(
+            F.any_value("min_teaser_rating", True).alias("min_teaser_rating"),
+            F.any_value("min_ad_price", True).alias("min_ad_price"),
+            F.any_value(targets, True).alias("buyer_target"),
+            *_theme_figures(),
+            F.count_distinct("buyer_id").alias("filtered_buyers"),
+        )
     )

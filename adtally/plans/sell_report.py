@@ -123,11 +123,7 @@ class SellReport:
         descending: bool = False,
         site_label: str = SITE_NAME,
     ) -> DataFrame:
-        """A page with the extra site details; a publisher page has none.
-
-        The page is needed by several joins. ``page_with_panel`` of a ``stored`` report sorts stored
-        rows for each of them instead of working out the report again.
-        """
+        """A page with the extra site details; a publisher page has none."""
         shown = self._sorted_page(page, items, order, descending, site_label)
         if self.by_publisher:
             return shown.drop("sort_key")

@@ -163,3 +163,14 @@ def test_visits_without_a_request_are_dealt_out_evenly(spark):
 
 def test_today_reads_each_grain_once(spark, sf_dir):
     assert plan(today_report(spark, sf_dir).total()).count("FileScan") == 2
+
+
+def test_the_page_of_a_panel_is_worked_out_once(spark, sf_dir):
+    text = plan(queries()["page_panel"](spark, sf_dir))
+    assert text.count("TakeOrderedAndProject") == 1
+    assert text.count("FileScan") <= 8
+
+
+@pytest.mark.parametrize("name", ["filter_manager_scoped", "filter_group_empty_keeps_scope", "search_scope"])
+def test_a_scope_walks_its_group_tree_once_for_each_use(spark, sf_dir, name):
+    assert plan(queries()[name](spark, sf_dir)).count("FileScan") <= 12
