@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adtally.session import checkpointed
+
 MAX_DEPTH = 1000
 
 
 def group_with_subgroups(manager_groups: DataFrame, group_id: int) -> DataFrame:
     """``group_id`` of the group itself and of every group below it.
 
-    Groups that are below themselves end the way down. More than ``MAX_DEPTH`` levels are an error.
+    Groups that are below themselves end the way down. More than ``MAX_DEPTH`` levels are an error;
+    ``deep_group_with_subgroups`` has no such limit.
     """
     return manager_groups.sparkSession.sql(
         f"""
@@ -32,9 +35,30 @@ def group_with_subgroups(manager_groups: DataFrame, group_id: int) -> DataFrame:
     )
 
 
-def managers_of_group(managers: DataFrame, manager_groups: DataFrame, group_id: int) -> DataFrame:
-    """``manager_id`` of the managers in a group and its subgroups."""
-    groups = group_with_subgroups(manager_groups, group_id)
+def deep_group_with_subgroups(manager_groups: DataFrame, group_id: int) -> DataFrame:
+    """The rows of ``group_with_subgroups`` for a tree of any depth, by path doubling.
+
+    Each round doubles the ways up: those of n steps, put after each other, are those of 2n steps, and groups whose way leads
+    to one that was found are found. The rounds grow with the logarithm of the depth, or of the number of groups
+    where groups are below themselves. A round has a row for each group and each different group that is so many steps above it,
+    which is one row a group in a tree. Unlike the lazy form it runs jobs, whose rows are stored in the checkpoint folder.
+    """
+    named = manager_groups.select("group_id", "parent_id").where("group_id IS NOT NULL")
+    up = checkpointed(named.where("parent_id IS NOT NULL").select("group_id", F.col("parent_id").alias("above")).distinct())
+    found = checkpointed(named.where(F.col("group_id") == group_id).select("group_id").distinct())
+    groups, steps = up.select("group_id").distinct().count(), 1
+    while steps <= groups and not up.isEmpty():
+        reached = up.join(found.withColumnRenamed("group_id", "above"), "above", "left_semi").select("group_id")
+        found = checkpointed(found.unionByName(reached).distinct())
+        further = up.select(F.col("group_id").alias("above"), F.col("above").alias("top"))
+        up = checkpointed(up.join(further, "above").select("group_id", F.col("top").alias("above")).distinct())
+        steps *= 2
+    return found
+
+
+def managers_of_group(managers: DataFrame, manager_groups: DataFrame, group_id: int, deep: bool = False) -> DataFrame:
+    """``manager_id`` of the managers in a group and its subgroups; ``deep`` is for trees of any depth and runs jobs."""
+    groups = (deep_group_with_subgroups if deep else group_with_subgroups)(manager_groups, group_id)
     return managers.join(groups, "group_id", "left_semi").select(F.col("id").alias("manager_id"))
 
 

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adtally.functions import metrics
 from adtally.functions.metrics import RATIOS, SYSTEM_SHARE
-from adtally.operators import filters, paging, spine, totals
+from adtally.operators import filters, paging, spine, stored_pages, totals
 from adtally.operators.cumulative import cumulative_window_sums
 from adtally.operators.managers import kept_by
 from adtally.operators.panel import with_panel
@@ -115,6 +115,15 @@ class SellReport:
         """
         return self._sorted_page(page, items, order, descending, site_label).drop("sort_key")
 
+    def store_pages(self, folder: str, order: str = "profit", descending: bool = False, site_label: str = SITE_NAME, ranges: int | None = None) -> None:
+        """Store all rows that pages in this order show, for ``stored_page``."""
+        stored_pages.write(self._sorted_page(1, 0, order, descending, site_label), folder, "sort_key", descending, ranges)
+
+    @staticmethod
+    def stored_page(spark: SparkSession, folder: str, page: int = 1, items: int = 50, descending: bool = False) -> DataFrame:
+        """A page of rows that ``store_pages`` stored in this direction."""
+        return stored_pages.read(spark, folder, "sort_key", descending, page, items).drop("sort_key")
+
     def page_with_panel(
         self,
         page: int = 1,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime re-planning does three jobs here: it picks a broadcast join only after it has
@@ -36,15 +38,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep it in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; where it is unset, as in tests, one of the warehouse."""
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/checkpoints").rstrip("/")
+
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``, which all executors
-    reach. Where it is unset, as in tests, a folder of the warehouse is taken.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder name in the shared folder that no other run uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and keep it in the shared folder, which all executors reach."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", f"{warehouse}/checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -63,3 +63,28 @@ def test_cycles_and_long_chains_of_groups_end(spark):
     assert ids(managers.group_with_subgroups(cycle, 4)) == [4]
     chain = spark.createDataFrame([(i + 1, i) for i in range(130)], "group_id int, parent_id int")
     assert len(ids(managers.group_with_subgroups(chain, 1))) == 130
+
+
+def test_deep_trees_cycles_and_diamonds(spark, monkeypatch):
+    rounds = []
+    stored = managers.checkpointed
+    monkeypatch.setattr(managers, "checkpointed", lambda df: rounds.append(df) or stored(df))
+    chain = spark.range(5000).selectExpr("CAST(id + 1 AS INT) AS group_id", "CAST(id AS INT) AS parent_id")
+    assert managers.deep_group_with_subgroups(chain, 1).count() == 5000
+    assert len(rounds) <= 2 + 2 * 13
+    short = chain.where("group_id <= 12")
+    assert ids(managers.deep_group_with_subgroups(short, 5)) == list(range(5, 13))
+    assert ids(managers.deep_group_with_subgroups(short, 99)) == []
+    cycle = spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, 4), (5, 4), (6, 3)], "group_id int, parent_id int")
+    assert ids(managers.deep_group_with_subgroups(cycle, 1)) == [1, 2, 3, 6]
+    assert ids(managers.deep_group_with_subgroups(cycle, 4)) == [4, 5]
+    diamond = spark.createDataFrame([(1, None), (2, 1), (3, 1), (4, 2), (4, 3), (5, 4), (4, 2), (None, 1)], "group_id int, parent_id int")
+    assert ids(managers.deep_group_with_subgroups(diamond, 1)) == [1, 2, 3, 4, 5]
+    assert ids(managers.deep_group_with_subgroups(diamond, 3)) == [3, 4, 5]
+    assert ids(managers.deep_group_with_subgroups(diamond.limit(0), 1)) == []
+
+
+def test_deep_groups_are_those_of_the_lazy_form(spark, staff):
+    people, groups = staff
+    for group in (0, 3, 9):
+        assert ids(managers.managers_of_group(people, groups, group, deep=True)) == ids(managers.managers_of_group(people, groups, group))
