@@ -8,22 +8,26 @@ list's dimensions, and its score is the sum of its local scores. For each query:
    below ``low``. Sums of the entries seen, and the cutoff for those not seen, bound each score from above;
 3. vectors whose bound reaches ``low`` are scored in full, and the k best are taken.
 
-Queries and candidates meet in blocks of at most about ``BLOCK`` rows each, so a task holds two blocks; cutoffs travel
-with the query rows. Only what can be among the k best of a block leaves it.
+Queries and candidates meet in blocks of at most about ``BLOCK`` rows each, so a task holds two blocks, and local scores
+of ``TOGETHER`` queries at a time; cutoffs travel with the query rows. Only what can be among the k best of a block leaves it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adtally.llm.shared import ship
+from adtally.llm.shared import ship, stored
 
 K = 10
 SLICES = 4
 BLOCK = 4096
+#: Queries of a block whose local scores are worked out together.
+TOGETHER = 256
 SCALE = 1024
 FOUND = "query long, query_id long, vec_id long, row long, score long"
 #: Whole numbers up to here are exact in doubles, and so are their sums in any order.
@@ -54,6 +58,15 @@ def _local(queries: np.ndarray, rows: np.ndarray, slices: int) -> np.ndarray:
     return found.astype(np.int64)
 
 
+def _asked(queries: pa.Table, rows: pa.Table, slices: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each query's place and its local scores, list by row."""
+    asking, near = _matrix(queries), _matrix(rows)
+    for first in range(0, len(asking), TOGETHER):
+        local = _local(asking[first : first + TOGETHER], near, slices)
+        for at in range(local.shape[1]):
+            yield first + at, local[:, at]
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, equal ones by id."""
     if len(scores) > k:
@@ -84,12 +97,11 @@ def _first_lists(k: int, slices: int):
     def meet(queries: pa.Table, rows: pa.Table) -> pa.Table:
         found = []
         if len(queries) and len(rows):
-            local = _local(_matrix(queries), _matrix(rows), slices)
             ids, own = rows.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
-            for q in range(len(queries)):
+            for q, local in _asked(queries, rows, slices):
                 other = np.flatnonzero(ids != own[q])
-                seen = {int(other[x]) for part in local[:, q] for x in _best(part[other], ids[other], k)}
-                found += [(q, r, int(local[:, q, r].sum())) for r in sorted(seen)]
+                seen = {int(other[x]) for part in local for x in _best(part[other], ids[other], k)}
+                found += [(q, r, int(local[:, r].sum())) for r in sorted(seen)]
         return _result(queries, rows, found)
 
     return meet
@@ -101,19 +113,18 @@ def _safe_entries(k: int, slices: int):
     def meet(queries: pa.Table, rows: pa.Table) -> pa.Table:
         found = []
         if len(queries) and len(rows):
-            local = _local(_matrix(queries), _matrix(rows), slices)
             ids, own = rows.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
             lows = queries.column("low").to_pylist()
-            for q in range(len(queries)):
+            for q, local in _asked(queries, rows, slices):
                 if lows[q] is None:  # fewer than k vectors in all
                     open_ = np.flatnonzero(ids != own[q])
                 else:
                     cutoff = -(-lows[q] // slices)
-                    given = local[:, q] >= cutoff
+                    given = local >= cutoff
                     some = np.flatnonzero(given.any(axis=0) & (ids != own[q]))
-                    bound = np.where(given[:, some], local[:, q, some], cutoff).sum(axis=0)
+                    bound = np.where(given[:, some], local[:, some], cutoff).sum(axis=0)
                     open_ = some[bound >= lows[q]]
-                scores = local[:, q, open_].sum(axis=0)
+                scores = local[:, open_].sum(axis=0)
                 found += [(q, int(open_[x]), int(scores[x])) for x in _best(scores, ids[open_], k)]
         return _result(queries, rows, found)
 
@@ -148,11 +159,11 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, slices: int = SLICES,
     ship(vectors.sparkSession)
     known = vectors.select(F.col("vec_id").cast("long"), whole_numbers(F.col("embedding"), scale).alias("vector"), queries.alias("asks"))
     known = known.where("vec_id IS NOT NULL AND vector IS NOT NULL").withColumn("dims", F.size("vector"))
-    # tells repeated rows apart, and is the same if a task is run again
-    rows = known.withColumn("row", F.monotonically_increasing_id())
+    # tells repeated rows apart; stored, so that cutoffs meet the rows they are of whatever is run again
+    rows = stored(known.withColumn("row", F.monotonically_increasing_id()))
     asking = rows.where("asks").select("vec_id", "vector", "dims", F.col("row").alias("query"))
+    total, asked = rows.agg(F.count("*"), F.count_if("asks")).first()
     rows = rows.select("vec_id", "vector", "dims", "row")
-    total, asked = known.agg(F.count("*"), F.count_if("asks")).first()
     blocks, query_blocks = -(-total // block) or 1, -(-asked // block) or 1
 
     first = _in_blocks(asking, rows, blocks, query_blocks, _first_lists(k, slices))

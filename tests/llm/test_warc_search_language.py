@@ -8,10 +8,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from adtally.llm import language_id, warc
+from adtally.llm import language_id, topk_search, warc
 from adtally.llm.queries import held_out
 from adtally.llm.topk_search import top_k
 from adtally.llm.words import words
@@ -108,6 +109,18 @@ def test_scores_beyond_doubles_are_exact(spark):
     assert top_k(frame.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_local_scores_are_worked_out_a_slice_of_queries_at_a_time(monkeypatch):
+    rng = np.random.default_rng(4)
+    shapes, whole = [], topk_search._local
+    monkeypatch.setattr(topk_search, "_local", lambda q, r, n: shapes.append((len(q), len(r))) or whole(q, r, n))
+    numbers = rng.integers(-1000, 1000, (600, 8)).astype(float)
+    tables = [pa.table({"vector": pa.array(list(m))}) for m in (numbers, numbers[:50])]
+    found = list(topk_search._asked(*tables, 3))
+    assert [at for at, _ in found] == list(range(600))
+    assert max(q for q, _ in shapes) == topk_search.TOGETHER and sum(q for q, _ in shapes) == 600
+    assert (np.stack([x.sum(axis=0) for _, x in found]) == numbers @ numbers[:50].T).all()
+
+
 def test_messages_are_those_of_all_paths():
     rng = np.random.default_rng(2)
     first = np.array([0, 3, 3, 7, 8])
