@@ -11,8 +11,7 @@ import duckdb
 from pyspark.sql import SparkSession
 
 from adtally.session import local_session
-from checks.oracles import oracle_sql
-from checks.queries import queries
+from checks import oracles, queries as lazy, stored
 
 
 def _plain(value: object) -> object:
@@ -26,6 +25,14 @@ def _rows(names: list[str], rows: list[tuple]) -> list[tuple]:
     return sorted((tuple(_plain(row[i]) for i in order) for row in rows), key=repr)
 
 
+def queries() -> dict[str, lazy.Query]:
+    return lazy.queries() | stored.queries()
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracles.oracle_sql() | stored.oracle_sql()
+
+
 def database(root: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
     for file in Path(root).glob("*.parquet"):

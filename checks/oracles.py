@@ -377,7 +377,6 @@ def oracle_sql() -> dict[str, str]:
         "sell_page": sell.page_sql(ORDERS, False, by_id, 50, 50),
         "sell_page_by_name": sell.page_sql(ORDERS, False, "r.name DESC NULLS FIRST, r.id", 50, 0),
         "sell_publisher_page": sell.page_sql(ORDERS, True, "src_ctr, r.id", 10, 0),
-        "sell_page_stored": sell.page_sql(ORDERS, False, by_id, 50, 50),
         "sell_total": sell.total_sql(ORDERS),
         "sell_count": f'{sell.report_ctes(ORDERS)} SELECT count(*) AS "rows" FROM report',
         "sell_page_total": sell.page_total_sql(ORDERS, False, by_id, 50, 50),
@@ -429,9 +428,6 @@ SELECT count(*) AS rows FROM report""",
         "filter_empty_fields": rows_sql(ORDERS),
         "publisher_status_new": rows_sql(ORDERS, where=_LOOKBACK.format("NOT IN")),
         "publisher_status_current": rows_sql(ORDERS, where=_LOOKBACK.format("IN")),
-        "manager_group_deep": """WITH RECURSIVE below AS (SELECT 50::BIGINT AS group_id
-    UNION ALL SELECT c_custkey FROM below JOIN customer ON c_custkey - CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END = group_id)
-SELECT group_id AS manager_id FROM below JOIN customer ON c_custkey = group_id""",
         "manager_group_tree": f"""WITH RECURSIVE {_GROUPS},
 below AS (SELECT group_id FROM groups WHERE group_id = 1
     UNION ALL SELECT g.group_id FROM below JOIN groups g ON g.parent_id = below.group_id),{_accounts()}

@@ -17,7 +17,6 @@ from adtally.operators.totals import sum_by_columns, sum_by_keys
 from adtally.plans import exchange_report
 from adtally.plans.account_search import AccountSearch, ManagerScope, merged_filters
 from adtally.plans.sell_report import FIGURES, SellReport
-from adtally.session import new_folder
 from adtally.sources import synthetic
 from adtally.sources.export import json_rows
 
@@ -174,20 +173,6 @@ def _manager_group_tree(spark: SparkSession, root: str) -> DataFrame:
     return in_group.groupBy("manager_id", "user_type").agg(F.count("*").alias("accounts"))
 
 
-def _manager_group_deep(spark: SparkSession, root: str) -> DataFrame:
-    """Customers below one of them in a tree that is as deep as two thirds of their number."""
-    people = synthetic.raw(spark, root, "customer").selectExpr("c_custkey AS id", "c_custkey AS group_id")
-    groups = people.selectExpr("group_id", "group_id - IF(group_id % 3 = 0, 1, 2) AS parent_id")
-    return managers.managers_of_group(people, groups, 50, deep=True)
-
-
-def _sell_page_stored(spark: SparkSession, root: str) -> DataFrame:
-    """The page of ``sell_page`` from the stored rows of the report."""
-    folder = new_folder(spark, "pages")
-    month_report(spark, root).store_pages(folder, "profit", True)
-    return plain(SellReport.stored_page(spark, folder, 2, 50, True))
-
-
 def _filter_group_empty(spark: SparkSession, root: str) -> DataFrame:
     """A group without managers leaves the previous scope, here that of manager 3."""
     previous = spark.range(1).select(F.lit(3).cast("long").alias("manager_id"))
@@ -501,7 +486,6 @@ def queries() -> dict[str, Query]:
         "sell_by_site_lines": lambda s, d: report_rows(line_report(s, d)),
         "sell_by_publisher": lambda s, d: report_rows(month_report(s, d, True)),
         "sell_page": lambda s, d: plain(month_report(s, d).page(2, 50, "profit", True)),
-        "sell_page_stored": _sell_page_stored,
         "sell_page_by_name": lambda s, d: plain(month_report(s, d).page(1, 50, "name", True)),
         "sell_publisher_page": lambda s, d: plain(month_report(s, d, True).page(1, 10, "src_ctr")),
         "sell_total": lambda s, d: plain(month_report(s, d).total()),
@@ -548,7 +532,6 @@ def queries() -> dict[str, Query]:
         "publisher_status_new": _filtered(filters.by_publisher_status, "new"),
         "publisher_status_current": _filtered(filters.by_publisher_status, "current"),
         "manager_group_tree": _manager_group_tree,
-        "manager_group_deep": _manager_group_deep,
         "page_panel": _page_panel,
         "theme_counts": lambda s, d: panel.theme_counts(synthetic.site_themes_from_lineitem(s, d)),
         "blocked_buyers": lambda s, d: panel.blocked_buyer_counts(synthetic.blocked_buyers_from_returns(s, d)),

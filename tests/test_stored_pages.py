@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from adtally.operators import paging, stored_pages
 from adtally.plans.sell_report import SellReport
+from checks import stored
+from checks.compare import database, difference
 from checks.queries import month_report
 
 
@@ -55,3 +57,18 @@ def test_pages_of_the_report(spark, sf_dir, tmp_path):
     report.store_pages(folder, "src_ctr", True)
     for page in (1, 3, 20):
         assert SellReport.stored_page(spark, folder, page, 50, True).collect() == report.page(page, 50, "src_ctr", True).collect()
+
+
+def test_every_stored_query_has_sql():
+    assert set(stored.queries()) == set(stored.oracle_sql())
+
+
+@pytest.mark.parametrize("name", list(stored.queries()))
+def test_stored_queries_match_sql(spark, sf_dir, name):
+    assert difference(spark, database(sf_dir), sf_dir, name) is None
+
+
+@pytest.mark.parametrize("name", list(stored.queries()))
+def test_stored_queries_have_no_cross_joins(spark, sf_dir, name):
+    text = stored.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
