@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Callable, Iterable
 from html.entities import name2codepoint
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +27,10 @@ LONG_LETTERS = {
     "ё": "jo", "ж": "zh", "ч": "ch", "ш": "sh", "щ": "shch", "э": "eh", "ю": "yu", "я": "ya",
 }
 
-_LONG_CAPITALS = "".join(LONG_LETTERS).upper()
-_MARK, _OTHER_CONTROL = "\x01", "\x02"
-# Letters to be written all in capitals: each one of a run with a capital before the run, or
-# the last one of a run with a capital behind it.
-_ALL_CAPITALS = rf"(?:(?<=[A-Z])|(?!^)\G)[{_LONG_CAPITALS}]|[{_LONG_CAPITALS}](?=[A-Z])"
+#: Characters of text that are worked on at once; a longer text is worked on alone.
+_TOGETHER = 1 << 18
+# Kinds of letters: other ones, capitals, and capitals with a longer spelling.
+_OTHER, _CAPITAL, _LONG_CAPITAL = range(3)
 
 # Phrases a title keeps as written here, whatever their case and dots were.
 KEPT_PHRASES = {
@@ -47,31 +50,69 @@ _TWO_CAPS = r"[А-ЯЁ-]{2}"
 _CAPS_WORD = r"(?U)\b[А-ЯЁ-]{2,}+\b"
 
 
+def _spellings() -> tuple[dict[str, str], dict[str, str]]:
+    """The spelling of each letter that is not dropped, and those of capitals written all in capitals."""
+    found = {letter: letter for letter in string.ascii_letters + string.digits + "_."} | {" ": "_"}
+    for letter, spelling in (SINGLE_LETTERS | LONG_LETTERS).items():
+        if spelling.isalpha():
+            found |= {letter: spelling, letter.upper(): spelling.capitalize()}
+    return found, {letter.upper(): spelling.upper() for letter, spelling in LONG_LETTERS.items()}
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each code point its kind, spelling and length of that; the last ones are for dropped letters and long capitals in capitals."""
+    usual, capitals = _spellings()
+    last = max(map(ord, usual)) + 1
+    kinds = np.full(last + 1, _OTHER, dtype=np.uint8)
+    shown = [usual.get(chr(i), "") for i in range(last + 1)]
+    for letter, spelling in usual.items():
+        if letter in capitals:
+            kinds[ord(letter)] = _LONG_CAPITAL
+        elif spelling.isupper():
+            kinds[ord(letter)] = _CAPITAL
+    shown += [capitals.get(chr(i), "") for i in range(last + 1)]
+    letters = np.array([list(s.encode().ljust(4, b"\0")) for s in shown], dtype=np.uint8)
+    return kinds, letters.view("<u4").reshape(-1), np.array([len(s) for s in shown], dtype=np.uint8)
+
+
 def transliterate(text: Column) -> Column:
     """Russian text in Latin letters; everything but ``a-z A-Z 0-9 _ .`` is dropped.
 
     A capital with a longer spelling is written all in capitals after a capital or before
     one, else only its first letter is. In a run of such letters a capital before the run
-    decides for all of them, and one behind it only for the last.
+    decides for all of them, and one behind it only for the last. The letters of many texts
+    are looked up together, in Arrow batches; executors get the code with the task.
     """
-    plain = "".join(SINGLE_LETTERS)
-    latin = "".join(SINGLE_LETTERS.values())
-    result = F.translate(
-        text, plain + plain.upper() + " " + _MARK, latin + latin.upper() + "_" + _OTHER_CONTROL
-    )
-    for letter, spelling in LONG_LETTERS.items():
-        result = F.replace(result, F.lit(letter), F.lit(spelling))
-    result = _where(result, lambda value: value.rlike(f"[{_LONG_CAPITALS}]"), _with_long_capitals)
-    return F.regexp_replace(result, r"[^a-zA-Z0-9_.]+", "")
-
-
-def _with_long_capitals(text: Column) -> Column:
-    text = F.regexp_replace(text, _ALL_CAPITALS, rf"$0{_MARK}")
-    for letter, spelling in LONG_LETTERS.items():
-        capital = letter.upper()
-        text = F.replace(text, F.lit(capital + _MARK), F.lit(spelling.upper()))
-        text = F.replace(text, F.lit(capital), F.lit(spelling.capitalize()))
-    return text
+    kinds, spellings, lengths = _tables()
+
+    def in_latin(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The Latin forms of some texts one after the other, and the length of each."""
+        whole = "\0".join(["", *texts, ""])  # a dropped letter before, between and behind texts
+        letter = np.frombuffer(whole.encode("utf-32-le"), dtype="<u4")
+        letter = np.minimum(letter, len(kinds) - 1).astype(np.int64)
+        kind = kinds[letter]
+        long = np.flatnonzero(kind == _LONG_CAPITAL)
+        if len(long):
+            first = np.diff(long, prepend=-1) != 1
+            before = kind[long[first] - 1] == _CAPITAL
+            in_capitals = before[np.cumsum(first) - 1] | (kind[long + 1] == _CAPITAL)
+            letter[long[in_capitals]] += len(kinds)
+        length = lengths[letter]
+        found = spellings[letter].view(np.uint8).reshape(-1, 4)[np.arange(4) < length[:, None]]
+        behind = np.cumsum([len(text) + 1 for text in texts], dtype=np.int64)
+        return found, np.diff(np.cumsum(length, dtype=np.int64)[behind], prepend=0)
+
+    def batch(texts: pa.Array) -> pa.Array:
+        rows = [b"" if row is None else row for row in texts.cast(pa.binary()).to_pylist()]
+        group = np.cumsum([len(row) for row in rows], dtype=np.int64) // _TOGETHER
+        bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(rows)]
+        parts = [in_latin([row.decode(errors="replace") for row in rows[a:b]]) for a, b in zip(bounds, bounds[1:])]
+        ends = np.cumsum(np.concatenate([[0], *(sizes for _, sizes in parts)]), dtype=np.int64)
+        content = np.concatenate([found for found, _ in parts])
+        latin = pa.Array.from_buffers(pa.large_string(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(content)])
+        return pc.if_else(texts.is_valid(), latin, pa.scalar(None, pa.large_string())).cast(pa.string())
+
+    return F.arrow_udf(batch, "string")(text)
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
