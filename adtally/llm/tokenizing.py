@@ -12,6 +12,8 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -35,9 +37,12 @@ class Encoder:
         model = json.loads(self.library.to_str())
         self.by_words = bool(model["model"].get("end_of_word_suffix"))
         # letters and digits end where a mark that no word goes on with stands behind them
-        self.stretch = re.compile(r"[ \n]*[A-Za-z0-9À-ÖØ-öø-ÿ]+(?=[.,;:!?])|[ \n]*[^ \n]+|[ \n]+")
+        # letters are not given back, so no word is read twice
+        self.stretch = re.compile(r"[ \n]*+(?:[A-Za-z0-9À-ÖØ-öø-ÿ]++(?:(?=[.,;:!?])|[^ \n]*+)|[^ \n]++)|[ \n]++")
         self.word = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ]+(?=[.,;:!?]|\s|\Z)|\S+")
-        self.odd = re.compile(rf"[{MARK}\x1c-\x1f]|<\|" if self.by_words else r"[^\S \n]")
+        #: What a text that is not cut has in it.
+        blanks = [c for c in map(chr, range(0x3001)) if c.isspace()]
+        self.odd = [MARK, *"\x1c\x1d\x1e\x1f", "<|"] if self.by_words else [c for c in blanks if c not in " \n"]
         if self.by_words:
             self.mark = self._ids([MARK])[0]
             self.lowers = '"Lowercase"' in json.dumps(model["normalizer"])
@@ -85,12 +90,15 @@ class Encoder:
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """Ids of each text and the end id, as little-endian unsigned 32-bit numbers."""
         end = array("I", [end_id]).tobytes()
-        plain = [i for i, text in enumerate(texts) if self.odd.search(text)]
+        plain = [i for i, text in enumerate(texts) if any(c in text for c in self.odd)]
         whole = dict(zip(plain, self._ids([texts[i] for i in plain])))
         cut = [None if i in whole else self._cut(text) for i, text in enumerate(texts)]
         ids = [list(map(self.known.get, stretches or ())) for stretches in cut]
-        missing = (s for stretches, found in zip(cut, ids) if None in found for s, x in zip(stretches, found) if x is None)
-        new = self._learn(list(dict.fromkeys(missing)))
+        missing: dict[str, None] = {}
+        for stretches, found in zip(cut, ids):
+            if None in found:
+                missing.update(zip(compress(stretches, map(is_, found, repeat(None))), repeat(None)))
+        new = self._learn(list(missing))
         if len(self.known) < KNOWN:
             self.known.update(new)
         for i, (stretches, found) in enumerate(zip(cut, ids)):

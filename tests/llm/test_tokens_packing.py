@@ -2,6 +2,8 @@
 
 import hashlib
 import os
+import random
+import re
 import zlib
 from array import array
 from collections import defaultdict
@@ -135,3 +137,15 @@ def test_rows_of_one_doc_id_are_dealt_over_files(spark, tmp_path):
     manifest = token_files.write(docs, str(tmp_path / "one"), BYTE_BPE, partitions=6).collect()
     assert len(manifest) == 6 and max(m.documents for m in manifest) < 1500
     assert token_files.read(spark, str(tmp_path / "one")).count() == 4000
+
+
+def test_stretches_are_cut_without_reading_letters_twice():
+    """op3: no part of the pattern gives letters back, and it cuts where the plain one does."""
+    plain = re.compile(r"[ \n]*[A-Za-z0-9À-ÖØ-öø-ÿ]+(?=[.,;:!?])|[ \n]*[^ \n]+|[ \n]+")
+    encoder, pick = load(BYTE_BPE), random.Random(5)
+    assert "MAX_REPEAT" not in str(re._parser.parse(encoder.stretch.pattern))
+    texts = ["".join(pick.choices("ab é.,!-\n '×", k=pick.randrange(14))) for _ in range(3000)]
+    assert [encoder.stretch.findall(t) for t in texts] == [plain.findall(t) for t in texts]
+    odd = ["a\tb c.", "a b", "a　b, c", "a\x85b", "a\x1cb", "", "\n a. "]
+    found = encoder.encode(odd, 2)
+    assert [array("I", x).tolist() for x in found] == [x.ids + [2] for x in encoder.library.encode_batch_fast(odd, add_special_tokens=False)]
