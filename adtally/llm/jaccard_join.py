@@ -126,13 +126,13 @@ def _near(share: int):
                     found += staying(held)
                     held, cell = [], row[0]
                 held.append(row)
-            yield _members(found)
-        yield _members(staying(held))
+            yield members(found)
+        yield members(staying(held))
 
     return batches
 
 
-def _members(rows: list[tuple]) -> pa.RecordBatch:
+def members(rows: list[tuple]) -> pa.RecordBatch:
     columns = np.array(rows, dtype=np.int64).reshape(-1, 3).T
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cell", "node", "n"])
 
@@ -376,8 +376,11 @@ def _turned(name: str):
     return F.col(name).bitwiseXOR(F.lit(_TURN)).alias("turned")
 
 
-def connected(docs: DataFrame, size: int, share: int, part: int = PART) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, same, node, n) of each row, and (node, root) of the nodes that are linked."""
+def connected(docs: DataFrame, size: int, share: int, part: int = PART, near=_near, compared_nodes: int = COMPARED) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, same, node, n) of each row, and (node, root) of the nodes that are linked.
+
+    ``near`` finds the nodes that may be similar to another one by their sketches, in cells of ``compared_nodes`` at most.
+    """
     known = stored(_keyed(docs, size, share, common_shingles(docs, size)))
     some = known.where("n > 0")
     rows = some.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "least", "keys"))).select("node", "n", "least", F.explode("keys").alias("key"))
@@ -389,9 +392,9 @@ def connected(docs: DataFrame, size: int, share: int, part: int = PART) -> tuple
     fewest = F.sum("shared").over(Window.partitionBy("node").orderBy("shared", "cell"))
     cells = stored(cells.withColumn("fewest", fewest).where("fewest > (least - 1) div 2").select("cell", "node", "n"))
     sketches = some.groupBy("node").agg(F.first("sketch").alias("sketch"))
-    large = cells.groupBy("cell").count().where(F.col("count") > COMPARED)
+    large = cells.groupBy("cell").count().where(F.col("count") > compared_nodes)
     compared = cells.join(large, "cell", "left_anti").join(sketches, "node").repartition("cell").sortWithinPartitions("cell", "n", "node")
-    compared = mapped(compared, _near(share), "cell long, node long, n long")
+    compared = mapped(compared, near(share), "cell long, node long, n long")
     cells = stored(compared.unionByName(cells.join(large, "cell", "left_semi")))
 
     live = cells.select("node").distinct()

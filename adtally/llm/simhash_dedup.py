@@ -7,6 +7,10 @@ Each shard has BK-trees (children keyed by their Hamming distance to the parent;
 followed). A shard of more than ``TREE_SIZE`` fingerprints has several trees, and each of its trees is sent to each of
 its parts, so that no task holds more than one tree and one part. Within a shard only links that connect something
 new are put out, which leaves the components as they are.
+
+For groups of texts with similar sets of shingles a fingerprint within 3 bits is no promise. There the shards are the cells of
+:mod:`adtally.llm.jaccard_join`, in one of which similar sets meet, and the fingerprints are its parity sketches, which differ in no more
+bits than the sets do in shingles. BK-trees of a cell find the sets within the radius that the similarity needs, and only these are compared exactly.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adtally.llm.components import components
-from adtally.llm.jaccard_join import connected
+from adtally.llm.jaccard_join import connected, members
 from adtally.llm.shared import checkpointed, mapped, stored
 from adtally.llm.words import chunks, words
 
@@ -238,6 +242,56 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return found.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+class _Sketches:
+    """BK-trees of the sketches of a cell, one for each length; nodes come with ascending sizes of their sets."""
+
+    def __init__(self, share: int):
+        self.share, self.rows, self.stays = share, [], []
+        self.trees: dict[int, tuple[BKTree, list[int]]] = {}
+
+    def add(self, cell: int, node: int, n: int, sketch: bytes) -> None:
+        """Look for the others a node may be similar to, and put it into the tree of its length.
+
+        The sketch of a similar set that is smaller has the same length or half of it; a sketch is folded to that.
+        """
+        at, value, apart, both = len(self.rows), int.from_bytes(sketch, "little"), 100 - self.share, 100 + self.share
+        self.rows.append((cell, node, n))
+        self.stays.append(False)
+        for length in (len(sketch), len(sketch) // 2):
+            if length not in self.trees:
+                continue
+            tree, places = self.trees[length]
+            asked = value if length == len(sketch) else (value ^ (value >> 8 * length)) & ((1 << 8 * length) - 1)
+            for x in tree.within(asked, 2 * apart * n // both):
+                size = self.rows[places[x]][2]
+                if 100 * size >= self.share * n and both * (tree.values[x] ^ asked).bit_count() <= apart * (n + size):
+                    self.stays[at] = self.stays[places[x]] = True
+        tree, places = self.trees.setdefault(len(sketch), (BKTree(), []))
+        tree.add(value)
+        places.append(at)
+
+    def staying(self) -> list[tuple]:
+        return [row for row, stays in zip(self.rows, self.stays) if stays]
+
+
+def _in_trees(share: int):
+    """Rows (cell, node, n) of nodes that have another one in their cell within the radius that ``share`` hundredths of the union need."""
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = _Sketches(share), None
+        for batch in rows:
+            found = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "node", "n", "sketch"))):
+                if row[0] != at:
+                    found += held.staying()
+                    held, at = _Sketches(share), row[0]
+                held.add(*row)
+            yield members(found)
+        yield members(held.staying())
+
+    return batches
+
+
 def _with_component(known: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """``known`` (doc_id, node) with the least doc_id of the component of its node."""
     nodes = nodes.select("node", "doc_id").join(roots, "node", "left")
@@ -252,11 +306,12 @@ def similar_documents(docs: DataFrame, tree_size: int = TREE_SIZE) -> DataFrame:
     """(doc_id, component_id) of each row of ``docs``: groups of texts linked by a similarity of 0.8 or more.
 
     The similarity is the exact share of different shingles of ``WORDS_TOGETHER`` words that two texts have in common
-    (Jaccard), on 64-bit hashes; the pairs come from the search of :mod:`adtally.llm.jaccard_join`, which leaves none out. Equal
+    (Jaccard), on 64-bit hashes. Texts meet in the cells of :mod:`adtally.llm.jaccard_join`, which leave no pair out; BK-trees of a cell of
+    ``tree_size`` nodes at most find those near enough, all nodes of a larger one go on, and the exact search follows. Equal
     sets, empty ones too, are one node. A part of a cell has ``tree_size`` texts of ``USUAL_SIZE`` shingles at most. Rows without
     doc_id give no id, as in ``near_duplicates``.
     """
-    known, roots = connected(docs, WORDS_TOGETHER, SIMILAR, tree_size * USUAL_SIZE)
+    known, roots = connected(docs, WORDS_TOGETHER, SIMILAR, tree_size * USUAL_SIZE, _in_trees, tree_size)
     nodes = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     return _with_component(known.select("doc_id", "node"), nodes, roots).select("doc_id", "component_id")
 
@@ -264,10 +319,11 @@ def similar_documents(docs: DataFrame, tree_size: int = TREE_SIZE) -> DataFrame:
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each group, that with the smallest (doc_id, hash of text); rows without doc_id are not compared and stay.
 
+    The groups are those of ``similar_documents``: BK-trees in the cells, then exact similarities.
     Different texts of one doc_id are rows of their own; rows that repeat both are one.
     """
     placed = docs.where("doc_id IS NOT NULL")
-    known, roots = connected(placed, WORDS_TOGETHER, SIMILAR)
+    known, roots = connected(placed, WORDS_TOGETHER, SIMILAR, near=_in_trees, compared_nodes=TREE_SIZE)
     groups = stored(known.select("doc_id", "same", "node").join(roots, "node", "left").select("doc_id", "same", F.coalesce("root", "node").alias("root")))
     least = groups.groupBy("root").agg(F.min(F.struct("doc_id", "same")).alias("least"), F.count("*").alias("rows"))
     several = least.where("rows > 1").select(F.col("root").bitwiseXOR(F.lit(_TURN)).alias("turned"))
