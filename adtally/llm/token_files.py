@@ -114,7 +114,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, partitions: int | None =
                 name = f"shard-{shard:06d}-{uuid.uuid4().hex}"
                 out = files.open_output_stream(f"{path}/{name}.ids")
             for part in chunks(batch, TOGETHER_BYTES):
-                for ids in encoded(library, [x or "" for x in part.column("text").to_pylist()], end_id):
+                for ids in encoded(library, part.column("text"), end_id):
                     frame = packer.compress(ids)
                     out.write(frame)
                     places.append(place)

@@ -10,12 +10,13 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from adtally.llm import packing, token_files
+from adtally.llm import packing, token_files, tokenizing
 from adtally.llm.tokenizing import encoded, load
 
 WORD_BPE, BYTE_BPE = (public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k"))
@@ -149,3 +150,22 @@ def test_stretches_are_cut_without_reading_letters_twice():
     odd = ["a\tb c.", "a b", "a　b, c", "a\x85b", "a\x1cb", "", "\n a. "]
     found = encoder.encode(odd, 2)
     assert [array("I", x).tolist() for x in found] == [x.ids + [2] for x in encoder.library.encode_batch_fast(odd, add_special_tokens=False)]
+
+
+def test_stretches_are_found_in_the_bytes_of_many_texts():
+    """op3: texts of an Arrow column are cut together, without a string for each word, where the pattern cuts each alone."""
+    encoder, pick = load(BYTE_BPE), random.Random(7)
+    letters = [*"aB1 é×÷Àÿ.,#<|-'\n 日🙂", "  ", "\t", "<|endoftext|>", "<|", "word"]
+    texts = ["".join(pick.choices(letters, k=pick.randrange(20))) for _ in range(3000)] + ODD
+    column = pa.array(["outside ", None, *texts, "", None], pa.string()).slice(1, len(texts) + 2)
+    ends = np.cumsum([0, *(len((t or "").encode()) for t in column.to_pylist())])
+    data = np.frombuffer("".join(t or "" for t in column.to_pylist()).encode(), dtype=np.uint8)
+    wanted = [int(a) + len(t[: m.start()].encode()) for t, a in zip(texts, ends[1:]) for m in encoder.stretch.finditer(t)]
+    assert tokenizing._starts(data, ends).tolist() == wanted
+    whole = [x.ids for x in encoder.library.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+    for _ in range(2):  # the second time stretches are known
+        assert [array("I", x).tolist() for x in encoder.encode(column, 2)] == [ids + [2] for ids in whole]
+    assert encoder.encode(column.slice(0, 0), 2) == [] and [len(x) for x in encoder.encode(pa.nulls(2, pa.string()), 2)] == [4, 4]
+    for alone in ("abc", "é", "", ",", "\n", "a,"):
+        assert array("I", encoder.encode(pa.array([alone]), 2)[0]).tolist() == ids_of(BYTE_BPE, alone, 2)
+    assert encoder.stretch.findall(" word### next") == [" word", "###", " next"]
