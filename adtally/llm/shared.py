@@ -39,21 +39,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 #: Spark removes the shuffle files of a query when it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Most rows that Spark sends to a Python worker at once. It keeps them outside the heap, in buffers of the next power of two.
+_ROWS_AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_UNSET = {_CLEANUP: "false", _ROWS_AT_ONCE: "10000"}
+#: That number for rows with whole texts.
+TEXTS_AT_ONCE = 1000
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, at_once: int | None = None) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
     The table takes the place of the shuffle files of the query, which are removed, so a chain of such steps
-    needs disk for its largest step only.
+    needs disk for its largest step only. ``at_once`` bounds the rows that a Python worker is sent together meanwhile.
     """
     spark, folder = df.sparkSession, new_folder(df.sparkSession, "table")
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {name: spark.conf.get(name, value) for name, value in _UNSET.items()}
+    wanted = {_CLEANUP: "true"}
+    if at_once is not None and not 0 < int(before[_ROWS_AT_ONCE]) < at_once:
+        wanted[_ROWS_AT_ONCE] = str(at_once)
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         df.write.parquet(folder)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for name in wanted:
+            spark.conf.set(name, before[name])
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adtally.llm.shared import mapped, stored
+from adtally.llm.shared import TEXTS_AT_ONCE, mapped, stored
 from adtally.llm.words import Runs, Words, chunks, words
 
 THRESHOLD = 20
@@ -156,7 +156,7 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> Da
     several = several.select(F.col("anchor").bitwiseXOR(F.lit(_TURN)).alias("turned"))
     found = found.select(F.col("anchor").bitwiseXOR(F.lit(_TURN)).alias("turned"), "run", "doc_id", "same", "first", "windows")
     found = found.join(several, "turned", "left_semi")
-    found = stored(found.select(F.col("turned").bitwiseXOR(F.lit(_TURN)).alias("anchor"), "run", "doc_id", "same", "first", "windows"))
+    found = stored(found.select(F.col("turned").bitwiseXOR(F.lit(_TURN)).alias("anchor"), "run", "doc_id", "same", "first", "windows"), TEXTS_AT_ONCE)
 
     classes = stored(_firsts(found, "windows"))
     whole = _not_first(found, classes).select("doc_id", "same", "first", (F.col("first") + F.col("windows") + threshold - 1).alias("last"))
@@ -166,7 +166,7 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> Da
     edges = edges.select(F.col("anchor").bitwiseXOR(F.lit(_TURN)).alias("turned"))
     heads = classes.withColumn("turned", F.col("anchor").bitwiseXOR(F.lit(_TURN))).join(edges, "turned", "left_semi")
     lists = heads.groupBy("doc_id", "same").agg(F.collect_list(F.struct("anchor", "first", "windows")).alias("seeds"))
-    windows = stored(_extended(docs, lists, threshold, gram))
+    windows = stored(_extended(docs, lists, threshold, gram), TEXTS_AT_ONCE)
     single = _not_first(windows, _firsts(windows)).select("doc_id", "same", "first", (F.col("first") + threshold).alias("last"))
     return whole.unionAll(stored(single))
 

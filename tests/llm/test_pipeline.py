@@ -1,11 +1,14 @@
 """The pipeline against its stages in plain Python, and the registered queries."""
 
 import public_tokenizers
+import pyarrow as pa
+import pytest
 
 import corpus_pipeline
 from adtally.llm.packing import pack
 from adtally.llm.quality_rules import quality_rules
 from adtally.llm.queries import oracle_sql, queries
+from adtally.llm.shared import stored
 from adtally.llm.simhash_dedup import similar_documents
 from adtally.llm.source_mixing import mixed
 from adtally.llm.substring_dedup import substring_dedup
@@ -52,3 +55,37 @@ def test_queries_are_registered_once_for_each_operator():
     names = list(queries())
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert set(oracle_sql()) <= set(names) and set(names) | {"pipeline"} <= set(__spark_entry__.queries())
+
+
+def test_rows_with_texts_go_to_python_in_small_parts(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(batch)], pa.int64())})
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, rows = spark.conf.get(name), spark.range(100, numPartitions=1).mapInArrow(sizes, "n long")
+    assert max(r.n for r in stored(rows, 7).collect()) == 7 and spark.conf.get(name) == before
+    assert [r.n for r in stored(rows).collect()] == [100]
+    spark.conf.set(name, "3")
+    try:
+        assert max(r.n for r in stored(rows, 7).collect()) == 3 and spark.conf.get(name) == "3"
+        spark.conf.set(name, "0")  # no limit
+        assert max(r.n for r in stored(rows, 7).collect()) == 7 and spark.conf.get(name) == "0"
+    finally:
+        spark.conf.set(name, before)
+    with pytest.raises(Exception):
+        stored(rows.selectExpr("raise_error('no')"), 7)
+    assert spark.conf.get(name) == before
+
+
+def test_repeated_passages_carries_each_text_once(spark, monkeypatch):
+    passage = " ".join(f"w{i}" for i in range(25))
+    rows = [(1, f"a {passage}", 0, "x", 5), (2, f"{passage} b c", 0, "y", 6), (3, passage, 0, "z", 7), (4, "", 0, "u", 8), (None, passage, 0, "v", 9)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, n_chars int, odd string, row long")
+    seen = []
+    monkeypatch.setattr(corpus_pipeline, "substring_dedup", lambda rows, **more: seen.append(rows.schema) or substring_dedup(rows, **more))
+    found = corpus_pipeline.repeated_passages(spark, docs, "")
+    assert seen[0].names == ["doc_id", "text", "row"] and seen[0]["row"].dataType.names == ["doc_id", "odd", "row"]
+    assert found.columns == docs.columns
+    wanted = [(None, passage, len(passage), "v", 9), (1, f"a {passage}", len(passage) + 2, "x", 5), (2, "b c", 3, "y", 6), (4, "", 0, "u", 8)]
+    assert sorted(map(tuple, found.collect()), key=lambda r: r[0] or 0) == wanted
