@@ -4,7 +4,7 @@ A suffix starts at a word and goes on for ``LONGEST`` words of its piece at most
 are frequent, since no frequent phrase goes further. Equal suffixes are put together with their count before anything is
 shuffled.
 
-Suffixes are partitioned vertically, by prefixes of words: prefixes fall into ``BUCKETS`` buckets, and the suffixes of a task with
+Suffixes are partitioned vertically, by prefixes of words: prefixes fall into ``BUCKETS`` buckets, and suffixes put out together with
 prefixes of one bucket are a fragment, which is one row. Neighbouring buckets make up a group as long as their suffixes fit the
 memory budget of a task. Fragments of a bucket above the budget are divided by prefixes with one word more. Each group is one
 task's: it sorts its suffixes, builds the subtree of their words level by level, cut at ``LONGEST``, and reads the count of each node
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adtally.llm.shared import mapped, stored
+from adtally.llm.shared import TEXTS_AT_ONCE, mapped, step, stored
 from adtally.llm.words import Words, chunks, mixed, words
 
 LONGEST = 5
@@ -32,8 +32,10 @@ FIRST = 2000
 BUDGET, BUCKETS = 1 << 18, 1 << 12
 #: Bits that tell which hashes may be frequent; a hash too many costs time only.
 BITS = 1 << 26
-#: Different hashes of a task that are held before they are put out.
-HELD = 1 << 20
+#: Different hashes of a task that are held before they are put out; up to twice as many rows wait to be put together.
+HELD = 1 << 17
+#: Suffixes that are put out at once.
+SENT = 1 << 15
 UNKNOWN = "und"
 FRAGMENTS = "bucket int, length int, suffixes long, content binary"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -82,7 +84,9 @@ def _bits(frequent: DataFrame, column: str) -> np.ndarray:
     place = F.col(column).bitwiseAND(F.lit(BITS - 1)) + 1  # the functions count from one
     rows = frequent.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     found = np.zeros(BITS // 8, dtype=np.uint8)
-    for row in rows.collect():
+    with step(rows.sparkSession, TEXTS_AT_ONCE):
+        rows = rows.collect()
+    for row in rows:
         start = (row["at"] - 1) * 4096
         found[start : start + 4096] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
     return found
@@ -102,9 +106,10 @@ class _Counts:
         self.rows += len(hashes)
 
     def put_together(self) -> tuple:
-        hashes, counts, *values = (np.concatenate(x) for x in zip(*self.parts))
-        self.parts, self.rows = [], 0
-        self.add(hashes, *values, counts=counts)
+        if len(self.parts) > 1:
+            hashes, counts, *values = (np.concatenate(x) for x in zip(*self.parts))
+            self.parts, self.rows = [], 0
+            self.add(hashes, *values, counts=counts)
         return self.parts[0]
 
     def full(self) -> bool:
@@ -177,16 +182,19 @@ def pair_counts(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return mapped(docs.select("text", "lang"), batches, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _fragments(suffix: np.ndarray, length: int) -> pa.RecordBatch:
+def _fragments(suffix: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
     """Suffixes, each with depth and count behind its words, as a row for each bucket of their first ``length`` words."""
     bucket = (run_key(list(suffix[:, :length].T)) & np.uint64(BUCKETS - 1)).astype(np.int32)
     order = np.lexsort((*suffix[:, LONGEST - 1 :: -1].T, bucket))
-    suffix, bucket = suffix[order], bucket[order]
+    bucket = bucket[order]
     starts = np.flatnonzero(np.diff(bucket, prepend=-1))
     ends = np.append(starts[1:], len(bucket))
-    content = [suffix[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
-    columns = [pa.array(bucket[starts]), pa.array(np.full(len(starts), length, np.int32)), pa.array(ends - starts), pa.array(content, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["bucket", "length", "suffixes", "content"])
+    # rows are put out together as long as they begin in the same stretch of suffixes
+    first = np.flatnonzero(np.diff(starts // SENT, prepend=-1))
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(starts)]):
+        content = [suffix[order[x:y]].tobytes() for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist())]
+        columns = [pa.array(bucket[starts[a:b]]), pa.array(np.full(b - a, length, np.int32)), pa.array(ends[a:b] - starts[a:b]), pa.array(content, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "length", "suffixes", "content"])
 
 
 def _suffixes(content: list[bytes]) -> np.ndarray:
@@ -199,9 +207,10 @@ def suffixes(docs: DataFrame, frequent: np.ndarray, frequent_pairs: np.ndarray)
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Counts()
 
-        def out() -> pa.RecordBatch:
-            _, counts, suffix = held.taken() or (None, np.zeros(0, np.int64), np.zeros((0, LONGEST + 1), np.uint64))
-            return _fragments(np.concatenate([suffix, counts.astype(np.uint64)[:, None]], axis=1), 1)
+        def out() -> Iterator[pa.RecordBatch]:
+            if found := held.taken():
+                _, counts, suffix = found
+                yield from _fragments(np.concatenate([suffix, counts.astype(np.uint64)[:, None]], axis=1), 1)
 
         for batch in rows:
             for part in chunks(batch):
@@ -219,19 +228,26 @@ def suffixes(docs: DataFrame, frequent: np.ndarray, frequent_pairs: np.ndarray)
                 columns = [np.where(depth > k, padded[at + k], np.uint64(0)) for k in range(LONGEST)] + [depth.astype(np.uint64)]
                 held.add(run_key(columns), np.stack(columns, axis=1))
             if held.full():
-                yield out()
-        yield out()
+                yield from out()
+        yield from out()
 
     return mapped(docs.select("text", "lang"), batches, FRAGMENTS)
 
 
 def _longer(length: int):
-    """Fragments divided by prefixes of this length."""
+    """Fragments divided by prefixes of this length, many of them together, as each would make a row for almost each of its suffixes."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in rows:
             for content in batch.column("content").to_pylist():
-                yield _fragments(_suffixes([content]), length)
+                held.append(content)
+                size += len(content)
+                if size >= HELD * 8 * (LONGEST + 2):
+                    yield from _fragments(_suffixes(held), length)
+                    held, size = [], 0
+        if held:
+            yield from _fragments(_suffixes(held), length)
 
     return batches
 
@@ -257,7 +273,7 @@ def partitioned(rows: DataFrame, budget: int = BUDGET) -> tuple[DataFrame, int]:
         found.append(planned.where("`group` IS NOT NULL").select("group", "length", "content"))
         if all(group is not None for _, group in plan):
             break
-        rows = stored(mapped(planned.where("`group` IS NULL").select("content"), _longer(length + 1), FRAGMENTS))
+        rows = stored(mapped(planned.where("`group` IS NULL").select("content"), _longer(length + 1), FRAGMENTS), TEXTS_AT_ONCE)
     return reduce(DataFrame.unionByName, found), max(groups, 1)
 
 
@@ -359,13 +375,13 @@ def collocations(docs: DataFrame, least: int = LEAST, first: int = FIRST, budget
     dropped. Order: score, then a, from high to low, then phrase by its bytes. Repeated rows count as often as they are there; an empty
     table gives no rows.
     """
-    counts = stored(word_counts(docs))
+    counts = stored(word_counts(docs), TEXTS_AT_ONCE)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = stored(counts.where(F.col("n") >= least))
     likely = _bits(frequent, "h")
     pairs = pair_counts(docs, likely).where(F.col("n") >= least)
-    rows = stored(suffixes(docs, likely, _bits(pairs, "h")))
-    candidates = stored(phrase_counts(rows, least, budget))
+    rows = stored(suffixes(docs, likely, _bits(pairs, "h")), TEXTS_AT_ONCE)
+    candidates = stored(phrase_counts(rows, least, budget), TEXTS_AT_ONCE)
 
     # the longer phrase with one word more at either end is a candidate too, and no longer one occurs more often
     cuts = stored(_with_parts(candidates.select("phrase_key", "run")))

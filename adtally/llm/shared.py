@@ -5,7 +5,8 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow.fs as pafs
@@ -46,13 +47,9 @@ _UNSET = {_CLEANUP: "false", _ROWS_AT_ONCE: "10000"}
 TEXTS_AT_ONCE = 1000
 
 
-def stored(df: DataFrame, at_once: int | None = None) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back.
-
-    The table takes the place of the shuffle files of the query, which are removed, so a chain of such steps
-    needs disk for its largest step only. ``at_once`` bounds the rows that a Python worker is sent together meanwhile.
-    """
-    spark, folder = df.sparkSession, new_folder(df.sparkSession, "table")
+@contextmanager
+def step(spark: SparkSession, at_once: int | None = None) -> Iterator[None]:
+    """Settings for a query that ends within: its shuffle files go with it, and ``at_once`` bounds the rows that a Python worker is sent together."""
     before = {name: spark.conf.get(name, value) for name, value in _UNSET.items()}
     wanted = {_CLEANUP: "true"}
     if at_once is not None and not 0 < int(before[_ROWS_AT_ONCE]) < at_once:
@@ -60,10 +57,21 @@ def stored(df: DataFrame, at_once: int | None = None) -> DataFrame:
     for name, value in wanted.items():
         spark.conf.set(name, value)
     try:
-        df.write.parquet(folder)
+        yield
     finally:
         for name in wanted:
             spark.conf.set(name, before[name])
+
+
+def stored(df: DataFrame, at_once: int | None = None) -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it back.
+
+    The table takes the place of the shuffle files of the query, which are removed, so a chain of such steps
+    needs disk for its largest step only. ``at_once`` bounds the rows that a Python worker is sent together meanwhile.
+    """
+    spark, folder = df.sparkSession, new_folder(df.sparkSession, "table")
+    with step(spark, at_once):
+        df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

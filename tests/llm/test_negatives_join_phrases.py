@@ -6,12 +6,15 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from adtally.llm import phrases
 from adtally.llm.hard_negatives import Rows, hard_negatives, primes, products
 from adtally.llm.jaccard_join import InvertedIndex, similar_sets
 from adtally.llm.phrases import LONGEST, Subtree, collocations
+from adtally.llm.shared import mapped
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -222,6 +225,59 @@ def test_no_texts_no_phrases(nothing):
     assert collocations(nothing).count() == 0
 
 
+def test_workers_get_few_texts_at_once(spark, monkeypatch):
+    def watched(df, batches, schema):
+        def few(rows):
+            for batch in rows:
+                if len(batch) > 1000:
+                    raise ValueError(f"{len(batch)} rows at once")
+                yield batch
+
+        return mapped(df, lambda rows: batches(few(rows)), schema)
+
+    monkeypatch.setattr(phrases, "mapped", watched)
+    docs = spark.range(0, 2500, 1, 1).selectExpr("'a b c' AS text", "'en' AS lang")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert list(map(tuple, collocations(docs).collect())) == [("en", 1, "a b c", 2500, 2500, 2500, 7500, 3000)]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_suffixes_are_put_out_in_small_batches(nothing, monkeypatch):
+    monkeypatch.setattr(phrases, "mapped", lambda df, batches, schema: batches)
+    frequent = np.full(phrases.BITS // 8, 255, np.uint8)
+    texts = [" ".join(f"w{row}-{i % 90_000}" for i in range(100_000)) for row in range(6)]
+    rows = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["en"] * len(texts))], names=["text", "lang"])
+    batches = list(phrases.suffixes(nothing, frequent, frequent)(iter([rows])))
+    assert max(b.column("content").nbytes for b in batches) < 4 << 20
+    suffixes = phrases._suffixes([x for b in batches for x in b.column("content").to_pylist()])
+    assert sum(b.column("suffixes").to_numpy().sum() for b in batches) == len(suffixes)
+    assert suffixes[:, -1].sum() == 6 * 99_999
+
+
+def test_fragments_are_divided_together():
+    rng = np.random.default_rng(7)
+    suffix = np.zeros((20_000, LONGEST + 2), np.uint64)
+    suffix[:, 0], suffix[:, 1], suffix[:, 2] = 9, rng.integers(1, 51, 20_000), rng.integers(1, 1 << 40, 20_000)
+    suffix[:, -2:] = 3, 1
+    content = [x.tobytes() for x in np.split(suffix, 200)]
+    found = list(phrases._longer(2)(iter(pa.RecordBatch.from_arrays([pa.array(content[a : a + 50])], names=["content"]) for a in range(0, 200, 50))))
+    assert sum(map(len, found)) <= 50
+    after = phrases._suffixes([x for b in found for x in b.column("content").to_pylist()])
+    assert sorted(map(tuple, after.tolist())) == sorted(map(tuple, suffix.tolist()))
+    assert list(phrases._longer(2)(iter([]))) == []
+
+
+def test_few_hashes_are_held():
+    rng = np.random.default_rng(6)
+    held, most, total = phrases._Counts(), 0, 0
+    for last in [False] * 20 + [True]:
+        held.add(rng.integers(0, 1 << 40, 1 << 16).astype(np.uint64))
+        most = max(most, held.rows)
+        if held.full() or last:
+            total += held.taken()[1].sum()
+    assert total == 21 << 16 and most < 1 << 19
+
+
 def test_subtree_reads_counts_from_its_leaves():
     leaves = [((1, 2), 3), ((1, 2, 3), 4), ((1, 2, 3, 4), 5), ((1, 2, 5), 1), ((1, 3, 3), 2), ((2, 2, 3), 7), ((2, 2, 3), 1)]
     suffix = np.array([list(p) + [0] * (4 - len(p)) for p, _ in leaves], dtype=np.uint64)
